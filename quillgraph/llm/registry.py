@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import byte_bpe
+from quillgraph.llm import byte_bpe, source_mix
 
 QUERIES = {
+    "op8_source_mix": source_mix.op8_source_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
