@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: Distinct pieces whose ids a task remembers; beyond it the memory is emptied and refilled.
 REMEMBERED = 300_000
 #: Characters of text whose pieces are encoded together.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -187,6 +187,50 @@ class _Shared:
         return self.held.value
 
 
+class Memory:
+    """Numbers of distinct pieces and, once filled, their ids."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.new: list[str] = []
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        if len(self.index) > REMEMBERED:
+            self.clear()
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """A number for each piece; pieces not met before are noted for fill()."""
+        index, new = self.index, self.new
+        for p in pieces:
+            if p not in index:
+                index[p] = len(index)
+                new.append(p)
+        return np.fromiter(map(index.__getitem__, pieces), np.int32, len(pieces))
+
+    def fill(self) -> None:
+        """Encodes the noted pieces together."""
+        if self.new:
+            found = self.merges.replay([p.encode() for p in self.new])
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.flat = np.concatenate((self.flat, *found))
+            self.new.clear()
+
+    def ids(self, numbers: np.ndarray) -> bytes:
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1])].astype("<u4").tobytes()
+
+
 def _with(schema: T.StructType, drop: set[str], *more: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in drop] + list(more))
 
@@ -204,25 +248,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches):
         import regex
 
-        merges = _merges(shared)
+        memory = Memory(_merges(shared))
         split = regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            encoded: list[bytes] = []
+            column, encoded = batch.column(at), []
             first = 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars < TOGETHER):
-                    chars += len(texts[last] or "")
+            while first < len(column):
+                memory.trim()
+                last, chars, pieces = first, 0, []
+                while last < len(column) and (last == first or chars < TOGETHER):
+                    text_ = column[last].as_py() or ""
+                    chars += len(text_)
+                    pieces.append(memory.numbers(split(text_)))
                     last += 1
-                pieces = [split(t) if t else [] for t in texts[first:last]]
-                if len(known) > REMEMBERED:
-                    known = {}
-                new = list({p for many in pieces for p in many if p not in known})
-                for piece, ids in zip(new, merges.replay([p.encode() for p in new]), strict=True):
-                    known[piece] = ids.astype("<u4").tobytes()
-                encoded += [b"".join(map(known.__getitem__, many)) for many in pieces]
+                memory.fill()
+                encoded += [memory.ids(many) for many in pieces]
                 first = last
             columns = [*batch.columns, pa.array([len(x) // 4 for x in encoded], pa.int64()), pa.array(encoded, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
