@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import byte_bpe, source_mix
+from quillgraph.llm import byte_bpe, jaccard_join, order_minhash, quality_rules, source_mix
 
 QUERIES = {
+    "op3_order_minhash": order_minhash.op3_order_minhash,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op8_source_mix": source_mix.op8_source_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
