@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import byte_bpe, jaccard_join, order_minhash, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
+from quillgraph.llm import byte_bpe, html_extract, jaccard_join, order_minhash, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_suffix_tree_lm": suffix_tree_lm.op6_suffix_tree_lm,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_source_mix": source_mix.op8_source_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
