@@ -14,4 +14,6 @@ QUERIES = {
     "op8_source_mix": source_mix.op8_source_mix,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+}

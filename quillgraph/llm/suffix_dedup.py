@@ -341,7 +341,7 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "leader": pa.array(np.full(len(table), leader, np.int32)), "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary())})
 
 
-def _cut(n_buckets: int, names: list[str]):
+def _cut(n_buckets: int, names: list[str], texts: bool):
     """5. Removes from each document what a smaller doc_id has."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -377,15 +377,20 @@ def _cut(n_buckets: int, names: list[str]):
         removed = total[offsets[1:]] - total[offsets[:-1]]
         kept_bytes, kept_at = raw[~gone].tobytes(), (offsets - total[offsets]).tolist()
         kept = [kept_bytes[a:b] for a, b in zip(kept_at[:-1], kept_at[1:], strict=True)]
+        if texts:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         out = {n: table.column(n) for n in names}
-        out |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), "kept": pa.array(kept, pa.binary())}
+        out |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), "kept": pa.array(kept, pa.string() if texts else pa.binary())}
         return pa.table(out)
 
     return run
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
+def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay.
+
+    texts: ``kept`` is a string; bytes of a character that was cut are left out.
+    """
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     total = text_bytes(docs)
@@ -398,8 +403,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(n_buckets), "leader int, block int, text binary, lengths binary, least binary")
     results = sent.groupBy("leader").applyInArrow(_compare, shape)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return blocks.groupBy("block").cogroup(answers.unionByName(results).groupBy("block")).applyInArrow(_cut(n_buckets, names), schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if texts else T.BinaryType())])
+    return blocks.groupBy("block").cogroup(answers.unionByName(results).groupBy("block")).applyInArrow(_cut(n_buckets, names, texts), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
