@@ -7,7 +7,9 @@ with a smaller doc_id. Whole texts are compared, all of them with each other.
    anchor, the minimal hash of its SEED-byte strings; equal windows have equal
    anchors. Blocks send their distinct anchors to buckets.
 2. A bucket tells each block which of its anchors other documents have too,
-   and their leader, the smallest block that has one.
+   and their leader: one of the blocks that have it, chosen by the set of
+   these, so that neighbouring anchors of copies have the same one; anchors of
+   more than FEW blocks are led by a number drawn from their own hash.
 3. Blocks cut out the runs of windows whose anchors have one leader, and send
    each distinct run, with its smallest doc_id, to the group of that leader.
    Equal windows meet in one group; copies within a block are sent once, so a
@@ -38,6 +40,8 @@ from quillgraph.llm.common import buffers, in_blocks, mix, partitions, text_byte
 
 MIN, SEED = 50, 24
 BLOCK = 4 << 20
+#: Blocks up to which an anchor is led by a block.
+FEW = 8
 #: Bytes of text whose windows are hashed together.
 STEP = 1 << 20
 _SPAN = MIN - SEED + 1
@@ -124,34 +128,40 @@ def _wide(blob: pa.Scalar) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(n_blocks: int):
     """2. For each block of a bucket: its anchors that more than one document has, and their leaders."""
-    bucket = table.column("bucket")[0].as_py()
-    parts = [_wide(b) for b in table.column("values")]
-    blocks = table.column("block").to_numpy()
-    v = np.concatenate(parts)
-    b = np.repeat(blocks, [len(p) for p in parts])
-    order = np.lexsort((b, v >> np.uint64(1)))
-    v, b = v[order], b[order]
-    key = v >> np.uint64(1)
-    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(heads, len(v)))
-    shared = (sizes > 1) | (np.maximum.reduceat(v & np.uint64(1), heads) > 0)
-    keep = np.repeat(shared, sizes)
-    leader = np.repeat(b[heads], sizes)[keep]
-    key, b = key[keep] | np.uint64(bucket << 40), b[keep]
-    order = np.argsort(b, kind="stable")
-    key, leader, b = key[order], leader[order], b[order]
-    names, cuts = np.unique(b, return_index=True)
-    cuts = np.append(cuts, len(b))
-    return pa.table(
-        {
-            "block": pa.array(names.astype(np.int32)),
-            "leader": pa.array(np.full(len(names), -1, np.int32)),
-            "one": pa.array([key[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(names))], pa.binary()),
-            "two": pa.array([leader[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(len(names))], pa.binary()),
-        }
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        parts = [_wide(b) for b in table.column("values")]
+        blocks = table.column("block").to_numpy()
+        v = np.concatenate(parts)
+        b = np.repeat(blocks, [len(p) for p in parts])
+        order = np.lexsort((b, v >> np.uint64(1)))
+        v, b = v[order], b[order]
+        key = v >> np.uint64(1)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(v)))
+        shared = (sizes > 1) | (np.maximum.reduceat(v & np.uint64(1), heads) > 0)
+        keep = np.repeat(shared, sizes)
+        chosen = b[heads + np.add.reduceat(b.astype(np.int64), heads) % sizes]
+        chosen = np.where(sizes > FEW, n_blocks + (key[heads] % np.uint64(n_blocks)).astype(np.int64), chosen)
+        leader = np.repeat(chosen, sizes)[keep]
+        key, b = key[keep] | np.uint64(bucket << 40), b[keep]
+        order = np.argsort(b, kind="stable")
+        key, leader, b = key[order], leader[order], b[order]
+        names, cuts = np.unique(b, return_index=True)
+        cuts = np.append(cuts, len(b))
+        return pa.table(
+            {
+                "block": pa.array(names.astype(np.int32)),
+                "leader": pa.array(np.full(len(names), -1, np.int32)),
+                "one": pa.array([key[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(names))], pa.binary()),
+                "two": pa.array([leader[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(len(names))], pa.binary()),
+            }
+        )
+
+    return run
 
 
 class Runs:
@@ -399,7 +409,7 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     blocks = in_blocks(docs, docs.columns, n_blocks)
     asked = blocks.groupBy("block").applyInArrow(_ask(n_buckets), "bucket int, block int, values binary")
     shape = "block int, leader int, one binary, two binary"
-    answers = asked.groupBy("bucket").applyInArrow(_answer, shape)
+    answers = asked.groupBy("bucket").applyInArrow(_answer(n_blocks), shape)
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(n_buckets), "leader int, block int, text binary, lengths binary, least binary")
     results = sent.groupBy("leader").applyInArrow(_compare, shape)
     names = docs.columns
