@@ -25,3 +25,18 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that driver and executors share, and read back: cuts the lineage of loops."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
