@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import strip
+
 PREAMBLE = "概述"
 
 
@@ -12,8 +14,8 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, pos, heading, content): parts that start with ``## ``; what stands before is the preamble."""
     parts = docs.select("doc_id", F.posexplode(F.split(text, r"(?m)^## ")).alias("pos", "part"))
     lines = F.split("part", "\n", 2)
-    heading = F.when(F.col("pos") == 0, PREAMBLE).otherwise(F.trim(lines[0]))
-    content = F.when(F.col("pos") == 0, F.trim("part")).otherwise(F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))))
+    heading = F.when(F.col("pos") == 0, PREAMBLE).otherwise(strip(lines[0]))
+    content = F.when(F.col("pos") == 0, strip(F.col("part"))).otherwise(strip(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))))
     return parts.select("doc_id", "pos", heading.alias("heading"), content.alias("content")).filter((F.col("pos") > 0) | (F.col("content") != ""))
 
 
