@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_warc_revisit": warc_revisit.ORACLE_SQL,
 }
