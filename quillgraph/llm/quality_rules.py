@@ -146,6 +146,16 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: flo
     return _judged(measures(docs, text, lang), found, max_char, max_word)
 
 
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with docs' columns.
+
+    Kept rows are exploded once, others not at all: a filter would be pushed
+    below the projections, which repeats their work for each array element.
+    """
+    judged = judge(docs, text, lang)
+    return judged.withColumn("_keep", F.explode(F.when(F.col("kept"), F.array(F.lit(True))))).select(*docs.columns)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
