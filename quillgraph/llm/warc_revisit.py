@@ -72,7 +72,10 @@ def resolve(records: DataFrame) -> DataFrame:
     found = near.join(carried, ["url_key", "span"], "left").select("record_id", F.coalesce("_in", "_carry").alias("_ref")).dropDuplicates(["record_id"])
 
     full = rows.filter("type = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("_ref"), F.col("headers").alias("_h"), F.col("digest").alias("_d"), F.col("payload").alias("_p"))
-    both = rows.filter("type = 'revisit'").drop("payload").join(found, "record_id", "left").join(full, "_ref", "left")
+    both = rows.filter("type = 'revisit'").drop("payload").join(found, "record_id", "left")
+    # revisits without a response match nothing; a hash of their own keeps them from meeting in one task
+    both = both.withColumn("_own", F.when(F.col("_ref").isNull(), F.xxhash64("record_id")).otherwise(F.lit(0)))
+    both = both.join(full.withColumn("_own", F.lit(0).cast("long")), ["_ref", "_own"], "left")
     checks = [(_header("headers", k), _header("_h", k)) for k in ("etag", "last-modified")] + [(F.col("digest"), F.col("_d"))]
     named = [a.isNotNull() for a, _ in checks]
     wrong = [a.isNotNull() & ~F.coalesce(a == b, F.lit(False)) for a, b in checks]
