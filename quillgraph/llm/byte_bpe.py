@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pieces whose ids a task remembers; beyond it the memory is emptied and refilled.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of text whose pieces are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
