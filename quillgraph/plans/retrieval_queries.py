@@ -133,12 +133,12 @@ def token_budget(spark, d):
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN upper(c_mktsegment) LIKE '%AUTO%' THEN 1 WHEN upper(c_mktsegment) LIKE '%BUILD%' THEN 2 WHEN upper(c_mktsegment) LIKE '%FURN%' THEN 3 ELSE 4 END AS tier,
-    round(0.5 * c_acctbal / 10000 + 0.5 * (c_custkey % 100) / 100 + (4 - CASE WHEN upper(c_mktsegment) LIKE '%AUTO%' THEN 1 WHEN upper(c_mktsegment) LIKE '%BUILD%' THEN 2 WHEN upper(c_mktsegment) LIKE '%FURN%' THEN 3 ELSE 4 END) * 0.1, 4) AS score FROM customer""")
+    round(0.5 * c_acctbal / 10000 + 0.5 * (c_custkey % 100) / 100 + (4 - CASE WHEN upper(c_mktsegment) LIKE '%AUTO%' THEN 1 WHEN upper(c_mktsegment) LIKE '%BUILD%' THEN 2 WHEN upper(c_mktsegment) LIKE '%FURN%' THEN 3 ELSE 4 END) * 0.1, 8) AS score FROM customer""")
 def tiered_score(spark, d):
     c = table(spark, d, "customer")
     name = F.when(F.col("c_mktsegment").contains("AUTO"), "esgo 2021").when(F.col("c_mktsegment").contains("BUILD"), "FIGO").when(F.col("c_mktsegment").contains("FURN"), "NCCN v1")
     tier = fusion.guideline_tier(name)
-    return c.select(F.col("c_custkey").alias("id"), tier.alias("tier"), F.round(fusion.final_score(F.col("c_acctbal") / 10000, (F.col("c_custkey") % 100) / 100, tier), 4).alias("score"))
+    return c.select(F.col("c_custkey").alias("id"), tier.alias("tier"), F.round(fusion.final_score(F.col("c_acctbal") / 10000, (F.col("c_custkey") % 100) / 100, tier), 8).alias("score"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(coalesce(-value / 10, -10) - coalesce(CASE WHEN event_type <> 'click' THEN -value / 20 END, -10))), 6) AS p FROM events")

@@ -96,7 +96,7 @@ def exists_check(spark, d):
     return table(spark, d, "orders").join(c, "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("paper")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c.c_custkey AS node, array_to_string(list_sort(list(d.source) FILTER (d.source IS NOT NULL)), ',') AS sources, count(d.doc_id) AS n FROM (SELECT c_custkey, unnest([c_custkey, c_custkey * 3]) AS k FROM customer) c LEFT JOIN documents d ON d.doc_id = c.k GROUP BY 1""")
+@query("""SELECT c.c_custkey AS node, coalesce(array_to_string(list_sort(list(d.source) FILTER (d.source IS NOT NULL)), ','), '') AS sources, count(d.doc_id) AS n FROM (SELECT c_custkey, unnest([c_custkey, c_custkey * 3]) AS k FROM customer) c LEFT JOIN documents d ON d.doc_id = c.k GROUP BY 1""")
 def nodes_with_sources(spark, d):
     """Nodes with what their listed sources say, also those without any."""
     keys = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.explode_outer(F.array(F.col("c_custkey"), F.col("c_custkey") * 3)).alias("doc_id"))
