@@ -173,8 +173,8 @@ def _sign(n_buckets: int):
             for turn, (a, b) in enumerate(doc_slices(offsets, SLICE)):
                 seen, values, docs = set(), [], []
                 for i, s in enumerate(shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
-                    if len(s) < N or (key := s.tobytes()) in seen:
-                        continue  # sets this small are similar to equal ones only, which are one class
+                    if not differ(len(s), len(s) + 1) or (key := s.tobytes()) in seen:
+                        continue  # sets of under 4 are similar to equal ones only, which are one class
                     seen.add(key)
                     v, p = signatures(s)
                     values.append(((v >> np.uint64(24)) % np.uint64(n_buckets)) << np.uint64(40) | (v & np.uint64(_VALUE)) << np.uint64(1) | p)

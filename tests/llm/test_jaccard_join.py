@@ -94,3 +94,17 @@ def test_repeated_ids_and_empty(spark):
     got = sorted((x.doc_id, x.component_id) for x in J.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1)]
     assert J.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_smallest_sets(spark):
+    """Sets of 4 shingles against sets of 5, and all small sizes against brute force."""
+    text, cheap = "a b c d e f g h", "buy now cheap pills " * 40
+    rows = [(1, text), (2, text + " i"), (3, cheap), (4, cheap + "today"), (5, "z " + text)]
+    r = random.Random(8)
+    while len(rows) < 250:
+        base = [f"w{r.randrange(2000)}" for _ in range(r.randrange(5, 14))]
+        for words in (base, [*base, "more"], ["less", *base], base[1:]):
+            rows.append((len(rows) + 1, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in J.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[2] == got[1] == got[5] == 1 and got[4] == got[3] == 3
+    assert got == brute(rows)
