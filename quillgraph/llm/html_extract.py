@@ -16,7 +16,8 @@ text), so the model has a fixed size and goes to executors by broadcast.
 Defined results: a null or empty page gives the empty text. Scripts, styles,
 forms and other elements without readable text never count. Unclosed and
 misnested tags are read as browsers read them in the common cases (a block
-closes an open paragraph). Text outside any element is a run of the root.
+closes an open paragraph, the first element of the body an open head, and a
+parent's end tag what is open in it). Text outside any element is a run of the root.
 Repeated rows get equal results; other columns are kept, those named like an
 output are replaced. An empty table gives an empty table.
 """
@@ -38,6 +39,10 @@ TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 400, 60, 4, 0.2, 24
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head noscript template svg iframe form button select textarea option object canvas audio video math".split())
+#: What can stand in a head without ending it; silent elements that only their own end tag ends; those whose <x/> is closed.
+HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+SEALED = frozenset("script style template iframe object textarea".split())
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li td th tr dd dt body".split())
 GROUPS = {
@@ -87,10 +92,13 @@ class _Reader(HTMLParser):
         self.links = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and (self.open[-1][0] == "head" and tag not in HEAD or tag == "body"):
+            self.end("head")
         if self.silent:
-            if tag in SILENT and tag not in VOID:
+            if tag not in VOID and tag not in ("head", "html", "body"):
                 self.open.append((tag, self.open[-1][1]))
-                self.silent += 1
+                self.silent += tag in SILENT
+                self.links += tag == "a"
             return
         if tag in SILENT:
             if tag == "head" or tag not in VOID:
@@ -126,7 +134,7 @@ class _Reader(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
-        elif tag not in SILENT or self.silent:
+        elif tag not in SILENT and not (self.silent and any(name in FOREIGN for name, _ in self.open)):
             self.handle_starttag(tag, attrs)
 
     def end(self, tag, stop=frozenset()):
@@ -142,11 +150,11 @@ class _Reader(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if self.silent and tag not in SILENT:
-            if tag in ("body", "html"):
-                return
-            return
-        self.end(tag)
+        self.end(tag, SEALED if self.silent else frozenset())
+
+    def parse_marked_section(self, i, report=1):
+        """Browsers read any <![ up to the next > as a comment."""
+        return self.parse_bogus_comment(i)
 
     def text(self, data):
         parent = self.open[-1][1]
@@ -161,6 +169,8 @@ class _Reader(HTMLParser):
             last.linked += len(data)
 
     def handle_data(self, data):
+        if self.silent and self.open[-1][0] == "head" and data.strip():
+            self.end("head")
         if not self.silent:
             self.text(data)
 

@@ -65,3 +65,24 @@ def H_lit():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_rest_of_the_page_is_read():
+    """Open heads, forms, selects and buttons and unknown declarations do not swallow what follows."""
+
+    def words(html):
+        return " ".join("".join(x.parts) for x in H.parse(html) if x.tag == "#text").split()
+
+    article = "<article><p>one two</p></article>"
+    for page in (
+        f"<html><head><title>t <b>u</b></title><meta charset=x><body>{article}",
+        f"<head><title>t</title><script>s</script>{article}",
+        f"<head><link href=x><noscript><img src=y></noscript>{article}",
+        *(f"<body><div><{x}><div>in</div><p>in</div>{article}" for x in ("form", "select", "button")),
+        f"<div><form><div>in</div><svg><path/><g/></svg>in</form></div>{article}",
+        f"<template><div>in</div></div></template>{article}",
+        f"<![bad x]>{article}",
+        f"<head><title>t</title></head><body><![if !IE]>{article}<![endif]>",
+    ):
+        assert words(page) == ["one", "two"], page
+    assert words("<div>a <![bad>b</div><p>c</p>") == ["a", "b", "c"]
