@@ -287,7 +287,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links): each document's class, and verified links between classes that join all that are similar.
 
     classes: doc_id, n_shingles, rep (smallest doc_id of an equal set, null for
-    an empty one). links: a, b, representatives of similar classes.
+    an empty one). links: a, b, representatives of similar classes; a subset
+    that spans the components, not all links within them.
     """
     spark = docs.sparkSession
     keys = written(set_keys(docs), "jaccard-keys")
@@ -323,22 +324,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each document; n_links counts the verified links of its class."""
+    """(doc_id, n_shingles, component_id) of each document."""
     classes, found = links(docs)
     group = components(found, "jaccard-all")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     # rows of one doc_id are one node even if their texts differ
     shared = classes.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     extra = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(shared.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
     if not extra.isEmpty():
         group = components(found.unionByName(extra), "jaccard-all")
-    done = classes.join(group, classes["rep"] == group["node"], "left").drop("node").join(ends, classes["rep"] == ends["node"], "left").drop("node")
-    return done.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    done = classes.join(group, classes["rep"] == group["node"], "left").drop("node")
+    return done.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` whose 5-word shingle sets are similar to 0.8."""
-    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("n_links")
+    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 ORACLE_SQL = r"""

@@ -108,3 +108,8 @@ def test_smallest_sets(spark):
     got = {x.doc_id: x.component_id for x in J.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got[2] == got[1] == got[5] == 1 and got[4] == got[3] == 3
     assert got == brute(rows)
+
+
+def test_no_count_of_links(spark):
+    """links() spans the components only, so no count of links is offered."""
+    assert J.joined(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).columns == ["doc_id", "n_shingles", "component_id"]
