@@ -50,6 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Bounds the bytes of an Arrow batch that goes to Python, where the session leaves them without a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "2147483647", "2147483647b"):
+        spark.conf.set(key, most)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts (null: none)."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join by universe partition and the pigeonhole principle.
+r"""Exact n-gram Jaccard self-join by universe partition and the pigeonhole principle.
 
 A document's set holds its distinct 5-word shingles. Two sets r, s with
 Jaccard similarity >= 0.8 differ in at most H = floor((|r| + |s|) / 9) shingles.
@@ -14,10 +14,31 @@ are counted, each set probes its rarest ones: those that no other set has cost
 nothing, so sets that share but a common passage hardly ever meet.
 
 Sets that meet in a signature are candidates. Equal sets form one class first.
-Candidates are verified exactly on their texts: first each one against one
-probe of its signature, then every pair of a signature whose ends are not yet
-in one component. So no link that joins components is lost, and copies are not
-expanded into all pairs.
+Signatures are gathered under their most popular member (the one that meets most
+others in all its signatures). Groups of GROUP sets or fewer are compared among
+themselves. A larger group has a centre Z: the shingles that most of a sample of
+it have (any Z is right, a good one is fast). Every member x is compared with
+the centre: it differs in D(x) = x \ Z (added) and Z \ x (removed). Similar x, y
+without a common difference have |D(x)| + |D(y)| <= (|x| + |y|) / 9. So with
+f(x) = 9 |D(x)| - |x| they are linked if f(x) + f(y) <= 0, and the member with
+the least f, linked with all that it can be, joins them. Members that are left
+meet again in groups of a common difference (group, shingle, added or removed),
+which are the next round's groups; those of the same members count once. A
+difference is what few members have, so groups shrink fast. Near copies of one
+text hardly ever share an edit: K of them cost about K comparisons.
+
+Bounds keep the differences few. At least |added| - |x| / 5 added shingles are
+common to similar sets, so the first |x| / 5 + 1 in any order of the group are
+enough; those that the sample has least often come first.
+Removed ones matter only where no added one is common. Then h = (|x| + |y|) / 9
+is at least the added ones of both and the difference of the removed ones'
+numbers, and what h leaves says how many removed ones must be common. So the
+numbers of added and removed shingles that occur in a group (no more than sizes
+allow) tell how many removed ones each member sends: mostly none.
+
+Comparisons run on shingle hashes, and what they find similar is confirmed on
+the words. No link that joins components is lost, and copies are not expanded
+into all pairs.
 
 A signature that many documents share costs its bucket one entry a slice of
 the input: further members go to the next stage by way of other buckets.
@@ -35,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import buffers, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
+from quillgraph.llm.common import bound_batches, buffers, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
 from quillgraph.llm.components import components
 
 #: Words of a shingle; similarity as a ratio of integers.
@@ -46,6 +67,10 @@ BAND, SMALL = 1.5, 45
 SLICE, BUCKET = 4 << 20, 16 << 20
 #: Text whose words are hashed together.
 HASHED = 1 << 19
+#: Sets of a group that are compared among themselves (and expected size of the sample that makes a larger group's centre).
+GROUP = 32
+#: Members of a large group that are compared with its centre in one part.
+SPREAD = 512
 
 _COEFFICIENTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 3, 1 << 64) | 1) for i in range(N)]
 _VALUE = (1 << 39) - 1
@@ -231,36 +256,202 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"gid": pa.array((v >> np.uint64(1)).astype(np.int64)), "doc": pa.array(d), "probe": pa.array((v & np.uint64(1)).astype(np.int32))})
 
 
-def _similar(batches):
-    """Verifies (a, b, text_a, text_b) exactly."""
-    held = (None, frozenset())
+def _grams(text: str) -> frozenset:
+    words = text.encode().translate(_ASCII_LOWER).split()
+    return frozenset(zip(*(words[i:] for i in range(N)), strict=False)) if len(words) >= N else frozenset([tuple(words)] if words else ())
 
-    def grams(text):
-        words = text.encode().translate(_ASCII_LOWER).split()
-        return frozenset(zip(*(words[i:] for i in range(N)), strict=False)) if len(words) >= N else frozenset([tuple(words)] if words else ())
 
+def _alike(both: int, r: int, s: int) -> bool:
+    return both > 0 and DEN * both >= NUM * (r + s - both)
+
+
+def _runs(batches):
+    """(label, rows) of each run of equal labels in batches(label, rep, c, text); a row is (rep, c, text, set)."""
+    label, rows = None, []
+    for batch in batches:
+        sets = shingle_sets(*buffers(batch.column(3)))
+        for now, rep, c, text, s in zip(*(batch.column(i).to_pylist() for i in range(4)), sets, strict=True):
+            if now != label:
+                if rows:
+                    yield label, rows
+                label, rows = now, []
+            rows.append((rep, c, text or "", s))
+    if rows:
+        yield label, rows
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a few sets."""
+    shared, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = np.bincount(at, minlength=len(shared))[at] > 1
+    owner, at = owner[many], np.unique(at[many], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(at.max()) + 1 if len(at) else 0, 1 << 16):
+        here = (at >= first) & (at < first + (1 << 16))
+        table = np.zeros((len(sets), min(1 << 16, int(at.max()) + 1 - first)), np.float32)
+        table[owner[here], at[here] - first] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def _linked(batches):
+    """Links (a, b) that join the components of each small group."""
+    out = []
+    for _, rows in _runs(batches):
+        both, up = _common([r[3] for r in rows]), {r[1]: r[1] for r in rows}
+
+        def root(x):
+            while up[x] != x:  # noqa: B023
+                x = up[x]  # noqa: B023
+            return x
+
+        for j in range(len(rows)):
+            for i in range(j):
+                if root(rows[i][1]) == root(rows[j][1]) or not _alike(int(both[i, j]), len(rows[i][3]), len(rows[j][3])):
+                    continue
+                x, y = _grams(rows[i][2]), _grams(rows[j][2])
+                if _alike(len(x & y), len(x), len(y)):
+                    out.append((rows[i][0], rows[j][0]))
+                    up[root(rows[j][1])] = root(rows[i][1])
+        if len(out) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+
+def _centres(batches):
+    """What several of each group's sampled rows have: shingles, how many rows have each, and the number of rows."""
+    for label, rows in _runs(batches):
+        shingles, n = np.unique(np.concatenate([r[3] for r in rows]), return_counts=True)
+        often = n > min(1, len(rows) - 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([label], pa.int64()), pa.array([shingles[often].tobytes()], pa.binary()), pa.array([n[often].astype(np.int32).tobytes()], pa.binary()), pa.array([len(rows)], pa.int32())],
+            names=["label", "often", "times", "sampled"],
+        )
+
+
+_COMPARED = "label long, rep long, c long, n int, n_z int, more int, less int, added binary, removed binary"
+
+
+def _compare(batches):
+    """What each text of (label, rep, c, text, often, times, sampled) differs in from the centre: its counts, and the rarest differences."""
+    types = (*[pa.int64()] * 3, *[pa.int32()] * 4, pa.binary(), pa.binary())
+    names = [x.split()[0] for x in _COMPARED.split(", ")]
     for batch in batches:
-        keep = []
-        for text_a, text_b in zip(batch.column(2), batch.column(3), strict=True):
-            a = text_a.as_py() or ""
-            if held[0] != a:
-                held = (a, grams(a))
-            r, s = held[1], grams(text_b.as_py() or "")
-            both = len(r & s)
-            keep.append(bool(both) and DEN * both >= NUM * (len(r) + len(s) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        rows, held = [], (None, None, None, None)
+        for label, s, blob, counts, sampled in zip(batch.column(0).to_pylist(), shingle_sets(*buffers(batch.column(3))), *(batch.column(i) for i in (4, 5, 6)), strict=True):
+            if held[0] != label:
+                if blob.is_valid:
+                    often, times = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int32)
+                else:
+                    often, times = s[:0], np.zeros(0, np.int32)
+                held = (label, often, times, often[2 * times > (sampled.as_py() or 0)])
+            _, often, times, z = held
+            added, removed = np.setdiff1d(s, z, assume_unique=True), np.setdiff1d(z, s, assume_unique=True)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, added), len(often) - 1)
+                added = added[np.lexsort((added, np.where(often[at] == added, times[at], 0)))]
+                removed = removed[np.lexsort((removed, -times[np.searchsorted(often, removed)]))]
+            rows.append((len(s), len(z), len(added), len(removed), added[: len(s) * (DEN - NUM) // DEN + 1].tobytes(), removed[: len(s) * (DEN - NUM) // NUM + 1].tobytes()))
+        if rows:
+            columns = [*(batch.column(i) for i in range(3)), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs whose texts are similar."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("text_a"))
-    others = texts.select(F.col("a").alias("b"), F.col("text_a").alias("text_b"))
-    both = pairs.join(texts, "a").join(others, "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_similar, "a long, b long"), name)
+def _removed(table: pa.Table) -> pa.Table:
+    """How many removed shingles members send, by their shape: (label, more, less, linked) with n_z gets ``keep``."""
+    more, less, linked, n_z = (table.column(c).to_numpy().astype(np.int64) for c in ("more", "less", "linked", "n_z"))
+    n, keep = n_z + more - less, np.zeros(len(more), np.int32)
+    for first in range(0, len(more), 1024):
+        x = np.s_[first : first + 1024, None]
+        spare = (DEN - NUM) * (n[x] + n) // (DEN + NUM) - more[x] - more
+        common = np.maximum((less[x] + less - spare + 1) // 2, 1)
+        able = (spare >= abs(less[x] - less)) & (common <= np.minimum(less[x], less)) & ~((linked[x] > 0) & (linked > 0))
+        keep[first : first + 1024] = np.where(able, less[x] - common + 1, 0).max(1)
+    return table.select(["label", "more", "less", "linked"]).append_column("keep", pa.array(keep))
+
+
+def _differences(batches):
+    """(label, rep, c) of each difference of (label, rep, c, added, removed), the new label made of the old one, shingle and kind."""
+    for batch in batches:
+        labels, sizes = [], np.zeros(len(batch), np.int64)
+        old = mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0x94D049BB133111EB))
+        for i, blobs in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            for kind, blob in enumerate(blobs):
+                x = np.frombuffer(blob.as_buffer(), np.uint64)
+                labels.append(mix((x ^ old[i]) + np.uint64(kind)))
+                sizes[i] += len(x)
+        if labels:
+            rows = pa.array(np.repeat(np.arange(len(batch)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels).view(np.int64)), *(batch.column(i).take(rows) for i in (1, 2))], names=["label", "rep", "c"])
+
+
+def _in_runs(rows: DataFrame) -> DataFrame:
+    return rows.select("label", "rep", "c", "text").repartition("label").sortWithinPartitions("label")
+
+
+def _round(members: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, differences) of the groups of members(label, rep, c, k) that have members of two components.
+
+    links: a, b. differences: members of large groups with what they send on.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = texts.join(members.select("rep").distinct(), "rep", "left_semi")
+    few = F.col("k") <= GROUP
+    near = written(_in_runs(members.filter(few).join(texts, "rep")).mapInArrow(_linked, "a long, b long"), "jaccard-links")
+    if members.filter(~few).isEmpty():
+        return near, None
+    large = members.filter(~few)
+    sample = large.filter(F.pmod(F.xxhash64("label", "rep"), "k") < GROUP)
+    centres = written(_in_runs(sample.join(texts, "rep")).mapInArrow(_centres, "label long, often binary, times binary, sampled int"), "jaccard-centres")
+    # the members of a hot group are spread; its centre is repeated for each part of them
+    parts = F.ceil(F.col("k") / SPREAD).cast("int")
+    sizes = large.groupBy("label").agg(F.max("k").alias("k")).join(centres, "label", "left")
+    sizes = sizes.select("label", "often", "times", "sampled", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = large.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).join(texts, "rep").join(sizes, ["label", "part"])
+    done = both.select("label", "rep", "c", "text", "often", "times", "sampled").mapInArrow(_compare, _COMPARED)
+    odds = (DEN + NUM) // (DEN - NUM)
+    done = done.withColumn("f", odds * (F.col("more") + F.col("less")) - F.col("n"))
+    done = written(done, "jaccard-compared")
+    rank = F.struct("f", "rep")
+    best = done.groupBy("label").agg(F.min_by("rep", rank).alias("a"), F.min_by("c", rank).alias("c_a"), F.min("f").alias("f_a"))
+    done = done.join(best, "label").withColumn("linked", F.col("f") + F.col("f_a") <= 0)
+    return near.unionByName(done.filter("linked AND c <> c_a").select("a", F.col("rep").alias("b"))), done
+
+
+def _left(done: DataFrame, placed: DataFrame) -> DataFrame:
+    """The next round's members(label, rep, c): the differences of groups that still have members of two components."""
+    found = done.drop("c").join(placed, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+    open_ = found.groupBy("label").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("label")
+    found = found.join(open_, "label", "left_semi")
+    shape = ["label", "more", "less", "linked"]
+    shapes = found.filter(f"{DEN - NUM} * n >= {NUM} * more").groupBy(*shape).agg(F.first("n_z").alias("n_z"))
+    shapes = shapes.groupBy("label").applyInArrow(_removed, "label long, more int, less int, linked boolean, keep int")
+    sent = found.join(shapes, shape, "left").withColumn("removed", F.expr("substring(removed, 1, 8 * coalesce(keep, 0))"))
+    return sent.select("label", "rep", "c", "added", "removed").mapInArrow(_differences, "label long, rep long, c long")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """members(label, rep, c) with k, the size of their group; only groups of two components, one of those with the same members."""
+    mark = F.xxhash64("rep")
+    groups = members.groupBy("label").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y"))
+    groups = groups.filter("lo <> hi").groupBy("k", "x", "y").agg(F.min("label").alias("label")).select("label", "k")
+    return members.join(groups, "label")
+
+
+def _merged(placed: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """placed(node, component) after the links more(a, b)."""
+    ends = [placed.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+    edges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    step = components(edges, name)
+    moved = placed.join(step.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    fresh = step.join(placed, "node", "left_anti")
+    return written(moved.select("node", F.coalesce("_to", "component").alias("component")).unionByName(fresh), name)
 
 
 def _allocated(members: DataFrame) -> DataFrame:
@@ -284,13 +475,13 @@ def _allocated(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): each document's class, and verified links between classes that join all that are similar.
+    """(classes, placed): each document's class, and the component of each class that is linked with another.
 
     classes: doc_id, n_shingles, rep (smallest doc_id of an equal set, null for
-    an empty one). links: a, b, representatives of similar classes; a subset
-    that spans the components, not all links within them.
+    an empty one). placed: node (a rep), component (its smallest rep).
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     keys = written(set_keys(docs), "jaccard-keys")
     reps = keys.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = written(keys.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep"), "jaccard-classes")
@@ -304,34 +495,29 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = classes.filter("rep IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max_by("rep", "n_shingles").alias("rep"), F.max("n_shingles").alias("n"))
     members = written(met.join(sized, "doc").groupBy("gid", "rep").agg(F.max("probe").alias("probe"), F.max("n").alias("n")), "jaccard-members")
     members = written(_allocated(members), "jaccard-allocated")
-    near = F.expr(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    centre = members.filter("probe = 1").groupBy("gid").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("n_a"))
-    star = members.select("gid", F.col("rep").alias("b"), F.col("n").alias("n_b")).join(centre, "gid").filter("a <> b")
-    tried = written(star.filter(near).select(*pair).distinct(), "jaccard-star")
-    found = _verified(tried, docs, "jaccard-links")
-
-    group = components(found, "jaccard-first")
-    placed = members.join(group, members["rep"] == group["node"], "left").select("gid", "rep", "probe", "n", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("gid")
-    open_ = written(placed.join(split, "gid", "left_semi"), "jaccard-open")
-    left = open_.filter("probe = 1").select("gid", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = open_.select("gid", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    rest = left.join(right, "gid").filter("c_a <> c_b AND n_a >= n_b").filter(near).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "jaccard-rest")
-    more = _verified(rest, docs, "jaccard-more")
-    return classes, found.unionByName(more)
+    met = members.join(members.groupBy("gid").agg(F.count("*").alias("k")), "gid")
+    pops = met.groupBy("rep").agg(F.sum("k").alias("pop"))
+    leaders = members.join(pops, "rep").groupBy("gid").agg(F.max_by("rep", F.struct("pop", (-F.col("rep")).alias("r"))).alias("label"))
+    members = members.join(leaders, "gid").select("label", "rep", F.col("rep").alias("c")).distinct()
+    placed = spark.createDataFrame([], "node long, component long")
+    while True:
+        members = written(members, "jaccard-met")
+        found, done = _round(written(_open(members), "jaccard-open"), texts)
+        if not found.isEmpty():
+            placed = _merged(placed, found, "jaccard-placed")
+        if done is None:
+            return classes, placed
+        members = _left(done, placed)
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
-    classes, found = links(docs)
-    group = components(found, "jaccard-all")
+    classes, group = links(docs)
     # rows of one doc_id are one node even if their texts differ
     shared = classes.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     extra = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(shared.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
     if not extra.isEmpty():
-        group = components(found.unionByName(extra), "jaccard-all")
+        group = _merged(group, extra, "jaccard-all")
     done = classes.join(group, classes["rep"] == group["node"], "left").drop("node")
     return done.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
