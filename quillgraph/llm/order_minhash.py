@@ -9,27 +9,36 @@ thus differ, and the share of equal sketches follows edit distance.
 The likeness of two fingerprints is the number of equal sketches among those
 that at least one text fills: 1 for equal texts, about 0 for unrelated ones.
 
+One hash of each k-mer serves all sketches: its leading bits name the sketch, the
+rest rank it there, so a text needs one pass and not BINS. A sketch that a short
+text leaves empty counts in a likeness only if the other text fills it.
+
 Defined results: a null text counts as empty. An empty text fills no sketch:
 its fingerprint is all zeros, and its likeness is 1 to another empty text and
 0 to any other. Texts shorter than K are one k-mer. A doc_id of null comes
 first in the order; rows of one doc_id follow each other by text, so repeated
-rows are neighbours. The next document of the last one is the first. An empty
+rows are neighbours, and equal rows (ties) get results in either order. Very long
+texts are hashed whole, in memory of about 60 bytes a code point. Other columns
+are not read. The next document of the last one is the first. An empty
 table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import mix, partitions, powers
+from quillgraph.llm.common import bound_batches, mix, partitions, powers, text_bytes
 
 K, L, BINS = 8, 2, 64
+#: Text of a range of documents, where the session's number of partitions does not make smaller ones.
+BUCKET = 256 << 20
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWERS = powers(_BASE, K)
 _ORDER = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
@@ -49,27 +58,24 @@ def fingerprint(text: str | None) -> np.ndarray:
     for i in range(1, K):
         grams += points[i : i + count] * _POWERS[i]
     grams = mix(grams)
-    bits = np.uint64(max(1, int(count).bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    # one sort brings equal k-mers together in text order: the low bits hold the position
-    line = np.sort((grams & ~mask) | np.arange(count, dtype=np.uint64))
-    key, at = line >> bits, (line & mask).astype(np.int64)
+    # equal k-mers stand together, in text order
+    order = np.argsort(grams, kind="stable")
+    key = grams[order]
     new = np.ones(count, bool)
     np.not_equal(key[1:], key[:-1], out=new[1:])
     index = np.arange(count)
     nth = index - np.maximum.accumulate(np.where(new, index, 0))
-    numbered = mix(grams[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    # a second sort brings each sketch's minimal hashes to its front
-    small = np.sort((numbered & ~mask) | at.astype(np.uint64))
+    numbered = mix(key + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    # each sketch's minimal hashes come first among those that share its leading bits
+    line = np.argsort(numbered)
+    small, at = numbered[line], order[line]
     edges = np.searchsorted(small, np.arange(BINS, dtype=np.uint64) << np.uint64(58))
     ends = np.append(edges[1:], count)
-    full = edges < ends
-    first = small[np.where(full, edges, 0)]
-    second = np.where(edges + 1 < ends, small[np.minimum(edges + 1, count - 1)], np.uint64(0))
-    a, b = first, second
-    swap = (second & mask) < (first & mask)
-    swap &= edges + 1 < ends
-    a, b = np.where(swap, b, a) & ~mask, np.where(swap, a, b) & ~mask
+    full, two = edges < ends, edges + 1 < ends
+    i, j = np.where(full, edges, 0), np.where(two, edges + 1, 0)
+    first, second = small[i], np.where(two, small[j], np.uint64(0))
+    swap = two & (at[j] < at[i])
+    a, b = np.where(swap, second, first), np.where(swap, first, second)
     tuples = mix(a * _ORDER[0] + mix(b * _ORDER[1] + np.uint64(1)))
     out[full] = (tuples[full] % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
     return out
@@ -125,6 +131,17 @@ def _compare(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), pa.schema([("d", pa.int64()), ("n", pa.int64()), ("s", pa.string()), ("f", pa.string()), ("e", pa.string()), ("a", pa.float64()), ("b", pa.float64())]), strict=True)], names=_OUT.fieldNames())
 
 
+def _place(cuts: list[int], key: str) -> Column:
+    """How many of the cuts are below the key: first among every few of them, then between two of these."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    array = lambda xs: "array(" + ", ".join(f"{c}L" if c > -(1 << 63) else "bigint(-9223372036854775807) - 1L" for c in xs) + ")"
+    whole = f"size(filter({array(cuts[step - 1 :: step]) if len(cuts) >= step else 'array(9223372036854775807L)'}, c -> c < {key}))"
+    rows = f"array({', '.join(array(cuts[i : i + step]) for i in range(0, len(cuts), step))}, array(9223372036854775807L))"
+    return F.expr(f"{step} * {whole} + size(filter(element_at({rows}, {whole} + 1), c -> c < {key}))")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness to the text and to the next document.
 
@@ -135,15 +152,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(1, partitions(spark))
+    bound_batches(spark)
+    n = max(1, partitions(spark), text_bytes(docs) // BUCKET)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    # as many cuts as partitions: what Spark's own range exchange also sends to every task
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.expr(f"size(filter(array({', '.join(f'{c}L' if c > -(1 << 63) else 'bigint(-9223372036854775807) - 1L' for c in cuts)}), c -> c < coalesce(doc_id, bigint(-9223372036854775807) - 1L)))")
-    ranged = docs.withColumn("bucket", bucket)
+    ranged = docs.withColumn("bucket", _place(sorted(set(cuts)) if n > 1 else [], "coalesce(doc_id, bigint(-9223372036854775807) - 1L)"))
     firsts = ranged.groupBy("bucket").agg(F.min(key).alias("least")).orderBy("bucket").collect()
     if not firsts:
         return spark.createDataFrame([], _OUT)

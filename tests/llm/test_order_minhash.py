@@ -14,12 +14,13 @@ def brute(text):
     points += [0] * (O.K - len(points))
     seen, bins = {}, {}
     count = len(points) - O.K + 1
-    bits = max(1, count.bit_length())
     for i in range(count):
-        gram = int(O.mix(np.array([sum(p * int(w) for p, w in zip(points[i : i + O.K], O._POWERS, strict=True)) % 2**64], np.uint64))[0])
-        nth = seen[gram >> bits] = seen.get(gram >> bits, 0) + 1
-        h = int(O.mix(np.array([(gram + nth * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> bits
-        bins.setdefault(h >> (58 - bits), []).append((h, i))
+        gram = text[i : i + O.K]
+        nth = seen[gram] = seen.get(gram, 0) + 1
+        number = sum(p * int(w) for p, w in zip(points[i : i + O.K], O._POWERS, strict=True)) % 2**64
+        number = int(O.mix(np.array([number], np.uint64))[0]) + nth * 0x9E3779B97F4A7C15
+        h = int(O.mix(np.array([number % 2**64], np.uint64))[0])
+        bins.setdefault(h >> 58, []).append((h, i))
     return [tuple(h for h, _ in sorted(sorted(bins[b])[: O.L], key=lambda x: x[1])) if b in bins else None for b in range(O.BINS)]
 
 
@@ -49,6 +50,24 @@ def test_follows_edits():
     assert O.likeness(O.fingerprint(" ".join(words)), O.fingerprint(" ".join(moved))) < 0.8
 
 
+def test_likeness_across_lengths():
+    """A text and the same with two characters or two in a hundred more are alike at every length around the powers of two."""
+    r = random.Random(4)
+    long = "".join(r.choice("etaoin shrdlu") for _ in range(70_000))
+    for power in range(6, 17):
+        for n in (2**power - 2, 2**power - 1, 2**power, 2**power + 1, 2**power + 7, 2**power + 8):
+            for more in (2, max(2, n // 50)):
+                assert O.likeness(O.fingerprint(long[:n]), O.fingerprint(long[: n + more])) > 0.8, (n, more)
+
+
+def test_place(spark):
+    r = random.Random(5)
+    for size in (0, 1, 2, 3, 10, 57):
+        cuts = sorted(r.sample(range(-200, 200), size)) + ([2**63 - 1] if size > 3 else [])
+        rows = spark.range(-210, 210).select("id", O._place(cuts, "id").alias("b")).collect()
+        assert all(x.b == sum(c < x.id for c in cuts) for x in rows)
+
+
 def test_rows(spark):
     rows = [(5, "hello there world"), (1, "abc"), (9, None), (7, ""), (None, "no id"), (5, "hello there world"), (12, "x y z " * 4000), (13, "naïve 🙂 text with points")]
     got = O.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy", O.F.lit("clash"))).collect()
