@@ -17,7 +17,10 @@ Defined results: a null or empty page gives the empty text. Scripts, styles,
 forms and other elements without readable text never count. Unclosed and
 misnested tags are read as browsers read them in the common cases (a block
 closes an open paragraph, the first element of the body an open head, and a
-parent's end tag what is open in it). Text outside any element is a run of the root.
+parent's end tag what is open in it); an unknown declaration is a comment up to
+its >. Text outside any element is a run of the root. Deep, wide and very long
+pages are read whole, in time about in proportion to their nodes. Nodes of equal
+worth either way (ties) are kept.
 Repeated rows get equal results; other columns are kept, those named like an
 output are replaced. An empty table gives an empty table.
 """
@@ -27,6 +30,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -88,6 +92,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None)
         self.open: list[tuple[str, Node]] = [("#root", self.root)]
+        #: How many elements of each name are open, so that looking for one that isn't costs nothing.
+        self.names: Counter[str] = Counter()
         self.silent = 0
         self.links = 0
 
@@ -96,20 +102,20 @@ class _Reader(HTMLParser):
             self.end("head")
         if self.silent:
             if tag not in VOID and tag not in ("head", "html", "body"):
-                self.open.append((tag, self.open[-1][1]))
+                self.enter(tag, self.open[-1][1])
                 self.silent += tag in SILENT
                 self.links += tag == "a"
             return
         if tag in SILENT:
             if tag == "head" or tag not in VOID:
-                self.open.append((tag, self.open[-1][1]))
+                self.enter(tag, self.open[-1][1])
                 self.silent = 1
             return
         if tag in INLINE:
             if tag == "br":
                 self.text(" ")
             elif tag not in VOID:
-                self.open.append((tag, self.open[-1][1]))
+                self.enter(tag, self.open[-1][1])
                 self.links += tag == "a"
             return
         if tag in CLOSES_P:
@@ -129,21 +135,28 @@ class _Reader(HTMLParser):
         parent = self.open[-1][1]
         node = Node(tag, parent, attribute_groups(attrs))
         parent.children.append(node)
-        self.open.append((tag, node))
+        self.enter(tag, node)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
-        elif tag not in SILENT and not (self.silent and any(name in FOREIGN for name, _ in self.open)):
+        elif tag not in SILENT and not (self.silent and any(self.names[name] for name in FOREIGN)):
             self.handle_starttag(tag, attrs)
 
+    def enter(self, tag, node):
+        self.open.append((tag, node))
+        self.names[tag] += 1
+
     def end(self, tag, stop=frozenset()):
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k][0]
             if name == tag:
                 for gone, _ in self.open[k:]:
                     self.silent -= gone in SILENT
                     self.links -= gone == "a"
+                    self.names[gone] -= 1
                 del self.open[k:]
                 return
             if name in stop:
@@ -198,8 +211,10 @@ def features(nodes: list[Node]) -> np.ndarray:
     parent = [-1 if x.parent is None else index[id(x.parent)] for x in nodes]
     text, linked, count, paras, stops = [0.0] * n, [0.0] * n, [1.0] * n, [0.0] * n, [0.0] * n
     above, place, line = [0] * n, [0.0] * n, 0.0
+    kinds, alike = [0] * n, [Counter(y.tag for y in x.children) for x in nodes]
     for i, x in enumerate(nodes):
         above[i] = x.groups | (above[parent[i]] if i else 0)
+        kinds[i] = _KIND.get(x.tag, 0) | (kinds[parent[i]] if i else 0)
         if x.tag == "#text":
             s = "".join(x.parts)
             text[i], linked[i], stops[i] = len(s), x.linked, s.count(".") + s.count(",")
@@ -217,8 +232,8 @@ def features(nodes: list[Node]) -> np.ndarray:
     rows = []
     for i, x in enumerate(nodes):
         p = parent[i]
-        family = nodes[p].children if i else [x]
-        same = sum(y.tag == x.tag for y in family)
+        family = len(nodes[p].children) if i else 1
+        same = alike[p][x.tag] if i else 1
         rows.append(
             [
                 math.log1p(text[i]),
@@ -231,32 +246,23 @@ def features(nodes: list[Node]) -> np.ndarray:
                 math.log1p(count[i]),
                 x.depth,
                 place[i] / total,
-                len(family),
-                same / len(family),
+                family,
+                same / family,
                 math.log1p(paras[p]) if i else 0.0,
                 linked[p] / max(text[p], 1.0) if i else 0.0,
                 TAGS.index(x.tag) if x.tag in TAGS else -1,
                 (TAGS.index(nodes[p].tag) if nodes[p].tag in TAGS else -1) if i else -1,
                 *((x.groups >> k) & 1 for k in range(len(GROUPS))),
                 *((above[i] >> k) & 1 for k in range(len(GROUPS))),
-                *_ancestry(x),
+                *((kinds[i] >> k) & 1 for k in range(len(_KINDS))),
             ]
         )
     return np.array(rows, np.float32)
 
 
+#: An element itself or one above it is of each of these kinds.
 _KINDS = (("article", "main"), ("nav", "menu"), ("aside",), ("footer",), ("header",), ("ul", "ol", "li"), ("table", "td"))
-
-
-def _ancestry(x: Node) -> list[int]:
-    """Whether the node or an element above it is of each kind."""
-    out = [0] * len(_KINDS)
-    while x is not None:
-        for k, kind in enumerate(_KINDS):
-            if x.tag in kind:
-                out[k] = 1
-        x = x.parent
-    return out
+_KIND = {tag: 1 << k for k, tags in enumerate(_KINDS) for tag in tags}
 
 
 class Boosted:

@@ -31,6 +31,77 @@ def test_decoding_is_consistent():
         assert all(at[id(x.parent)] for x, k in zip(nodes, kept, strict=True) if k and x.parent)
 
 
+def test_decoding_is_best():
+    """The kept nodes are worth the most of all choices without a kept node under a dropped one, and trees lower the loss."""
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        nodes = [H.Node("#root", None)]
+        for _ in range(int(r.integers(0, 9))):
+            up = nodes[int(r.integers(0, len(nodes)))]
+            up.children.append(H.Node("div", up))
+            nodes.append(up.children[-1])
+            nodes[-1].parts = ["x" * int(r.integers(0, 30))]
+        odds = r.normal(0, 3, len(nodes))
+        weight = [1 + np.log1p(sum(map(len, x.parts))) for x in nodes]
+        worth = np.clip(odds, -8, 8) * weight
+        at = {id(x): i for i, x in enumerate(nodes)}
+        best = -1e9
+        for choice in range(1 << len(nodes)):
+            keep = [choice >> i & 1 for i in range(len(nodes))]
+            if all(not keep[i] or x.parent is None or keep[at[id(x.parent)]] for i, x in enumerate(nodes)):
+                best = max(best, sum(w if k else -w for w, k in zip(worth, keep)))
+        kept = H.decode(nodes, odds)
+        assert abs(sum(w if k else -w for w, k in zip(worth, kept)) - best) < 1e-9
+
+
+def test_boosting_fits_held_out_rows():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(4000, 6)).astype(np.float32)
+    y = ((x[:, 0] > 0.3) & (x[:, 1] < 0.5) | (x[:, 2] > 1.5)).astype(float)
+    model = H.Boosted(x[:3000], y[:3000])
+    assert ((model.log_odds(x[3000:]) > 0) == (y[3000:] > 0)).mean() > 0.97
+
+
+PAGES = [
+    (
+        """<!doctype html><html lang=en><head><title>Storm</title><meta charset=utf-8></head><body><header class="site-header"><a href="/">The Gazette</a><nav><ul><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></nav></header>
+        <main id="content"><article><h1>Storm cuts power to the coast</h1><p>Thousands of homes were without power on Monday, after a storm crossed the coast overnight and brought down lines.</p>
+        <p>Crews worked through the morning, the company said, and most lines should be back by the evening.</p></article><aside class="related"><h3>Related</h3><ul><li><a href="/1">Rain to come</a></li><li><a href="/2">Rivers rise</a></li></ul></aside></main>
+        <footer><p>Copyright The Gazette. <a href="/terms">Terms</a> <a href="/help">Help</a></p></footer></body></html>""",
+        "Storm cuts power to the coast\n\nThousands of homes were without power on Monday, after a storm crossed the coast overnight and brought down lines.\n\nCrews worked through the morning, the company said, and most lines should be back by the evening.",
+    ),
+    (
+        """<html><body><div id="page"><div class="navigation"><a href="/a">Home</a> <a href="/b">Archive</a> <a href="/c">About</a></div><div class="cookie-consent"><p>We use cookies on this site.</p><button>Accept</button></div>
+        <div class="post"><h1>Baking rye bread</h1><p>Rye holds a lot of water, so the dough stays wet, and it needs a tin. A starter that was fed the evening before works best, in my kitchen at least.</p>
+        <ul><li>500 g of rye flour</li><li>400 g of water, warm</li><li>a spoon of salt</li></ul><p>Bake it for an hour, and let it rest for a day before you cut it &ndash; it is worth the wait.</p></div>
+        <div id="comments"><h3>Comments</h3><div class="comment">Great recipe, thanks a lot!</div><div class="comment">Mine was too wet.</div></div><div class="sidebar"><a href="/x">Popular posts</a></div></div>""",
+        "Baking rye bread\n\nRye holds a lot of water, so the dough stays wet, and it needs a tin. A starter that was fed the evening before works best, in my kitchen at least.\n\n500 g of rye flour\n\n400 g of water, warm\n\na spoon of salt\n\nBake it for an hour, and let it rest for a day before you cut it \u2013 it is worth the wait.",
+    ),
+]
+
+
+def test_written_pages():
+    """Pages written by hand, of another make than the training pages."""
+    model = H.fitted()
+    for page, want in PAGES:
+        nodes = H.parse(page)
+        assert H.blocks(nodes, H.decode(nodes, model.log_odds(H.features(nodes)))) == want
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        nodes = H.parse(page)
+        H.decode(nodes, H.features(nodes)[:, 0].astype(float))
+        return time.process_time() - began
+
+    for make in (lambda n: "<ul>" + "<li>x" * n, lambda n: "<div>" * n + "x", lambda n: "<b>" * n + "<hr></q>" * n, lambda n: "<p>a<hr>" * n):
+        took(make(500))
+        assert took(make(16_000)) < 40 * max(took(make(2_000)), 0.005)
+
+
 def article(html):
     """The article of the driver's pages by their markup alone."""
     inner = re.search(r"<article>(.*?)(</article>|<footer|$)", html, re.S)[1]
