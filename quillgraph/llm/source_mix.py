@@ -10,12 +10,15 @@ fraction a source is left, which a last draw decides. A source's number of
 copies is thus fixed up to one, and since neighbours have like sizes so is
 nearly its number of words.
 
-Chunks are cut by a hash of doc_id, so a source with a third of all rows is
-spread over all of them. Draws are hashes of the ids that meet: reruns agree.
+Every row gets a number, ``_u``, made of all its columns and of its place among
+rows that are equal in all of them; draws and chunks depend on these numbers
+only, so reruns agree however the rows are dealt, and a source (or a null
+doc_id) with a third of all rows is spread over all chunks.
 
 Defined results: a null text has size 0 and takes no words. The null source is
 a source of its own, ordered last. Repeated rows (or ids) are decided one by
-one. Other columns are kept; those named like an output are replaced. An empty
+one; rows equal in all columns (ties) are interchangeable. Columns of maps and
+variants don't tell rows apart. Very long texts are counted whole. Other columns are kept; those named like an output are replaced. An empty
 table gives an empty table.
 """
 
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ MOST = 3
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 
-_UNIT = "source string, doc_id long, size long, rank long, p double, chunk long"
+_UNIT = "source string, doc_id long, size long, _u long, p double, chunk long"
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -102,30 +104,35 @@ def pivot(ids: list[int], p: list[float], level: int) -> list[float]:
 
 def _meet(level: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "rank", "doc_id"], kind="stable", na_position="first")
-        ids = group["doc_id"].fillna(-1).astype(np.int64).tolist()
-        group["p"] = pivot([i * 31 + r for i, r in zip(ids, group["rank"].tolist(), strict=True)], group["p"].tolist(), level)
+        group = group.sort_values(["size", "_u"], kind="stable")
+        group["p"] = pivot(group["_u"].tolist(), group["p"].tolist(), level)
         return group
 
     return run
 
 
+def numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep of docs with ``size`` and ``_u``, a number for each row that depends on the rows only, not on their order."""
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    hashed = sizes(docs.withColumn("_h", F.xxhash64(*told))).select(*(F.col(f"`{c}`") for c in keep), "_h")
+    # rows that share a hash are equal in all columns that tell rows apart
+    return hashed.withColumn("_u", F.xxhash64("_h", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))).drop("_h")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row for each row of docs: doc_id, source, _n, size, source_size, target, copies, taken.
+    """One row for each row of docs: doc_id, source, _u, size, source_size, target, copies, taken."""
+    return _planned(numbered(docs, ["doc_id", "source", "size"]), weights, most)
 
-    ``_n`` numbers the rows of one doc_id by size and text.
-    """
-    spark = docs.sparkSession
-    order = Window.partitionBy("doc_id").orderBy("size", "_h")
-    sized = sizes(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("_h"))
-    units = written(sized.withColumn("_n", F.row_number().over(order)).drop("_h"), "mix-units")
+
+def _planned(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    units = written(rows, "mix-units")
     goals = targets(units, weights, most)
     # no hint: Spark broadcasts the sources only while they are below its own size threshold
     planned = units.join(goals, units["source"].eqNullSafe(goals["source"]), "left").drop(goals["source"])
     planned = planned.withColumn("_c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     planned = planned.withColumn("_sure", F.floor(F.col("_c") + 1e-9)).withColumn("p", F.greatest(F.col("_c") - F.col("_sure"), F.lit(0.0)))
     chunks = max(1, math.ceil(units.count() / CHUNK_ROWS))
-    first = planned.select("source", "doc_id", "size", F.col("_n").cast("long").alias("rank"), "p", F.pmod(F.xxhash64("doc_id", "_n"), F.lit(chunks)).alias("chunk"))
+    first = planned.select("source", F.col("doc_id").cast("long").alias("doc_id"), "size", "_u", "p", F.pmod(F.xxhash64("_u"), F.lit(chunks)).alias("chunk"))
     decided, level = [], 0
     while True:
         met = written(first.groupBy("source", "chunk").applyInPandas(_meet(level), _UNIT), f"mix-level{level}")
@@ -133,7 +140,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         decided.append(met.filter(whole))
         if chunks == 1:
             last = met.filter(~whole)
-            u = F.pmod(F.xxhash64("doc_id", "rank", "source"), F.lit(1 << 30)) / (1 << 30)
+            u = F.pmod(F.xxhash64("_u", "source"), F.lit(1 << 30)) / (1 << 30)
             decided.append(last.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0)))
             break
         chunks, level = math.ceil(chunks / FANOUT), level + 1
@@ -146,17 +153,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     c = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = (F.floor(c + 1e-9) + F.col("p")).cast("long")
     done = done.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return done.select("doc_id", "source", F.col("rank").alias("_n"), "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
+    return done.select("doc_id", "source", "_u", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixture itself: each row of docs as often as the plan takes it, with docs' columns."""
-    order = Window.partitionBy("doc_id").orderBy("_size", "_h")
-    numbered = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_h", F.xxhash64("text"))
-    numbered = numbered.withColumn("_n", F.row_number().over(order))
-    taken = plan(docs, weights, most).filter(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("_n").alias("_m"), "copies")
-    taken = taken.withColumnRenamed("copies", "_copies")
-    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")))
+    rows = numbered(docs, docs.columns)
+    taken = plan(docs, weights, most).filter(F.col("copies") > 0).select("_u", F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    both = rows.join(taken, (rows["_u"] == taken["_u"]) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     repeated = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)
 

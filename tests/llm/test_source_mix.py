@@ -63,5 +63,16 @@ def test_pivot_keeps_expectation():
     assert all(abs(t / 4000 - x) < 0.03 for t, x in zip(total, p, strict=True))
 
 
+def test_reruns_with_tied_ids(spark):
+    """Rows that share ids, texts and sizes in several sources or extra columns get the same plan however they are dealt."""
+    rows = [(i % 30 if i % 5 else None, "abc"[i % 3], "w " * (i % 30 + 1), i % 2) for i in range(180)] + [(1, "a", "long " * 200_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copies int")
+    key = lambda df: sorted(map(str, df.collect()))
+    plans = [key(M.plan(x).drop("_u")) for x in (docs, docs.repartition(7), docs.orderBy(M.F.desc("text"), "copies").coalesce(1))]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) == 181
+    mixes = [key(M.mix(x).select("doc_id", "source", "copies", M.F.md5("text"))) for x in (docs, docs.repartition(5, "source"))]
+    assert mixes[0] == mixes[1] and len(mixes[0]) == sum(r.copies for r in M.plan(docs).collect())
+
+
 def test_empty(spark):
     assert M.plan(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
