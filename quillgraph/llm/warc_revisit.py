@@ -10,28 +10,35 @@ of the time ranges (quantiles of all times) are a window of their own, and the
 last response of each range is carried over to the later ones. So a URL that a
 third of all records have is spread over all ranges; payloads join at the end.
 
-Defined results: ties in time are ordered by record_id. A null URL or time is
-never resolved (outcome no_response). A revisit without validators resolves as
-``unvalidated``. Null headers are empty. Repeated revisits are resolved one by
-one; of responses that share a record_id one is taken. Extra columns are not
-read. An empty table gives an empty table.
+Defined results: ties in time are ordered by record_id, then by a hash of the
+record. A null URL or time is never resolved (outcome no_response). A revisit
+without validators resolves as ``unvalidated``. Null headers are empty.
+Record ids only name records: each revisit is resolved by its own URL, also
+where ids are repeated or null, and refers_to is null for a response without
+one. Very long payloads are passed on whole. Other columns, and records of
+other types, are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import io
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions
+from quillgraph.llm.common import bound_batches, partitions, written
 
 # Headers that a 304 response may update.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
 
+#: Revisits that share a copy of their response, and parts of a URL's first revisits of a time range.
+SPREAD, SALTS = 512, 8
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, no fragment, sorted query, a path of / where there is none."""
     bare = F.regexp_replace(url, "#.*$", "")
@@ -58,24 +65,43 @@ def resolve(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     empty = F.create_map().cast("map<string,string>")
     rows = records.select("record_id", "type", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("double").alias("ts"), F.coalesce("headers", empty).alias("headers"), "digest", "payload")
+    # tells responses apart that share time and record_id
+    rows = rows.withColumn("_h", F.xxhash64("url_key", F.to_json("headers"), "digest", "payload"))
     n = partitions(spark)
     cuts = sorted(set(rows.agg(F.percentile_approx("ts", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []))
     span = F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), c -> c < ts))") if cuts else F.lit(0)
-    light = rows.filter("url_key IS NOT NULL AND ts IS NOT NULL").select("record_id", "type", "url_key", "ts", span.alias("span"))
-    own = F.when(F.col("type") == "response", F.col("record_id"))
-    within = Window.partitionBy("url_key", "span").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = light.withColumn("_in", F.last(own, ignorenulls=True).over(within)).filter("type = 'revisit'")
-    ends = light.filter("type = 'response'").groupBy("url_key", "span").agg(F.max_by("record_id", F.struct("ts", "record_id")).alias("_last"))
-    spans = ends.select("url_key", "span", "_last").unionByName(near.filter("_in IS NULL").select("url_key", "span", F.lit(None).cast(ends.schema["_last"].dataType).alias("_last"))).groupBy("url_key", "span").agg(F.max("_last").alias("_last"))
+    revisit = F.col("type") == "revisit"
+    own = F.when(F.col("type") == "response", F.struct("ts", "record_id", "_h"))
+    # revisits carry what they are checked by and need no join to find it again
+    light = rows.filter("type IN ('response', 'revisit')").select("record_id", "type", "url_key", "ts", F.when(revisit, F.col("headers")).alias("headers"), F.when(revisit, F.col("digest")).alias("digest"), "_h", own.alias("_own"), span.alias("span"))
+    dated = light.filter("url_key IS NOT NULL AND ts IS NOT NULL")
+    within = Window.partitionBy("url_key", "span").orderBy("ts", "record_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    near = dated.withColumn("_in", F.last("_own", ignorenulls=True).over(within)).filter("type = 'revisit'")
+    ends = dated.filter("type = 'response'").groupBy("url_key", "span").agg(F.max("_own").alias("_last"))
+    spans = ends.unionByName(near.filter("_in IS NULL").select("url_key", "span", F.lit(None).cast(ends.schema["_last"].dataType).alias("_last"))).groupBy("url_key", "span").agg(F.max("_last").alias("_last"))
     before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).select("url_key", "span", "_carry")
-    found = near.join(carried, ["url_key", "span"], "left").select("record_id", F.coalesce("_in", "_carry").alias("_ref")).dropDuplicates(["record_id"])
-
-    full = rows.filter("type = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("_ref"), F.col("headers").alias("_h"), F.col("digest").alias("_d"), F.col("payload").alias("_p"))
-    both = rows.filter("type = 'revisit'").drop("payload").join(found, "record_id", "left")
-    # revisits without a response match nothing; a hash of their own keeps them from meeting in one task
-    both = both.withColumn("_own", F.when(F.col("_ref").isNull(), F.xxhash64("record_id")).otherwise(F.lit(0)))
-    both = both.join(full.withColumn("_own", F.lit(0).cast("long")), ["_ref", "_own"], "left")
+    asked = ["record_id", "url_key", "headers", "digest", "_h"]
+    # a URL's spans are no more than the ranges: salted, so that the revisits of a hot one are spread
+    salt = F.pmod(F.col("_h"), F.lit(SALTS)).cast("int")
+    first = near.filter("_in IS NULL").withColumn("_s", salt).join(carried.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")), ["url_key", "span", "_s"], "left")
+    found = near.filter("_in IS NOT NULL").select(*asked, F.col("_in").alias("_ref")).unionByName(first.select(*asked, F.col("_carry").alias("_ref")))
+    lost = light.filter("type = 'revisit' AND (url_key IS NULL OR ts IS NULL)").select(*asked)
+    lost = found.filter("_ref IS NULL").drop("_ref").unionByName(lost)
+
+    # a response is repeated once for every SPREAD revisits that refer to it, and they are dealt to its repeats
+    met = written(found.filter("_ref IS NOT NULL").select(*asked[:4], F.col("_h").alias("_r"), F.col("_ref.ts").alias("_t"), F.col("_ref.record_id").alias("_id"), F.col("_ref._h").alias("_h")), "warc-met")
+    key = ["_h", "_t", "_id"]
+    count = met.groupBy(*key).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_parts"))
+    full = rows.filter("type = 'response'").select(F.col("_h"), F.col("ts").alias("_t"), F.col("record_id").alias("_id"), F.col("headers").alias("_hs"), F.col("digest").alias("_d"), F.col("payload").alias("_p"))
+    same = [F.col("l._h") == F.col("r._h"), F.col("l._t") == F.col("r._t"), F.col("l._id").eqNullSafe(F.col("r._id"))]
+    parts = count.alias("r")
+    full = full.alias("l").join(parts, same).select("l.*", "r._parts").groupBy(*key).agg(F.first("_hs").alias("_hs"), F.first("_d").alias("_d"), F.first("_p").alias("_p"), F.first("_parts").alias("_parts"))
+    full = full.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = met.alias("l").join(parts, same).select("l.*", F.pmod(F.xxhash64("l._r", "l.record_id"), F.col("r._parts")).cast("int").alias("_part"))
+    both = dealt.alias("l").join(full.alias("r"), [*same, F.col("l._part") == F.col("r._part")], "left").select("l.record_id", "l.url_key", "l.headers", "l.digest", F.col("l._id").alias("_ref"), F.col("r._hs").alias("_h"), "r._d", "r._p")
+    none = {c: F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("_ref", "_h", "_d", "_p")}
+    both = both.unionByName(lost.select(*asked[:4], *none.values()))
     checks = [(_header("headers", k), _header("_h", k)) for k in ("etag", "last-modified")] + [(F.col("digest"), F.col("_d"))]
     named = [a.isNotNull() for a, _ in checks]
     wrong = [a.isNotNull() & ~F.coalesce(a == b, F.lit(False)) for a, b in checks]
@@ -87,39 +113,71 @@ def resolve(records: DataFrame) -> DataFrame:
     return out.select("record_id", "url_key", "outcome", F.when(good, F.col("_ref")).alias("refers_to"), F.when(good, merged).alias("headers"), F.when(good, F.col("_p")).alias("payload"))
 
 
-def parse_warc(data: bytes) -> list[dict]:
-    """Records of a WARC file, plain or of gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(plain)
-    out, stream = [], io.BytesIO(data)
+class _Members(io.RawIOBase):
+    """The plain bytes of gzip members that follow each other, as far as they are whole."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.held = memoryview(data), 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.held:
+            piece = self.data[self.at : self.at + (1 << 16)]
+            if not len(piece):
+                return 0
+            self.member = self.member or zlib.decompressobj(31)
+            try:
+                self.held = self.member.decompress(piece)
+            except zlib.error:  # what follows is no member
+                self.at = len(self.data)
+                return 0
+            self.at += len(piece) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+        n = min(len(out), len(self.held))
+        out[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """Records of a WARC file, plain or of gzip members, one at a time; a file that is cut off ends with its last whole record."""
+    stream = io.BufferedReader(_Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         head = {}
-        while (line := stream.readline().strip()):
+        while line := stream.readline().strip():
             name, _, value = line.partition(b":")
             head[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-        body = stream.read(int(head.get("content-length", 0)))
+        size = int(head.get("content-length", 0))
+        body = stream.read(size)
+        if len(body) < size:
+            return
         http, _, payload = body.partition(b"\r\n\r\n") if head.get("warc-type") in ("response", "revisit") else (b"", b"", body)
         headers = {k.decode("latin-1").strip().lower(): v.strip().decode("latin-1") for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
-        out.append({"record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "headers": headers, "digest": head.get("warc-payload-digest"), "payload": payload})
-    return out
+        yield {"record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "headers": headers, "digest": head.get("warc-payload-digest"), "payload": payload}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under path, a file a row of a task."""
+    """Records of the WARC files under path, a file a row of a task, some megabytes of records at a time."""
     schema = "record_id string, type string, url string, date string, headers map<string,string>, digest string, payload binary"
+    names = ["record_id", "type", "url", "date", "headers", "digest", "payload"]
 
     def run(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                yield pd.DataFrame(parse_warc(content), columns=["record_id", "type", "url", "date", "headers", "digest", "payload"])
-
+                held, size = [], 0
+                for record in parse_warc(content):
+                    held.append(record)
+                    size += len(record["payload"]) + 1000
+                    if size > 4 << 20:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+                yield pd.DataFrame(held, columns=names)
+
+    bound_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, schema).withColumn("ts", F.unix_timestamp(F.to_timestamp("date")))
 

@@ -38,6 +38,39 @@ def test_cases(spark):
     assert W.resolve(recs.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    rows = [
+        (1, "response", "http://a/", 1, {"etag": "x"}, None, "of a"),
+        (1, "response", "http://b/", 1, {"etag": "y"}, None, "of b"),
+        (7, "revisit", "http://a/", 5, {"etag": "x"}, None, None),
+        (7, "revisit", "http://b/", 5, {"etag": "y"}, None, None),
+        (None, "revisit", "http://b/", 6, {"etag": "y"}, None, None),
+        (None, "response", "http://c/", 1, {"etag": "z"}, None, "of c"),
+        (8, "revisit", "http://c/", 2, {"etag": "z"}, None, None),
+        (8, "revisit", "http://c/", 2, {"etag": "z"}, None, None),
+        (9, "metadata", "http://c/", 2, {}, None, None),
+    ]
+    got = W.resolve(spark.createDataFrame(rows, "record_id long, type string, url string, ts long, headers map<string,string>, digest string, payload string")).collect()
+    assert sorted((str(r.record_id), r.url_key, r.outcome, str(r.refers_to), r.payload) for r in got) == sorted(
+        [("7", "http://a/", "resolved", "1", "of a"), ("7", "http://b/", "resolved", "1", "of b"), ("None", "http://b/", "resolved", "1", "of b"), *[("8", "http://c/", "resolved", "None", "of c")] * 2]
+    )
+
+
+def test_hot_response(spark):
+    """More revisits of one response than share a copy, before and after the ranges' ends."""
+    rows = [(0, "response", "http://h/", 0, {"etag": "e"}, None, "p")] + [(i, "revisit", "http://h/", i, {"etag": "e"}, None, None) for i in range(1, 3 * W.SPREAD)]
+    got = W.resolve(spark.createDataFrame(rows, "record_id long, type string, url string, ts long, headers map<string,string>, digest string, payload string")).collect()
+    assert sorted(r.record_id for r in got) == list(range(1, 3 * W.SPREAD)) and all(r.payload == "p" and r.refers_to == 0 for r in got)
+
+
+def test_cut_off_files():
+    whole = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [r["payload"] for r in W.parse_warc(whole * 2 + whole[:-6])] == [b"abc"] * 2
+    packed = gzip.compress(whole)
+    assert [r["payload"] for r in W.parse_warc(packed * 3 + packed[:-9])][:3] == [b"abc"] * 3
+    assert list(W.parse_warc(b"")) == []
+
+
 def test_reads_files(spark, tmp_path):
     def record(kind, ident, http):
         body = http.encode()
