@@ -68,7 +68,7 @@ SLICE, BUCKET = 4 << 20, 16 << 20
 #: Text whose words are hashed together.
 HASHED = 1 << 19
 #: Sets of a group that are compared among themselves (and expected size of the sample that makes a larger group's centre).
-GROUP = 32
+GROUP = 256
 #: Members of a large group that are compared with its centre in one part.
 SPREAD = 512
 
@@ -287,9 +287,9 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(at, minlength=len(shared))[at] > 1
     owner, at = owner[many], np.unique(at[many], return_inverse=True)[1]
     out = np.zeros((len(sets), len(sets)), np.float64)
-    for first in range(0, int(at.max()) + 1 if len(at) else 0, 1 << 16):
-        here = (at >= first) & (at < first + (1 << 16))
-        table = np.zeros((len(sets), min(1 << 16, int(at.max()) + 1 - first)), np.float32)
+    for first in range(0, int(at.max()) + 1 if len(at) else 0, 1 << 14):
+        here = (at >= first) & (at < first + (1 << 14))
+        table = np.zeros((len(sets), min(1 << 14, int(at.max()) + 1 - first)), np.float32)
         table[owner[here], at[here] - first] = 1
         out += table @ table.T
     return out.astype(np.int64)
@@ -299,21 +299,22 @@ def _linked(batches):
     """Links (a, b) that join the components of each small group."""
     out = []
     for _, rows in _runs(batches):
-        both, up = _common([r[3] for r in rows]), {r[1]: r[1] for r in rows}
+        both, n = _common([r[3] for r in rows]), np.array([len(r[3]) for r in rows])
+        c, up = np.unique([r[1] for r in rows], return_inverse=True)[1], {}
+        alike = (both > 0) & (DEN * both >= NUM * (n[:, None] + n - both)) & (c[:, None] < c)
 
         def root(x):
-            while up[x] != x:  # noqa: B023
+            while x in up:  # noqa: B023
                 x = up[x]  # noqa: B023
             return x
 
-        for j in range(len(rows)):
-            for i in range(j):
-                if root(rows[i][1]) == root(rows[j][1]) or not _alike(int(both[i, j]), len(rows[i][3]), len(rows[j][3])):
-                    continue
+        for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+            one, two = root(int(c[i])), root(int(c[j]))
+            if one != two:
                 x, y = _grams(rows[i][2]), _grams(rows[j][2])
                 if _alike(len(x & y), len(x), len(y)):
                     out.append((rows[i][0], rows[j][0]))
-                    up[root(rows[j][1])] = root(rows[i][1])
+                    up[two] = one
         if len(out) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
             out = []
