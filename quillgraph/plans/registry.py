@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quillgraph.plans import clinical_queries, curation_queries, graph_queries, ingest_queries, retrieval_queries, store_queries, stream_queries, tabular_queries  # noqa: E402, F401
+from quillgraph.plans import clinical_queries, curation_queries, evidence_queries, graph_queries, ingest_queries, prepare_queries, retrieval_queries, store_queries, stream_queries, tabular_queries  # noqa: E402, F401
