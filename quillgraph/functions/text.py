@@ -95,12 +95,15 @@ def token_count(c: Column) -> Column:
     return F.size(F.split(c, " "))
 
 
+# Stages as a model writes them after its mark, and bare ones.
+_MARKED_STAGE = r"(?i)FIGO分期[：:]\s*(I{1,3}(?:[ACV](?:[1-3](?:i{1,2})?)?|[VX])?(?:m(?:POLEmut|MMRd|p53abn)|(?:POLEmut|MMRd|NSMP|p53abn))?)"
+_BARE_STAGE = r"\b(I(?:Am(?:POLEmut)|[ABC][1-3]?(?:i{1,2})?|[IVX]+[ABC]?[1-3]?(?:i{1,2})?)(?:m(?:POLEmut|MMRd|p53abn)|(?:POLEmut|MMRd|NSMP|p53abn))?)\b"
+
+
 def stage_of(c: Column) -> Column:
-    """Stage named after FIGO, else the last bare stage of the text."""
-    stage = r"(?:IV[ABC]?|III[ABC]?[12]?(?:i{1,2})?|II[ABC]?|I[ABC]?[123]?)"
-    named = F.regexp_extract(c, rf"(?i)FIGO[^IV]{{0,20}}({stage})\b", 1)
-    bare = F.regexp_extract_all(c, F.lit(rf"\b({stage})\b"), F.lit(1))
-    return F.when(named != "", named).otherwise(F.try_element_at(bare, F.lit(-1)))
+    """Stage after the mark, molecular class included, else the last bare one; null without any."""
+    named = F.regexp_extract(c, _MARKED_STAGE, 1)
+    return F.when(named != "", named).otherwise(F.try_element_at(F.regexp_extract_all(c, F.lit(_BARE_STAGE), F.lit(1)), F.lit(-1)))
 
 
 def tool_call(c: Column) -> Column:

@@ -143,4 +143,4 @@ def comorbidity_rows(patients: DataFrame) -> DataFrame:
 
 def overrides() -> Column:
     """Reasons for a board discussion."""
-    return F.filter(F.array(F.when(_c("major_cv_risk") > 0, "major_cv_risk"), F.when(_c("hepatic_dysfunction") > 0, "hepatic_dysfunction"), F.when(_c("age") >= 75, "age")), lambda x: x.isNotNull())
+    return F.filter(F.array(F.when(_c("major_cv_risk") > 0, "major_cv_risk"), F.when(_c("age") >= 75, "age")), lambda x: x.isNotNull())

@@ -35,16 +35,28 @@ def redirected(evidence: DataFrame, sources: DataFrame, bodies: list[str]) -> Da
 
 
 # Other spellings of keywords.
-ALIASES = {"Stage IA": "IA", "Stage IB": "IB", "Stage IIIA": "IIIA", "I级": "G1", "II级": "G2", "III级": "G3", "阴性": "-", "阳性": "+"}
+ALIASES = {
+    "Stage IA": "IA", "Stage IB": "IB", "Stage IIIA": "IIIA", "Stage IIIA1": "IIIA1",
+    "I级": "G1", "II级": "G2", "III级": "G3", "高分化": "G1", "中分化": "G2", "低分化": "G3",
+    "MMR正常": "pMMR", "MMR缺失": "dMMR", "阴性": "-", "阳性": "+",
+}
 
 
 def keywords(c: Column, fallback: Column, risk: Column | None = None) -> Column:
-    """Distinct keywords of a comma list, aliases resolved, ``Stage `` and a final 期 stripped, the risk appended; without any the fallback's first 200 characters."""
-    parts = F.filter(F.transform(F.split(c, "[,，;；、]"), strip), lambda x: x != "")
+    """Distinct keywords of lines of comma lists; without any the fallback's first 200 characters.
+
+    A line's label ends at its colon. The risk comes last. ``Stage`` in front
+    and a final 期 are stripped, then aliases resolved.
+    """
+    body = lambda x: F.when(x.contains("]") & x.contains(":"), F.regexp_replace(x, "^[^:]*:", "")).otherwise(x)
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.split(body(strip(x)), "[,，]"))
+    words = F.flatten(lines)
+    words = F.concat(words, F.array(F.coalesce(risk, F.lit("")))) if risk is not None else words
+    words = F.filter(F.transform(words, strip), lambda x: x != "")
     lookup = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    clean = F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(lookup, x), F.regexp_replace(F.regexp_replace(x, "^Stage ", ""), "期$", ""))))
-    clean = F.array_union(clean, F.array(risk)) if risk is not None else clean
-    return F.when(F.size(parts) > 0, clean).otherwise(F.array(F.left(fallback, F.lit(200))))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^Stage\s*", ""), "期$", "")
+    clean = F.array_distinct(F.transform(words, lambda x: F.coalesce(F.try_element_at(lookup, bare(x)), bare(x))))
+    return F.when(F.size(clean) > 0, clean).otherwise(F.array(F.left(fallback, F.lit(200))))
 
 
 _KEYWORDS = "struct<high_level_keywords: array<string>, low_level_keywords: array<string>>"

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) of docs(doc_id, tokens) for queries(query_id, tokens); negative idf becomes epsilon times the mean idf.
 
-    Only terms of queries are joined with postings; document lengths are
-    counted before.
+    Document frequencies are counted from each document's distinct terms;
+    term frequencies only for terms of the queries, which are joined first.
     """
     sized = docs.withColumn("_len", F.size("tokens"))
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    tf = sized.select("doc_id", "_len", F.explode("tokens").alias("term")).groupBy("doc_id", "_len", "term").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(stats))
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(stats))
     raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     mean = raw.agg(F.avg("_idf").alias("_mean"))
     weight = raw.crossJoin(F.broadcast(mean)).select("term", "_avg", F.when(F.col("_idf") < 0, epsilon * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
     asked = queries.select("query_id", F.explode("tokens").alias("term"))
+    wanted = asked.select("term").distinct()
+    tf = sized.select("doc_id", "_len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "_len", "term").agg(F.count("*").alias("_tf"))
     hits = asked.join(weight, "term").join(tf, "term")
     part = F.col("_idf") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

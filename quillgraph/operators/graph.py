@@ -26,9 +26,9 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
 
 
 def idf(incidence: DataFrame) -> DataFrame:
-    """(entity, df, idf_weight): round(ln(N / (df + 1)) + 1, 4) with N hyperedges in all."""
-    n = incidence.agg(F.countDistinct("hyperedge").alias("_n"))
-    df = incidence.groupBy("entity").agg(F.countDistinct("hyperedge").alias("df"))
+    """(entity, df, idf_weight): round(ln(N / (df + 1)) + 1, 4) with N hyperedges in all; incidence has one row a pair."""
+    n = incidence.select("hyperedge").distinct().agg(F.count("*").alias("_n"))
+    df = incidence.groupBy("entity").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("entity", "df", F.round(F.log(F.col("_n") / (F.col("df") + 1)) + 1.0, 4).alias("idf_weight"))
 
 
@@ -76,7 +76,10 @@ def cascade_delete(incidence: DataFrame, doc_hyperedges: DataFrame) -> DataFrame
 def second_hop(incidence: DataFrame, starts: DataFrame, factor: float = 0.8, k: int = 3, roles: tuple[str, ...] = ("RECOMMENDATION", "CONTRAINDICATION")) -> DataFrame:
     """Other hyperedges that share an entity with starts(hyperedge, score) in one of roles; k a start, scores damped."""
     left = starts.join(incidence.select("hyperedge", "entity"), "hyperedge")
-    right = incidence.filter(F.col("role").isin(*roles)).select(F.col("hyperedge").alias("target"), "entity")
+    # of an entity's targets the first k and one, which may be the start itself, are all that can count
+    first = Window.partitionBy("entity").orderBy("hyperedge")
+    right = incidence.filter(F.col("role").isin(*roles)).select("hyperedge", "entity").distinct()
+    right = right.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).select(F.col("hyperedge").alias("target"), "entity")
     pairs = left.join(right, "entity").filter("hyperedge <> target").select("hyperedge", "score", "target").distinct()
     line = Window.partitionBy("hyperedge").orderBy("target")
     return pairs.withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= k).select("hyperedge", "target", (F.col("score") * factor).alias("score"))

@@ -64,24 +64,42 @@ def split_results(results: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]
 
 
 class TableStore:
-    """Named Parquet tables under one folder; an upsert writes a new version beside the one it reads."""
+    """Named Parquet tables under one folder; an upsert writes a new version beside the one it reads.
+
+    The newest version that was written to its end (Spark's _SUCCESS mark) is
+    the table, so any session on the folder sees the same, and a write that
+    fails changes nothing. The version before it stays for those who read it.
+    """
 
     def __init__(self, spark, root: str):
-        self.spark, self.root, self.version = spark, root.rstrip("/"), {}
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self, name: str) -> list[int]:
+        files, path = self._folder(name)
+        if not files.exists(path):
+            return []
+        done = [s.getPath() for s in files.listStatus(path) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName()[1:]) for p in done if p.getName()[1:].isdigit())
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}/v{self.version.get(name, 0)}"
+        return f"{self.root}/{name}/v{max(self.versions(name), default=0)}"
 
     def exists(self, name: str) -> bool:
-        return name in self.version
+        return bool(self.versions(name))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        version = self.version.get(name, 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        self.version[name] = version
+        old = self.versions(name)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{max(old, default=0) + 1}")
+        files, path = self._folder(name)
+        for version in old[:-1]:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v{version}"), True)
         return self.read(name)
 
     def upsert(self, name: str, new: DataFrame, key: str, mode: str = "absent") -> DataFrame:

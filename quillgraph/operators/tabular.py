@@ -35,13 +35,21 @@ def soft_assignment(features: Column, centres: list[list[float]]) -> list[Column
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "manhattan") -> DataFrame:
-    """(query_id, id, distance, rank): exact; queries(query_id, features) are a bounded block, see operators.vector.top_k."""
+    """(query_id, id, distance, rank): exact; queries(query_id, features) go block by block, see operators.vector.top_k."""
+    from quillgraph.operators.vector import blocks_of
+
+    part = None
+    for found in blocks_of(queries):
+        now = _block_nearest(found, corpus, k, metric, dict(queries.dtypes)["query_id"])
+        part = now if part is None else part.unionByName(now)
+    line = Window.partitionBy("query_id").orderBy("distance", "id")
+    return part.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
+
+
+def _block_nearest(found, corpus: DataFrame, k: int, metric: str, kind: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    found = queries.limit(1025).toPandas()
-    if len(found) > 1024:
-        raise ValueError("more than 1024 queries in a batch")
     ids, q = found["query_id"].to_numpy(), np.array([np.asarray(v, float) for v in found["features"]])
 
     def run(batches):
@@ -57,15 +65,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "manhat
         if best is not None:
             yield best
 
-    part = corpus.select("id", "features").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, distance double")
-    line = Window.partitionBy("query_id").orderBy("distance", "id")
-    return part.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
+    return corpus.select("id", "features").mapInPandas(run, f"query_id {kind}, id {dict(corpus.dtypes)['id']}, distance double")
 
 
 def folds(df: DataFrame, label: str, key: str, n: int = 5) -> DataFrame:
-    """Stratified fold of each row: a hash order within each label, dealt in turn."""
-    line = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("fold", (F.row_number().over(line) - 1) % n)
+    """Stratified fold of each row: a hash order within each label, dealt in turn.
+
+    The order is cut by its first digits, so a label's rows are ranked in many
+    tasks; what stands before each cut comes from counts of the cuts.
+    """
+    rows = df.withColumn("_m", F.md5(F.col(key).cast("string"))).withColumn("_cut", F.left("_m", F.lit(3)))
+    before = Window.partitionBy(label).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = rows.groupBy(label, "_cut").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cuts = cuts.select(F.col(label).alias("_label"), F.col("_cut").alias("_c"), "_before")
+    line = Window.partitionBy(label, "_cut").orderBy("_m", key)
+    ranked = rows.withColumn("_r", F.row_number().over(line)).join(cuts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cut") == F.col("_c")))
+    return ranked.withColumn("fold", ((F.col("_before") + F.col("_r") - 1) % n).cast("int")).select(*df.columns, "fold")
 
 
 def fit_labels(df: DataFrame, features: list[str], labels: list[str], kind: str = "gbt", **params):
@@ -88,10 +103,15 @@ THRESHOLDS = [0.5, 0.5, 0.2, 0.2, 0.3]
 
 
 def auc(scores: DataFrame, label: str, score: str) -> DataFrame:
-    """Rank-sum AUC, ties at their mean rank."""
-    by = scores.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("w", F.col("p") * (below + F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    """Rank-sum AUC, ties at their mean rank; scores are ranked range by range (256 at most), ranges by their totals."""
+    by = scores.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    cuts = by.agg(F.array_distinct(F.percentile_approx("_s", [i / 256 for i in range(1, 256)], 10_000)).alias("_cuts"))
+    by = by.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = by.groupBy("_b").agg(F.sum("q").alias("_q")).withColumn("_before", F.coalesce(F.sum("_q").over(earlier), F.lit(0))).select("_b", "_before")
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.withColumn("_w", within).join(F.broadcast(totals), "_b")
+    return by.withColumn("w", F.col("p") * (F.col("_before") + F.col("_w") + F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:

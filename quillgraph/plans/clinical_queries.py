@@ -54,7 +54,7 @@ def comorbidities(spark, d):
     return C.comorbidity_rows(B.patients(spark, d))
 
 
-@query(f"SELECT id, list_filter([CASE WHEN major_cv_risk > 0 THEN 'major_cv_risk' END, CASE WHEN hepatic_dysfunction > 0 THEN 'hepatic_dysfunction' END, CASE WHEN age >= 75 THEN 'age' END], lambda x: x IS NOT NULL) AS reasons FROM ({B.PATIENTS})")
+@query(f"SELECT id, list_filter([CASE WHEN major_cv_risk > 0 THEN 'major_cv_risk' END, CASE WHEN age >= 75 THEN 'age' END], lambda x: x IS NOT NULL) AS reasons FROM ({B.PATIENTS})")
 def board_overrides(spark, d):
     return B.patients(spark, d).select("id", C.overrides().alias("reasons"))
 
@@ -74,8 +74,8 @@ def normalised_fields(spark, d):
     )
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'IIIC1' WHEN 1 THEN 'IB' END AS stage FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'IIIC1ii' WHEN 1 THEN 'IB' WHEN 3 THEN 'IAmPOLEmut' END AS stage FROM documents")
 def stage_strings(spark, d):
-    k = F.col("doc_id") % 3
-    text = F.when(k == 0, "stage IA, later FIGO 2023: IIIC1 (final)").when(k == 1, "was IA and is now IB").otherwise("no stage here")
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, "stage IA, later FIGO分期： IIIC1ii, not IB").when(k == 3, "so it is IB or (IAmPOLEmut).").when(k == 1, "was IA and is now IB").otherwise("no stage here")
     return table(spark, d, "documents").select("doc_id", X.stage_of(text).alias("stage"))

@@ -37,10 +37,10 @@ def provenance(spark, d):
     return curation.redirected(evidence, titles, ["AIR", "RAIL"]).select("id", "final_source")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN [c_name] ELSE ['IA', 'G2', c_mktsegment, 'risk'] END AS words FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN ['risk'] ELSE ['IA', 'G2', c_mktsegment, 'dMMR', 'risk'] END AS words FROM customer")
 def keyword_normalise(spark, d):
     c = table(spark, d, "customer")
-    raw = F.when(F.col("c_custkey") % 3 == 2, " , ").otherwise(F.concat(F.lit("Stage IA, II级，"), "c_mktsegment", F.lit("期; IA期")))
+    raw = F.when(F.col("c_custkey") % 3 == 2, " , ").otherwise(F.concat(F.lit("[a]: stage IA, II级，"), "c_mktsegment", F.lit("期\n\n MMR缺失, IA期 ")))
     return c.select(F.col("c_custkey").alias("id"), curation.keywords(raw, F.col("c_name"), F.lit("risk")).alias("words"))
 
 
@@ -52,9 +52,9 @@ def keyword_reply(spark, d):
     return both.select("id", F.col("k.high").alias("high"), F.col("k.low").alias("low"))
 
 
-@query("SELECT id, list(x ORDER BY i) AS vector FROM (SELECT label::BIGINT AS id, i, round(avg(embedding[i + 1]::DOUBLE), 5) AS x FROM embeddings, range(0, 4) r(i) GROUP BY ALL) GROUP BY id")
+@query("SELECT id, list(x ORDER BY i) AS vector FROM (SELECT label::BIGINT AS id, i, round(avg(embedding[i + 1]::DOUBLE), 5) AS x FROM embeddings, range(0, 64) r(i) GROUP BY ALL) GROUP BY id")
 def mean_pooling(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("vector"))
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     return curation.mean_pooled(e).withColumn("vector", F.transform("vector", lambda x: F.round(x, 5)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import content_id
-from quillgraph.operators import fusion, graph, ingest, scoring, store, vector
+from quillgraph.operators import evidence, fusion, graph, ingest, scoring, store, vector
 from quillgraph.session import materialise
 
 
@@ -55,7 +55,9 @@ class Engine:
             before = self.store.read("incidence").select("hyperedge", "entity", "role", "weight", F.lit(0).alias("_new"), F.struct(F.lit("").alias("chunk_id"), F.lit(0).alias("pos")).alias("pos"))
             inc = before.unionByName(inc)
         self.store.write("incidence", ingest.merge_incidence(inc.withColumn("pos", F.struct("_new", "pos"))))
-        self.store.upsert("entities", ingest.merge_entities(nodes.withColumn("pos", order)).select("entity", "entity_type", "description"), "entity", "rows")
+        known = self.store.read("entities") if self.store.exists("entities") else None
+        merged = ingest.merge_entities(nodes.withColumn("pos", order), known).select("entity", "entity_type", "description")
+        self.store.upsert("entities", merged, "entity", "rows")
         if paper:
             self.store.upsert("belongs", edges.select(F.concat(F.lit(f"{paper}|"), "hyperedge").alias("id"), F.lit(paper).alias("paper"), "hyperedge").distinct(), "id")
         vec = lambda df, prefix, name: df.select(content_id(prefix, F.col(name)).alias("id"), F.col(name).alias("name"), self.embed(name).alias("vector"))
@@ -69,9 +71,16 @@ class Engine:
         param = param or QueryParam()
         if param.mode != "hybrid":
             raise ValueError("Only hybrid mode is supported currently.")
+        if param.ablation not in ("full", "vector_only", "bm25_vector_only"):
+            raise ValueError(f"unknown ablation: {param.ablation}")
         asked = materialise(questions.select("query_id", self.embed("text").alias("vector")), "questions")
         found = vector.top_k(asked, self.store.read("vec_hyperedges").select(F.col("name").alias("id"), "vector"), param.top_k)
         by_vector = found.select("query_id", F.col("id").alias("item"), (F.col("rank") - 1).alias("rank"))
+        if param.ablation == "bm25_vector_only":
+            texts = self.store.read("text_chunks").select(F.col("content").alias("item"), F.split("content", " ").alias("tokens"))
+            plain = by_vector.withColumn("item", F.regexp_replace("item", "^<hyperedge>", ""))
+            out = evidence.bm25_and_vector(texts, questions.select("query_id", F.split("text", " ").alias("tokens")), plain, param.top_k)
+            return out.select("query_id", F.col("item").alias("knowledge"), "coherence", "rank")
         near = vector.top_k(asked, self.store.read("vec_entities").select(F.col("name").alias("id"), "vector"), param.top_k).select("query_id", F.col("id").alias("entity"), "similarity")
         weight = graph.idf(self.store.read("incidence"))
         hits = near.join(self.store.read("incidence"), "entity").join(weight, "entity").groupBy("query_id", F.col("hyperedge").alias("item")).agg(F.sum(F.col("similarity") * F.col("idf_weight")).alias("s"))
@@ -84,6 +93,27 @@ class Engine:
         out = fusion.weighted_fusion(by_vector, by_graph, param.gate, param.top_k)
         return out.select("query_id", F.regexp_replace("item", "^<hyperedge>", "").alias("knowledge"), "coherence", "rank")
 
+    def context(self, questions: DataFrame, top_k: int = 60) -> DataFrame:
+        """(query_id, paper, tier, coverage, n_hyperedges, rank, text): the papers that a question's entities lead to, their best paths as text.
+
+        A hyperedge scores the weight of the entities it shares with the question, as a share of the largest of all.
+        """
+        asked = materialise(questions.select("query_id", self.embed("text").alias("vector")), "questions")
+        near = vector.top_k(asked, self.store.read("vec_entities").select(F.col("name").alias("id"), "vector"), top_k)
+        hits, incidence = near.select("query_id", F.col("id").alias("entity")), self.store.read("incidence")
+        weights = incidence.join(graph.idf(incidence), "entity").groupBy("hyperedge").agg(F.sum("idf_weight").alias("w"))
+        scores = weights.crossJoin(F.broadcast(weights.agg(F.max("w").alias("m")))).select("hyperedge", F.round(F.col("w") / F.col("m"), 4).alias("score"))
+        return evidence.graph_stream(hits, incidence, self.store.read("belongs").select("paper", "hyperedge"), scores)
+
+    def insert_graph(self, chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> None:
+        """A given graph: its nodes, edges and their vectors; see ingest.custom_graph for what is missing in it."""
+        nodes, edges = ingest.custom_graph(chunks, entities, relations)
+        nodes, edges = materialise(nodes, "custom-nodes"), materialise(edges, "custom-edges")
+        self.store.upsert("custom_nodes", nodes, "name", "rows")
+        self.store.upsert("custom_edges", edges.withColumn("id", content_id("rel-", F.concat("src", "tgt"))), "id", "rows")
+        embedded = nodes.select(content_id("ent-", F.col("name")).alias("id"), "name", self.embed("name").alias("vector"))
+        self.store.upsert("vec_entities", embedded, "id")
+
     def delete_document(self, paper: str) -> DataFrame:
         """Removes a paper's hyperedges, entities that only they had, and all their vectors; gives the status of each entity."""
         gone = self.store.read("belongs").filter(F.col("paper") == paper).select("hyperedge").distinct()

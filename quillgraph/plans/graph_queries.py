@@ -33,14 +33,14 @@ def edge_degree(spark, d):
     return graph.edge_degrees(_edges(spark, d))
 
 
-@query("SELECT o_custkey AS node, list_sort(list(1000000 + o_orderkey)) AS neighbours FROM orders WHERE o_custkey < 50 GROUP BY 1")
+@query("SELECT o_custkey AS node, list_sort(list(1000000 + o_orderkey)) AS neighbours FROM orders GROUP BY 1")
 def node_edges(spark, d):
-    return _edges(spark, d).filter("src < 50").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("tgt")).alias("neighbours"))
+    return _edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("tgt")).alias("neighbours"))
 
 
-@query(f"SELECT hyperedge, role, count(*) AS n, round(sum(weight), 4) AS weight FROM ({B.INCIDENCE}) WHERE entity % 10 = 0 GROUP BY ALL")
+@query(f"SELECT hyperedge, role, count(*) AS n, round(sum(weight), 4) AS weight FROM ({B.INCIDENCE}) GROUP BY ALL")
 def incident_hyperedges(spark, d):
-    return B.incidence(spark, d).filter("entity % 10 = 0").groupBy("hyperedge", "role").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return B.incidence(spark, d).groupBy("hyperedge", "role").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 _SIM = "SELECT o_orderkey AS hyperedge, round(o_totalprice / 500000, 4) AS sim FROM orders"
@@ -83,16 +83,16 @@ def cascade_delete(spark, d):
     return graph.cascade_delete(inc, B.belongs(spark, d).filter("paper % 5 = 0"))
 
 
-@query(f"""WITH s AS (SELECT hyperedge, score FROM ({B.SCORES}) WHERE hyperedge % 50 = 0), p AS (SELECT DISTINCT s.hyperedge, s.score, r.hyperedge AS target FROM s JOIN ({B.INCIDENCE}) l ON l.hyperedge = s.hyperedge JOIN ({B.INCIDENCE}) r ON r.entity = l.entity AND r.hyperedge <> s.hyperedge AND r.role IN ('RECOMMENDATION', 'CONTRAINDICATION'))
+@query(f"""WITH s AS (SELECT hyperedge, score FROM ({B.SCORES})), p AS (SELECT DISTINCT s.hyperedge, s.score, r.hyperedge AS target FROM s JOIN ({B.INCIDENCE}) l ON l.hyperedge = s.hyperedge JOIN ({B.INCIDENCE}) r ON r.entity = l.entity AND r.hyperedge <> s.hyperedge AND r.role IN ('RECOMMENDATION', 'CONTRAINDICATION'))
     SELECT hyperedge, target, round(score * 0.8, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY hyperedge ORDER BY target) <= 3""")
 def second_hop(spark, d):
-    return graph.second_hop(B.incidence(spark, d), B.hyperedge_scores(spark, d).filter("hyperedge % 50 = 0")).withColumn("score", F.round("score", 6))
+    return graph.second_hop(B.incidence(spark, d), B.hyperedge_scores(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT hyperedge, list_sort(list(entity || ':' || role || ':' || coalesce(idf_weight, 1.0)::DECIMAL(18,4))) AS members FROM ({B.INCIDENCE}) LEFT JOIN (SELECT * FROM ({_IDF}) WHERE df > 3) USING (entity) WHERE hyperedge % 20 = 0 GROUP BY hyperedge")
+@query(f"SELECT hyperedge, list_sort(list(entity || ':' || role || ':' || coalesce(idf_weight, 1.0)::DECIMAL(18,4))) AS members FROM ({B.INCIDENCE}) LEFT JOIN (SELECT * FROM ({_IDF}) WHERE df > 3) USING (entity) GROUP BY hyperedge")
 def subgraph_features(spark, d):
     inc = B.incidence(spark, d)
-    out = graph.subgraph_features(inc.filter("hyperedge % 20 = 0"), graph.idf(inc).filter("df > 3"))
+    out = graph.subgraph_features(inc, graph.idf(inc).filter("df > 3"))
     return out.select("hyperedge", F.array_sort(F.transform("members", lambda m: F.concat_ws(":", m["entity"], m["role"], m["idf_weight"].cast("decimal(18,4)")))).alias("members"))
 
 
@@ -104,22 +104,22 @@ def stable_edges(spark, d):
 @query()
 def largest_component(spark, d):
     """Largest component of customers and their orders' parts."""
-    inc = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("tgt")).distinct()
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("tgt")).distinct()
     return graph.largest_component(inc)
 
 
-@query(f"SELECT hyperedge, count(*) AS n, max(array_length(embedding)) AS dim FROM ({B.INCIDENCE}) JOIN embeddings ON vec_id = entity WHERE hyperedge % 10 = 0 GROUP BY hyperedge")
+@query(f"SELECT hyperedge, count(*) AS n, max(array_length(embedding)) AS dim FROM ({B.INCIDENCE}) JOIN embeddings ON vec_id = entity GROUP BY hyperedge")
 def padded_tensor(spark, d):
     v = B.vectors(spark, d).select(F.col("id").cast("string").alias("name"), "vector")
-    inc = B.incidence(spark, d).filter("hyperedge % 10 = 0").withColumn("entity", F.col("entity").cast("string"))
+    inc = B.incidence(spark, d).withColumn("entity", F.col("entity").cast("string"))
     return graph.padded_tensor(inc, v).select("hyperedge", F.size("members").cast("long").alias("n"), F.array_max(F.transform("members", lambda m: F.size(m["vector"]))).cast("long").alias("dim"))
 
 
-@query("""SELECT a.vec_id AS src, b.vec_id AS tgt, 'CONTEXT' AS role, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND a.vec_id <> b.vec_id
+@query("""SELECT a.vec_id AS src, b.vec_id AS tgt, 'CONTEXT' AS role, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
     WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 3""")
 def soft_neighbours(spark, d):
     v = B.vectors(spark, d).select(F.col("id").alias("node"), "vector")
-    return graph.soft_neighbours(v.filter("node < 20"), v, 3, 0.3).withColumn("weight", F.round("weight", 5))
+    return graph.soft_neighbours(v.filter("node % 20 = 0"), v, 3, 0.3).withColumn("weight", F.round("weight", 5))
 
 
 @query("SELECT chunk_id, min(pos) AS pos, any_value(l) AS lang FROM (SELECT doc_id AS pos, unnest(['c' || doc_id % 40, 'c' || doc_id % 7]) AS chunk_id FROM documents) JOIN (SELECT 'c' || doc_id AS chunk_id, lang AS l FROM documents) USING (chunk_id) GROUP BY chunk_id")
@@ -132,11 +132,11 @@ def first_source(spark, d):
 _VEC = "SELECT vec_id AS entity, embedding::DOUBLE[] AS v FROM embeddings"
 
 
-@query(f"""WITH i AS (SELECT DISTINCT l_orderkey AS h, l_partkey % 60 AS e FROM lineitem), g AS (SELECT e, count(*) AS n FROM i GROUP BY e), s AS (SELECT a.e AS a, b.e AS b, count(*) AS shared FROM i a JOIN i b ON a.h = b.h AND a.e < b.e GROUP BY ALL)
+@query(f"""WITH i AS (SELECT DISTINCT l_orderkey AS h, l_partkey AS e FROM lineitem), g AS (SELECT e, count(*) AS n FROM i GROUP BY e), s AS (SELECT a.e AS a, b.e AS b, count(*) AS shared FROM i a JOIN i b ON a.h = b.h AND a.e < b.e GROUP BY ALL)
     SELECT s.a, s.b, round(list_cosine_similarity(x.v, y.v), 4) AS cosine, round(shared / (p.n + q.n - shared), 4) AS jaccard, shared FROM s JOIN g p ON p.e = s.a JOIN g q ON q.e = s.b JOIN ({_VEC}) x ON x.entity = s.a JOIN ({_VEC}) y ON y.entity = s.b
     WHERE shared / (p.n + q.n - shared) >= 0.02 AND list_cosine_similarity(x.v, y.v) >= 0.1""")
 def resolution_pairs(spark, d):
-    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hyperedge"), (F.col("l_partkey") % 60).alias("entity")).distinct()
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hyperedge"), F.col("l_partkey").alias("entity")).distinct()
     v = B.vectors(spark, d).select(F.col("id").alias("entity"), "vector")
     out = ingest.resolution_pairs(inc, v, 0.1, 0.02)
     return out.select("a", "b", F.round("cosine", 4).alias("cosine"), F.round("jaccard", 4).alias("jaccard"), "shared")
@@ -148,11 +148,11 @@ def merge_closure(spark, d):
     return ingest.closure(e.select(F.col("vec_id").alias("variant"), F.floor(F.col("vec_id") / 3).alias("canonical")))
 
 
-@query("""WITH m AS (SELECT a.vec_id AS a, max(greatest(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)) AS c FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id BETWEEN 100 AND 160 GROUP BY 1) SELECT round(avg(c), 5) AS overlap FROM m""")
+@query("""WITH m AS (SELECT a.vec_id AS a, max(greatest(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY 1) SELECT round(avg(c), 5) AS overlap FROM m""")
 def semantic_overlap(spark, d):
     """Mean over the smaller set of each member's best cosine to the larger one."""
     from quillgraph.operators.vector import top_k
 
     v = B.vectors(spark, d)
-    best = top_k(v.filter("id < 20").select(F.col("id").alias("query_id"), "vector"), v.filter("id BETWEEN 100 AND 160").select("id", "vector"), 1)
+    best = top_k(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), v.filter("id % 20 <> 0").select("id", "vector"), 1)
     return best.agg(F.round(F.avg(F.greatest("similarity", F.lit(0.0))), 5).alias("overlap"))

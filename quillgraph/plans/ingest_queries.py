@@ -19,7 +19,7 @@ def content_documents(spark, d):
     return ingest.documents(table(spark, d, "documents")).select("doc_id", F.length("content").cast("long").alias("n"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 100)) AS s FROM t)
+@query(rf"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 100)) AS s FROM t WHERE length(array_to_string(t, ' ')) > 0)
     SELECT doc_id AS full_doc_id, (s // 100)::INT AS chunk_order_index, least(120, len(t) - s)::INT AS tokens, 'chunk-' || md5({_STRIP.format("array_to_string(t[s + 1:s + 120], ' ')")}) AS chunk_id FROM s""")
 def token_chunks(spark, d):
     return ingest.chunks(table(spark, d, "documents"), 120, 20, content="text").select("full_doc_id", "chunk_order_index", "tokens", "chunk_id")
@@ -32,7 +32,7 @@ def markdown_chunks(spark, d):
     return ingest.markdown_chunks(docs, 300, 30)
 
 
-@query(r"SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\.|\n|,'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents WHERE doc_id % 2 = 0 OR doc_id % 2 = 1")
+@query(r"SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\.|\n|,'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents")
 def marker_split(spark, d):
     return table(spark, d, "documents").select("doc_id", X.split_markers(F.col("text"), [".", "\n", ","]).alias("parts"))
 

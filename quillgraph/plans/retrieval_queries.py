@@ -11,19 +11,18 @@ from quillgraph.plans.registry import query
 from quillgraph.session import table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
-_TOP = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 5"
+_TOP = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
 _IDF = f"SELECT entity, count(DISTINCT hyperedge) AS df, round(ln((SELECT count(DISTINCT hyperedge) FROM ({B.INCIDENCE}))::DOUBLE / (count(DISTINCT hyperedge) + 1)) + 1.0, 4) AS idf_weight FROM ({B.INCIDENCE}) GROUP BY entity"
 _GRAPH = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) - 1 AS rank FROM (
-    SELECT q.query_id, i.hyperedge - 1 AS item, round(sum(i.weight * w.idf_weight), 4) AS s FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 5) q
-    JOIN ({B.INCIDENCE}) i ON i.entity % 97 = q.query_id JOIN ({_IDF}) w USING (entity) WHERE i.hyperedge <= (SELECT count(*) FROM embeddings) GROUP BY ALL) QUALIFY rank < 60"""
+    SELECT q.query_id, i.hyperedge - 1 AS item, round(sum(i.weight * w.idf_weight), 4) AS s FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0) q
+    JOIN ({B.INCIDENCE}) i ON i.entity % 97 * 20 = q.query_id JOIN ({_IDF}) w USING (entity) GROUP BY ALL) QUALIFY rank < 60"""
 
 
 def _graph_stream(spark, d):
     """Hyperedges of a query's entities, scored by weight and rarity of what they share."""
     inc = B.incidence(spark, d)
-    n = table(spark, d, "embeddings").agg(F.count("*").alias("_n"))
     q = B.queries(spark, d).select("query_id")
-    near = inc.withColumn("query_id", F.col("entity") % 97).join(F.broadcast(q), "query_id").join(graph.idf(inc), "entity").crossJoin(F.broadcast(n)).filter("hyperedge <= _n")
+    near = inc.withColumn("query_id", F.col("entity") % 97 * 20).join(q, "query_id").join(graph.idf(inc), "entity")
     by = near.groupBy("query_id", (F.col("hyperedge") - 1).alias("item")).agg(F.round(F.sum(F.col("weight") * F.col("idf_weight")), 4).alias("s"))
     line = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "item")
     return by.withColumn("rank", F.row_number().over(line) - 1).filter("rank < 60")
@@ -63,14 +62,14 @@ def quantise_round_trip(spark, d):
     return e.select(F.col("id").alias("vec_id"), F.round("packed.lo", 6).alias("lo"), F.round("packed.hi", 6).alias("hi"), (error <= (F.col("packed.hi") - F.col("packed.lo")) / 510 + 1e-9).alias("within"))
 
 
-@query("""WITH c AS (SELECT vec_id, e, list_min(e) AS lo, list_max(e) AS hi FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0)),
+@query("""WITH c AS (SELECT vec_id, e, list_min(e) AS lo, list_max(e) AS hi FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
     k AS (SELECT vec_id, list_transform(e, lambda x: round_even((x - lo) * 255 / (hi - lo), 0) * (hi - lo) / 255 + lo) AS e FROM c),
-    p AS (SELECT q.vec_id AS query_id, k.vec_id AS key, list_cosine_similarity(q.embedding::DOUBLE[], k.e) AS s FROM embeddings q JOIN k ON q.vec_id < 30)
+    p AS (SELECT q.vec_id AS query_id, k.vec_id AS key, list_cosine_similarity(q.embedding::DOUBLE[], k.e) AS s FROM embeddings q JOIN k ON q.vec_id % 20 = 0)
     SELECT query_id, CASE WHEN s > 0.95 THEN key END AS hit, round(s, 4) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) = 1""")
 def semantic_cache(spark, d):
     e = B.vectors(spark, d)
-    cache = e.filter("id % 10 = 0").select(F.lit("hybrid").alias("mode"), F.col("id").alias("key"), vector.quantise("vector").alias("packed"))
-    q = e.filter("id < 30").select(F.lit("hybrid").alias("mode"), F.col("id").alias("query_id"), "vector")
+    cache = e.select(F.lit("hybrid").alias("mode"), F.col("id").alias("key"), vector.quantise("vector").alias("packed"))
+    q = e.filter("id % 20 = 0").select(F.lit("hybrid").alias("mode"), F.col("id").alias("query_id"), "vector")
     return vector.cache_lookup(q, cache).withColumn("similarity", F.round("similarity", 4))
 
 
@@ -83,13 +82,13 @@ def exact_cache(spark, d):
 _BM25 = """WITH docs AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM docs),
     tf AS (SELECT doc_id, len(t) AS l, u.term, count(*) AS tf FROM docs, unnest(t) AS u(term) GROUP BY ALL), df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, any_value(a) AS a FROM tf, st GROUP BY term, n),
     w AS (SELECT term, a, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df) ELSE idf END AS idf FROM df),
-    q AS (SELECT item_id AS query_id, u.term FROM benchmark, unnest(string_split(text, ' ')) AS u(term) WHERE item_id < 10)
+    q AS (SELECT item_id AS query_id, u.term FROM benchmark, unnest(string_split(text, ' ')) AS u(term) WHERE item_id % 20 = 0)
     SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / a))) AS score FROM q JOIN w USING (term) JOIN tf USING (term) GROUP BY ALL"""
 
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
-    asked = table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("tokens"))
+    asked = table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("tokens"))
     return fusion.bm25(docs, asked)
 
 
@@ -103,8 +102,8 @@ def bm25_top(spark, d):
     SELECT item, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY item""")
 def rrf(spark, d):
     e = B.vectors(spark, d)
-    a = e.withColumn("rank", F.row_number().over(Window.orderBy("label", "id")) - 1).filter("rank < 50")
-    b = e.filter("id % 3 = 0").withColumn("rank", F.row_number().over(Window.orderBy(F.col("label").desc(), "id")) - 1).filter("rank < 50")
+    a = e.orderBy("label", "id").limit(50).withColumn("rank", F.row_number().over(Window.orderBy("label", "id")) - 1)
+    b = e.filter("id % 3 = 0").orderBy(F.col("label").desc(), "id").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(F.col("label").desc(), "id")) - 1)
     both = a.unionByName(b).select(F.lit(0).alias("query_id"), F.col("id").alias("item"), "rank")
     return fusion.reciprocal_ranks(both).select("item", F.round("score", 6).alias("score"))
 
@@ -169,8 +168,8 @@ def real_graph_score(spark, d):
     return fusion.graph_score(rows)
 
 
-@query("SELECT vec_id AS item, label + 1 AS level FROM embeddings WHERE label < 3 ORDER BY label, vec_id % 4, vec_id LIMIT 15")
+@query("SELECT vec_id AS item, (least(label, 2) + 1)::INT AS level FROM embeddings ORDER BY level, vec_id % 4, vec_id LIMIT 15")
 def stratified_order(spark, d):
-    e = B.vectors(spark, d).filter("label < 3")
+    e = B.vectors(spark, d)
     score = F.when(F.col("label") == 0, 0.05).when(F.col("label") == 1, 0.02).otherwise(0.001)
     return fusion.stratified_order(e.select(F.col("id").alias("item"), score.alias("score"), (F.col("id") % 4).alias("tier"))).select("item", "level")

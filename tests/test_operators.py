@@ -35,13 +35,23 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
 def test_markdown_chunks():
     cut = lambda t, **k: ingest.split_markdown(t, k.pop("most", 8), 2, **k)
     assert cut("no heading at all") == [(0, 4, "no heading at all", None)]
-    assert [c[3] for c in cut("# one\nonly text here")] == [None]
-    got = cut("intro words\n# A\na b\n## B\nc d\n# C\ne f")
-    assert [c[3] for c in got] == [None, "A", "A > B", "C"]
-    assert [c[3] for c in cut("# A\na\n## B\nb\n# C\nc d e f g", least=5)][0] == "A"
-    long = "# A\n" + " ".join("x" * 1 for _ in range(30)) + "\n# B\nshort\n# C\nshort\n# D\nshort"
-    parts = cut(long)
-    assert len(parts) > 4 and all(n <= 8 for _, n, _, _ in parts)
+    assert cut("") == [] and [c[3] for c in cut("# one\nonly text here")] == [None]
+    assert cut("intro words\n# A\na b\n## B\nc d\n# C\ne f") == [(0, 2, "intro words", ""), (1, 3, "# A\na b", "# A"), (2, 3, "## B\nc d", "# A > ## B"), (3, 3, "# C\ne f", "# C")]
+    # an undersized section joins the next by its own size, under the higher heading
+    assert cut("# A\na\n## B\nb\n# C\nc d e f g", least=5, fallback=1.0) == [(0, 8, "# A\na\n\n## B\nb\n\n# C\nc d e f g", "# A")]
+    assert [c[3] for c in cut("## A\na\n# B\nb c d e f g\n# C\nc", least=4)] == ["# B", "# C"]
+    words = " ".join(str(i) for i in range(600))
+    long = f"# A\n{words}\n# B\nshort\n# C\nshort"
+    got = ingest.split_markdown(long, 300, 20)
+    # 302 - 1 tokens of a prefix of one leave 299 a window; the prefix counts
+    assert got[0][1] == 300 and got[0][2].startswith("# A\n\n# A\n0 1") and got[1][2].startswith("# A\n\n") and [c[3] for c in got[-2:]] == ["# B", "# C"]
+    # where the prefix leaves under 256 tokens it is dropped
+    short = ingest.split_markdown(long, 200, 20)
+    assert short[0][1] == 200 and short[0][2].startswith("# A\n0 1") and not short[1][2].startswith("#")
+    # all sections oversized: windows without paths, unless the share is 1
+    every = f"# A\n{words}\n# B\n{words}"
+    assert {c[3] for c in ingest.split_markdown(every, 300, 20)} == {None} and {c[3] for c in ingest.split_markdown(every, 300, 20, fallback=1.0)} == {"# A", "# B"}
+    assert [c[3] for c in cut("# one\nonly", fallback=1.0)] == ["# one"]
     try:
         cut("x", level=7)
         raise AssertionError
@@ -196,6 +206,15 @@ def test_engine_round_trip(spark, tmp_path):
     assert e.store.read("full_docs").count() == 2 and e.store.read("hyperedges").count() == 2
     got = e.query(spark.createDataFrame([(1, "alpha fact")], "query_id long, text string"), QueryParam(top_k=5)).orderBy("rank").collect()
     assert len(got) == 2 and got[0].coherence >= got[1].coherence
+    paths = e.context(spark.createDataFrame([(1, "alpha fact")], "query_id long, text string"), 5).orderBy("rank").collect()
+    assert {r.paper for r in paths} == {"p1", "p2"} and all("alpha fact" in r.text or "beta other fact" in r.text for r in paths)
+    lexical = e.query(spark.createDataFrame([(1, "alpha fact")], "query_id long, text string"), QueryParam(top_k=5, ablation="bm25_vector_only")).collect()
+    assert lexical and {r.coherence for r in lexical} == {0.8}
+    try:
+        e.query(spark.createDataFrame([(1, "alpha")], "query_id long, text string"), QueryParam(ablation="none"))
+        raise AssertionError
+    except ValueError:
+        pass
     status = {r.entity: r.status for r in e.delete_document("p2").collect()}
     assert status == {"BETA": "orphaned", "SHARED": "shared"}
     assert e.store.read("vec_hyperedges").count() == 1 and {r.name for r in e.store.read("vec_entities").collect()} == {"ALPHA", "SHARED"}
@@ -203,6 +222,81 @@ def test_engine_round_trip(spark, tmp_path):
     assert e.store.read("incidence").count() == 1
 
 
+def test_tags_are_quoted_and_names_cleaned(spark):
+    out = '(hyper-relation<|>no tag<|>9)##("hyper-relation"<|> fact &amp; x<|>9)##(entity<|>no<|>t<|>d<|>SOURCE<|>90)##("entity"<|>a &lt; b<|>t<|>d<|>"Action"<|>90)'
+    edges, nodes = ingest.extraction(spark.createDataFrame([("c", out)], "chunk_id string, output string"))
+    assert [r.hyperedge for r in edges.collect()] == ["<hyperedge>fact & x"]
+    assert [(r.hyperedge, r.entity, r.role) for r in nodes.collect()] == [("<hyperedge>fact & x", "A < B", "RECOMMENDATION")]
+
+
+def test_empty_texts_have_no_chunks(spark):
+    docs = spark.createDataFrame([("a", ""), ("b", None), ("c", "x y")], "doc_id string, content string")
+    assert [(r.full_doc_id, r.tokens) for r in ingest.chunks(docs).collect()] == [("c", 2)]
+    assert ingest.markdown_chunks(docs).select("full_doc_id").collect() == [("c",)]
+
+
+def test_entities_merge_with_stored_ones(spark):
+    stored = spark.createDataFrame([("E", "old", "d1<SEP>d2"), ("F", "kept", "x")], "entity string, entity_type string, description string")
+    rows = spark.createDataFrame([("E", "new", "d3", 1), ("E", "old", "d1", 2), ("G", "g", "y", 3)], "entity string, entity_type string, description string, pos int")
+    got = {r.entity: (r.entity_type, r.description, r.n) for r in ingest.merge_entities(rows, stored).collect()}
+    assert got == {"E": ("old", "d1<SEP>d2<SEP>d3", 3), "G": ("g", "y", 1)}
+    tie = ingest.merge_entities(rows.filter("pos = 1"), stored).first()
+    assert tie.entity_type == "old"
+
+
+def test_closure_of_circles(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "c"), ("p", "q"), ("q", "r"), ("s", "s")]
+    got = {r.variant: r.root for r in ingest.closure(spark.createDataFrame(pairs, "variant string, canonical string")).collect()}
+    assert got == {"b": "a", "c": "a", "x": "a", "p": "r", "q": "r"}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "variant int, canonical int")
+    assert {r.root for r in ingest.closure(chain).collect()} == {40}
+
+
+def test_stages_with_classes(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["FIGO分期：IAmPOLEmut", "figo分期: IIIC1ii then IB", "was IB, now IIIC2.", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.stage_of(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == ["IAmPOLEmut", "IIIC1ii", "IIIC2", None]
+
+
+def test_tables_are_shared_between_stores(spark, tmp_path):
+    """Versions live in the folder: another store on it goes on where the first one was; a write that was cut off does not count."""
+    from quillgraph.operators.store import TableStore
+
+    one, two = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    assert not two.exists("t")
+    one.upsert("t", spark.createDataFrame([(1, "a")], "id int, v string"), "id")
+    assert two.exists("t") and two.upsert("t", spark.createDataFrame([(1, "z"), (2, "b")], "id int, v string"), "id").count() == 2
+    (tmp_path / "t" / "v9").mkdir()
+    assert sorted((r.id, r.v) for r in one.read("t").collect()) == [(1, "a"), (2, "b")]
+    one.upsert("t", spark.createDataFrame([(3, "c")], "id int, v string"), "id")
+    assert two.read("t").count() == 3 and len(two.versions("t")) == 2
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    from quillgraph.operators import tabular, vector
+
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i), 1.0]) for i in range(60)], "id long, vector array<double>")
+    q = rows.withColumnRenamed("id", "query_id")
+    many = {(r.query_id, r.id, r.rank) for r in vector.top_k(q, rows, 3).collect()}
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 1000)
+    assert many == {(r.query_id, r.id, r.rank) for r in vector.top_k(q, rows, 3).collect()} and len(many) == 180
+    near = tabular.nearest(q.withColumnRenamed("vector", "features"), rows.withColumnRenamed("vector", "features"), 1)
+    assert all(r.id == r.query_id for r in near.collect())
+
+
+def test_bm25_and_vector_without_the_graph(spark):
+    from quillgraph.operators import evidence
+
+    docs = spark.createDataFrame([("d1", ["a", "b"]), ("d2", ["c"]), ("d3", ["x", "y"]), ("d4", ["z"])], "item string, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>")
+    hits = spark.createDataFrame([(1, "v", 1), (1, "d1", 0)], "query_id long, item string, rank int")
+    got = [(r.item, r.coherence) for r in evidence.bm25_and_vector(docs, asked, hits).orderBy("rank").collect()]
+    assert got == [("d1", 0.8), ("v", 0.8)]
+
+
 def test_ingest_stream(spark, tmp_path):
     from quillgraph.operators.store import TableStore
 
