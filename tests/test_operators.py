@@ -38,7 +38,7 @@ def test_markdown_chunks():
     assert cut("") == [] and [c[3] for c in cut("# one\nonly text here")] == [None]
     assert cut("intro words\n# A\na b\n## B\nc d\n# C\ne f") == [(0, 2, "intro words", ""), (1, 3, "# A\na b", "# A"), (2, 3, "## B\nc d", "# A > ## B"), (3, 3, "# C\ne f", "# C")]
     # an undersized section joins the next by its own size, under the higher heading
-    assert cut("# A\na\n## B\nb\n# C\nc d e f g", least=5, fallback=1.0) == [(0, 8, "# A\na\n\n## B\nb\n\n# C\nc d e f g", "# A")]
+    assert cut("# A\na\n## B\nb\n# C\nc d e f g", least=5, fallback=1.0) == [(0, 8, "# A\na\n\n## B\nb\n\n# C\nc d e f g", "# C")]
     assert [c[3] for c in cut("## A\na\n# B\nb c d e f g\n# C\nc", least=4)] == ["# B", "# C"]
     words = " ".join(str(i) for i in range(600))
     long = f"# A\n{words}\n# B\nshort\n# C\nshort"
