@@ -15,7 +15,8 @@ nothing, so sets that share but a common passage hardly ever meet.
 
 Sets that meet in a signature are candidates. Equal sets form one class first.
 Signatures are gathered under their most popular member (the one that meets most
-others in all its signatures). Groups of GROUP sets or fewer are compared among
+others in all its signatures); a centre most of whose signatures another one has
+hands over to it. Groups of GROUP sets or fewer are compared among
 themselves. A larger group has a centre Z: the shingles that most of a sample of
 it have (any Z is right, a good one is fast). Every member x is compared with
 the centre: it differs in D(x) = x \ Z (added) and Z \ x (removed). Similar x, y
@@ -337,27 +338,35 @@ _COMPARED = "label long, rep long, c long, n int, n_z int, more int, less int, a
 
 
 def _compare(batches):
-    """What each text of (label, rep, c, text, often, times, sampled) differs in from the centre: its counts, and the rarest differences."""
+    """What each text of (label, part, rep, c, text, often, times, sampled) differs in from the centre: its counts, and the rarest differences.
+
+    A row without a rep is the centre of those after it.
+    """
     types = (*[pa.int64()] * 3, *[pa.int32()] * 4, pa.binary(), pa.binary())
     names = [x.split()[0] for x in _COMPARED.split(", ")]
+    none = np.zeros(0, np.uint64)
+    centre, often, times, z = None, none, np.zeros(0, np.int32), none
     for batch in batches:
-        rows, held = [], (None, None, None, None)
-        for label, s, blob, counts, sampled in zip(batch.column(0).to_pylist(), shingle_sets(*buffers(batch.column(3))), *(batch.column(i) for i in (4, 5, 6)), strict=True):
-            if held[0] != label:
-                if blob.is_valid:
-                    often, times = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int32)
-                else:
-                    often, times = s[:0], np.zeros(0, np.int32)
-                held = (label, often, times, often[2 * times > (sampled.as_py() or 0)])
-            _, often, times, z = held
+        rows, keep = [], []
+        sets = shingle_sets(*buffers(batch.column(4)))
+        for i, (label, part, rep) in enumerate(zip(*(batch.column(x).to_pylist() for x in (0, 1, 2)), strict=True)):
+            if centre != (label, part):
+                centre, often, times, z = (label, part), none, np.zeros(0, np.int32), none
+            if rep is None:
+                if batch.column(5)[i].is_valid:
+                    often, times = (np.frombuffer(batch.column(x)[i].as_py(), t) for x, t in ((5, np.uint64), (6, np.int32)))
+                    z = often[2 * times > batch.column(7)[i].as_py()]
+                continue
+            s = sets[i]
             added, removed = np.setdiff1d(s, z, assume_unique=True), np.setdiff1d(z, s, assume_unique=True)
             if len(often):
                 at = np.minimum(np.searchsorted(often, added), len(often) - 1)
                 added = added[np.lexsort((added, np.where(often[at] == added, times[at], 0)))]
                 removed = removed[np.lexsort((removed, -times[np.searchsorted(often, removed)]))]
+            keep.append(i)
             rows.append((len(s), len(z), len(added), len(removed), added[: len(s) * (DEN - NUM) // DEN + 1].tobytes(), removed[: len(s) * (DEN - NUM) // NUM + 1].tobytes()))
         if rows:
-            columns = [*(batch.column(i) for i in range(3)), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True))]
+            columns = [*(batch.column(i).take(pa.array(keep)) for i in (0, 2, 3)), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -413,9 +422,11 @@ def _round(members: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the members of a hot group are spread; its centre is repeated for each part of them
     parts = F.ceil(F.col("k") / SPREAD).cast("int")
     sizes = large.groupBy("label").agg(F.max("k").alias("k")).join(centres, "label", "left")
-    sizes = sizes.select("label", "often", "times", "sampled", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    both = large.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).join(texts, "rep").join(sizes, ["label", "part"])
-    done = both.select("label", "rep", "c", "text", "often", "times", "sampled").mapInArrow(_compare, _COMPARED)
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("rep", "long"), ("c", "long"), ("text", "string"), ("often", "binary"), ("times", "binary"), ("sampled", "int"))}
+    heads = sizes.select("label", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), none["rep"], none["c"], none["text"], "often", "times", "sampled")
+    rows = large.join(texts, "rep").select("label", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "rep", "c", "text", none["often"], none["times"], none["sampled"])
+    both = rows.unionByName(heads).repartition("label", "part").sortWithinPartitions("label", "part", F.col("rep").asc_nulls_first())
+    done = both.mapInArrow(_compare, _COMPARED)
     odds = (DEN + NUM) // (DEN - NUM)
     done = done.withColumn("f", odds * (F.col("more") + F.col("less")) - F.col("n"))
     done = written(done, "jaccard-compared")
@@ -498,8 +509,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(_allocated(members), "jaccard-allocated")
     met = members.join(members.groupBy("gid").agg(F.count("*").alias("k")), "gid")
     pops = met.groupBy("rep").agg(F.sum("k").alias("pop"))
-    leaders = members.join(pops, "rep").groupBy("gid").agg(F.max_by("rep", F.struct("pop", (-F.col("rep")).alias("r"))).alias("label"))
-    members = members.join(leaders, "gid").select("label", "rep", F.col("rep").alias("c")).distinct()
+    rank = F.struct("pop", (-F.col("rep")).alias("r"))
+    leaders = members.join(pops, "rep").groupBy("gid").agg(F.max_by("rep", rank).alias("label"), F.max("pop").alias("pop"))
+    led = written(members.select("gid", "rep").join(leaders, "gid"), "jaccard-led")
+    # a leader most of whose groups another one leads hands over its own: the groups of one text's copies become one
+    shares = led.groupBy("rep", "label").agg(F.count("*").alias("n"), F.first("pop").alias("pop"))
+    best = shares.groupBy("rep").agg(F.max_by("label", F.struct("n", "pop", (-F.col("label")).alias("r"))).alias("up"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    up = best.select("rep", F.when(2 * F.col("n") >= F.col("all"), F.col("up")).otherwise(F.col("rep")).alias("up"))
+    for _ in range(3):
+        up = written(up, "jaccard-up")
+        up = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.rep")).select(F.col("x.rep").alias("rep"), F.col("y.up").alias("up"))
+    members = led.join(up.withColumnRenamed("rep", "label"), "label").select(F.col("up").alias("label"), "rep", F.col("rep").alias("c")).distinct()
     placed = spark.createDataFrame([], "node long, component long")
     while True:
         members = written(members, "jaccard-met")

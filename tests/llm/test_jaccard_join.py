@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quillgraph.llm import jaccard_join as J
 
@@ -39,7 +40,11 @@ def edits(r, words, rate):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("group", [256, 30])
+def test_against_brute_force(spark, monkeypatch, group):
+    """Also where most groups are too large to be compared among themselves."""
+    monkeypatch.setattr(J, "GROUP", group)
+    monkeypatch.setattr(J, "SPREAD", 16)
     r = random.Random(5)
     rows = [(0, None), (1, ""), (2, "  \t "), (3, "One two"), (4, "one TWO"), (5, "one two three"), (6, "a b c d e"), (7, "A b c d e"), (8, "é É e"), (None, "a b c d e")]
     passage = [f"p{i}" for i in range(60)]
