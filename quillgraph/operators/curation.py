@@ -109,3 +109,10 @@ def node2vec(edges: DataFrame, dim: int = 16, walks: int = 4, length: int = 8, s
         now = materialise(now.withColumn("path", F.array_append("path", F.col("at").cast("string"))), "walks")
     model = Word2Vec(vectorSize=dim, windowSize=2, minCount=0, seed=seed, inputCol="path", outputCol="v").fit(now)
     return model.getVectors().withColumnRenamed("word", "node")
+
+
+def contexts_of_csv(rows: DataFrame, column: str = "csv") -> DataFrame:
+    """(query_id, list_no, pos, content) of rows(query_id, list_no, csv): lines of CSV without their first field, in order, fields joined by a tab."""
+    lines = rows.select("query_id", "list_no", F.posexplode(F.split(strip(F.col(column)), "\n")).alias("pos", "_l"))
+    fields = F.from_csv("_l", "number STRING, a STRING, b STRING", {"mode": "PERMISSIVE"})
+    return lines.withColumn("_f", fields).select("query_id", "list_no", "pos", F.concat_ws("\t", "_f.a", "_f.b").alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import strip
@@ -32,3 +32,15 @@ def keyword_sections(secs: DataFrame, keywords: list[str]) -> DataFrame:
     hit = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.lower("content").contains(F.lower(k)))
     marked = secs.withColumn("_hit", hit).withColumn("_any", F.max(F.col("_hit").cast("int")).over(Window.partitionBy("doc_id")))
     return marked.filter(F.col("_hit") | (F.col("_any") == 0)).drop("_hit", "_any")
+
+
+def section_of(secs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, doc_id, content) of asked(id, doc_id, title): the section of that heading, else the first whose heading has it in any case."""
+    both = asked.join(secs, "doc_id").withColumn("_exact", F.col("heading") == F.col("title"))
+    near = both.filter(F.col("_exact") | F.contains(F.lower("heading"), F.lower("title")))
+    return near.groupBy("id", "doc_id").agg(F.min_by("content", F.struct((~F.col("_exact")).cast("int"), "pos")).alias("content"))
+
+
+def summary(text: Column, most: int = 500) -> Column:
+    """The first characters, marked where there are more."""
+    return F.concat(F.left(text, F.lit(most)), F.when(F.length(text) > most, "...").otherwise(""))

@@ -95,6 +95,19 @@ def embed_udf(embed: Callable[[list[str]], list[list[float]]], dim: int):
     return run
 
 
+def reranker_udf(score: Callable[[list[str], list[str]], list[float]]):
+    """A column function (query, text) around a reranker of pairs; checks lengths."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = score(queries.fillna("").tolist(), texts.fillna("").tolist())
+        if len(out) != len(texts):
+            raise ValueError("the reranker must give one score a pair")
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
 def language_model_udf(complete: Callable[[pd.Series], pd.Series]):
     """A column function around a completion function; materialise its result before it is read twice."""
     return F.pandas_udf(complete, T.StringType())

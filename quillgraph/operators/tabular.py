@@ -136,6 +136,42 @@ def margin_loss(pos: Column, neg: Column, margin: float = 0.4) -> Column:
     return F.greatest(margin - (pos - neg), F.lit(0.0))
 
 
+def gate_loss(gate: Column, graph: tuple[Column, Column], semantic: tuple[Column, Column], complex_: Column, margin: float = 0.4, weight: float = 3.0, penalty: float = 0.2) -> Column:
+    """Margin loss of the gated score of a positive over a negative, complex cases weighed, and a penalty on the gate."""
+    pos, neg = (gate * g + (1 - gate) * s for g, s in zip(graph, semantic, strict=True))
+    return margin_loss(pos, neg, margin) * F.when(complex_, weight).otherwise(1.0) + penalty * gate
+
+
+def save_models(models: dict, path: str) -> None:
+    """Fitted pipelines by label, a folder each."""
+    for label, model in models.items():
+        model.write().overwrite().save(f"{path.rstrip('/')}/{label}")
+
+
+def load_models(path: str, labels: list[str]) -> dict:
+    from pyspark.ml import PipelineModel
+
+    return {label: PipelineModel.load(f"{path.rstrip('/')}/{label}") for label in labels}
+
+
+def cross_validated(df: DataFrame, features: list[str], labels: list[str], key: str, n: int = 5, kind: str = "gbt", **params) -> DataFrame:
+    """(key, fold, truth, guess): each fold predicted by models fitted to the others only; label thresholds as fixed above, 0.5 beyond."""
+    from pyspark.ml.functions import vector_to_array
+
+    dealt, out = folds(df, labels[0], key, n), None
+    for fold in range(n):
+        models = fit_labels(dealt.filter(F.col("fold") != fold), features, labels, kind, **params)
+        rows = dealt.filter(F.col("fold") == fold)
+        for label in labels:
+            scored = models[label].transform(rows)
+            rows = scored.withColumn(f"_p_{label}", vector_to_array("probability")[1]).drop("_f", "rawPrediction", "probability", "prediction")
+        cut = dict(zip(labels, THRESHOLDS, strict=False))
+        guess = F.array(*[(F.col(f"_p_{x}") >= cut.get(x, 0.5)).cast("int") for x in labels])
+        now = rows.select(key, "fold", F.array(*[F.col(x).cast("int") for x in labels]).alias("truth"), guess.alias("guess"))
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
 def contrastive_loss(pos: Column, negs: Column, temperature: float = 0.15) -> Column:
     """InfoNCE of one positive among its negatives."""
     total = F.aggregate(F.transform(negs, lambda x: F.exp(x / temperature)), F.lit(0.0), lambda a, x: a + x)

@@ -42,11 +42,11 @@ def risk_groups(spark, d):
     return C.staged(B.patients(spark, d)).select("id", C.risk_group().alias("risk_group"))
 
 
-@query(f"""SELECT risk_group, label, count(*) AS n, count(DISTINCT advice) AS kinds FROM (SELECT risk_group, CASE risk_group WHEN 'Low' THEN 'Low Risk' WHEN 'Intermediate' THEN 'Intermediate Risk' WHEN 'High-Intermediate' THEN 'High-Intermediate Risk' WHEN 'High' THEN 'High Risk' ELSE 'Uncertain Risk' END AS label,
-    CASE WHEN risk_group = 'High' AND molecular_subtype = 'MMRd' AND stage_2023 LIKE 'III%' THEN 'mmrd' ELSE 'plain' END AS advice FROM (SELECT *, {_RISK} AS risk_group FROM ({_STAGED}))) GROUP BY ALL""")
+@query(f"""SELECT risk_group, label, advice, count(*) AS n FROM (SELECT risk_group, CASE risk_group WHEN 'Low' THEN 'Low Risk' WHEN 'Intermediate' THEN 'Intermediate Risk' WHEN 'High-Intermediate' THEN 'High-Intermediate Risk' WHEN 'High' THEN 'High Risk' ELSE 'Uncertain Risk' END AS label,
+    CASE WHEN risk_group = 'High' AND molecular_subtype = 'MMRd' AND stage_2023 LIKE 'III%' THEN '{C.ADVICE_MMRD}' {' '.join(f"WHEN risk_group = '{k}' THEN '{v}'" for k, v in C.ADVICE.items())} ELSE '{C.ADVICE_NONE}' END AS advice FROM (SELECT *, {_RISK} AS risk_group FROM ({_STAGED}))) GROUP BY ALL""")
 def adjuvant_advice(spark, d):
     df = C.staged(B.patients(spark, d)).withColumn("risk_group", C.risk_group())
-    return df.select("risk_group", C.risk_label().alias("label"), C.advice().alias("advice")).groupBy("risk_group", "label").agg(F.count("*").alias("n"), F.countDistinct("advice").alias("kinds"))
+    return df.select("risk_group", C.risk_label().alias("label"), C.advice().alias("advice")).groupBy("risk_group", "label", "advice").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (UNPIVOT (SELECT id, " + ", ".join(C.COMORBIDITIES) + f" FROM ({B.PATIENTS})) ON " + ", ".join(C.COMORBIDITIES) + " INTO NAME comorbidity VALUE value) WHERE value > 0")

@@ -157,3 +157,58 @@ def usable_cases(spark, d):
 def required_fields(spark, d):
     js = F.when(F.col("event_id") % 3 == 0, '{"a": 1, "b": "x"}').when(F.col("event_id") % 3 == 1, '{"a": 1}').otherwise('{"a": 1, "b": null}')
     return table(spark, d, "events").select("event_id", P.has_fields(js, ["a", "b"]).alias("complete"))
+
+
+@query("SELECT doc_id, CASE WHEN len(string_split(text, ' ')) < 500 THEN text ELSE substr(array_to_string(string_split(text, ' ')[1:600], ' '), 1, 40) END AS text FROM documents")
+def summaries(spark, d):
+    """A cut stands for the language model's summary."""
+    from quillgraph.operators import ingest
+
+    return table(spark, d, "documents").select("doc_id", ingest.summarised(F.col("text"), lambda c: F.left(c, F.lit(40)), most=600).alias("text"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name || '+' || length(c_name) || '+' || (length(c_name) + 1 + length(length(c_name)::VARCHAR)) ELSE c_name || '+' || length(c_name) END AS text FROM customer")
+def gleaning(spark, d):
+    """Lengths stand for what the language model adds, the key for whether it wants to go on."""
+    from quillgraph.operators import ingest
+
+    k = F.col("c_custkey")
+    more = lambda out: F.when(k % 2 == 0, ' "YES" ').otherwise("no")
+    out = ingest.gleaned(F.col("c_name"), lambda c: F.concat(F.lit("+"), F.length(c).cast("string")), more)
+    return table(spark, d, "customer").select(k.alias("id"), out.alias("text"))
+
+
+@query("SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey * 2 + p)) AS number, content FROM (SELECT o_custkey, o_orderkey, p, CASE p WHEN 0 THEN o_orderpriority || chr(9) || 'a, b' ELSE 'same' END AS content FROM orders, (VALUES (0), (1)) v(p)) GROUP BY o_custkey, content")
+def csv_contexts(spark, d):
+    from quillgraph.operators import curation
+
+    csv = F.concat(F.lit("1,"), "o_orderpriority", F.lit(',"a, b"\n2,same\n'))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("list_no"), csv.alias("csv"))
+    return curation.combined_contexts(curation.contexts_of_csv(rows)).withColumn("number", F.col("number").cast("long"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_type = 'click' THEN 3 ELSE 1 END * greatest(0.4 - ((g * value / 100 + (1 - g) * 0.5) - (g * 0.3 + (1 - g) * value / 200)), 0) + 0.2 * g, 6) AS loss FROM (SELECT *, (event_id % 10) / 10.0 AS g FROM events)")
+def gate_loss(spark, d):
+    from quillgraph.operators import tabular
+
+    v, g = F.col("value"), (F.col("event_id") % 10) / 10.0
+    return table(spark, d, "events").select("event_id", F.round(tabular.gate_loss(g, (v / 100, F.lit(0.3)), (F.lit(0.5), v / 200), F.col("event_type") == "click"), 6).alias("loss"))
+
+
+@query("SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1")
+def ordered_dedupe(spark, d):
+    from quillgraph.operators import fusion
+
+    return fusion.first_of_each(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT c_custkey AS id, c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'exact ' || c_name WHEN 1 THEN 'near' END AS content, 'intro' || chr(10) || '...' AS summary FROM customer WHERE c_custkey % 3 < 2")
+def named_sections(spark, d):
+    from quillgraph.operators import reference_docs as R
+
+    c = table(spark, d, "customer")
+    text = F.concat(F.lit("intro\n## Risk factors \nnear\n## risk\nexact "), "c_name", F.lit("\n"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    title = F.when(F.col("c_custkey") % 3 == 0, "risk").when(F.col("c_custkey") % 3 == 1, "FACTORS").otherwise("none")
+    found = R.section_of(R.sections(docs), c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("doc_id"), title.alias("title")))
+    return found.join(docs.select("doc_id", R.summary(F.col("text"), 6).alias("summary")), "doc_id").select("id", "doc_id", "content", "summary")

@@ -287,6 +287,38 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert all(r.id == r.query_id for r in near.collect())
 
 
+def test_matches_of_an_earlier_batch(spark):
+    """A new name is a stored one if they share a hyperedge, or if their hyperedges are alike; of the nearest the first that is."""
+    vec = lambda rows: spark.createDataFrame(rows, "entity string, vector array<double>")
+    inc = lambda rows: spark.createDataFrame(rows, "hyperedge string, entity string")
+    new = vec([("N1", [1.0, 0.0]), ("N2", [0.0, 1.0]), ("N3", [1.0, 1.0])])
+    stored = vec([("A", [1.0, 0.01]), ("B", [1.0, 0.02]), ("C", [0.01, 1.0])])
+    vectors = spark.createDataFrame([("h1", [1.0, 0.0]), ("h2", [0.0, 1.0]), ("h3", [0.1, 1.0]), ("h4", [1.0, -1.0])], "hyperedge string, vector array<double>")
+    got = ingest.earlier_matches(new, stored, inc([("h1", "N1"), ("h2", "N2"), ("h4", "N3")]), inc([("h4", "A"), ("h1", "B"), ("h3", "C")]), vectors)
+    assert {r.entity: r.canonical for r in got.collect()} == {"N1": "B", "N2": "C"}
+
+
+def test_models_by_fold_and_on_disk(spark, tmp_path):
+    from quillgraph.operators import prepare, tabular
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3), int(i % 3 == 0)) for i in range(120)], "id int, a double, b double, y int, z int")
+    got = tabular.cross_validated(df, ["a", "b"], ["y", "z"], "id", 3, "forest", numTrees=5, maxDepth=4)
+    metrics = {r.metric: r.mean for r in prepare.over_folds(prepare.label_metrics(got, 2), ["accuracy", "macro_f1"]).collect()}
+    assert got.count() == 120 and metrics["accuracy"] > 0.9 and metrics["macro_f1"] > 0.9
+    models = tabular.fit_labels(df, ["a", "b"], ["y"], "forest", numTrees=3)
+    tabular.save_models(models, str(tmp_path))
+    again = tabular.load_models(str(tmp_path), ["y"])
+    pick = lambda m: [r.prediction for r in m["y"].transform(df).orderBy("id").collect()]
+    assert pick(models) == pick(again)
+
+
+def test_reranker(spark):
+    from quillgraph.operators.scoring import reranker_udf
+
+    rank = reranker_udf(lambda qs, ts: [float(len(t) - len(q)) for q, t in zip(qs, ts, strict=True)])
+    assert [r[0] for r in spark.createDataFrame([("a", "bcd"), (None, "x")], "q string, t string").select(rank("q", "t")).collect()] == [2.0, 1.0]
+
+
 def test_bm25_and_vector_without_the_graph(spark):
     from quillgraph.operators import evidence
 
