@@ -5,8 +5,12 @@ of near copies, suffix-array dedup cuts passages that an earlier document has,
 the mix repeats or leaves out documents so that sources reach their target
 weights, and byte-level BPE turns what is left into token ids.
 
-Rows without a doc_id belong to no group and stay. A document whose bytes are
-all cut keeps its row with an empty text; it has no words for the mix to take.
+Rows without a doc_id belong to no group and stay; of rows that share one, the
+first by text stays. A document whose bytes are all cut keeps its row with an
+empty text; it has no words for the mix to take. Null texts count as empty and
+fail the quality rules. Other columns of the documents pass through all stages
+but the last, which returns doc_id, lang, source and the tokens; columns named
+like an operator's outputs are kept as they were. Very long texts are read whole.
 """
 
 from __future__ import annotations
