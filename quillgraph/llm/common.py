@@ -143,8 +143,9 @@ def doc_slices(offsets: np.ndarray, most: int):
 
 
 def in_blocks(docs: DataFrame, columns: list[str], n_blocks: int) -> DataFrame:
-    """columns of docs with ``block`` (a hash of doc_id), the rows of a block together."""
-    salted = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), *columns)
+    """columns of docs with ``block`` (a hash of doc_id, of the text where there is none), the rows of a block together."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    salted = docs.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"), *columns)
     return salted.repartition(partitions(docs.sparkSession), "block")
 
 

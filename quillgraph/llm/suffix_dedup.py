@@ -23,7 +23,9 @@ with a smaller doc_id. Whole texts are compared, all of them with each other.
 
 Defined results: a null text counts as empty. Texts under MIN bytes are kept
 whole. Rows of one doc_id are one document: they do not remove each other's
-bytes. A null doc_id counts as larger than any other and equal to itself.
+bytes. A null doc_id counts as larger than any other and equal to itself; such
+rows are dealt to blocks by their texts. Equal texts (ties) are kept with the
+smallest doc_id. A very long text is read whole, in a block of its own size.
 Other columns are kept; those named like an output are replaced. An empty
 table gives an empty table.
 """

@@ -70,3 +70,16 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_and_long_texts(spark, monkeypatch):
+    """Rows without a doc_id are spread over blocks and lose what a doc_id has; a very long text is cut like others."""
+    monkeypatch.setattr(S, "BLOCK", 4000)
+    passage = "".join(chr(97 + (i * i) % 26) for i in range(120))
+    long = " ".join(f"{i * 7919 % 100_003}" for i in range(60_000))
+    rows = [(1, passage), (2, long), (3, long + passage)] + [(None, f"row {i} starts " + passage + f" and ends {i}") for i in range(300)]
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(got) == 303
+    by = {r.doc_id: r.n_removed for r in got if r.doc_id}
+    assert by[1] == by[2] == 0 and by[3] == len(long) + len(passage)
+    assert all(r.n_removed == len(passage) for r in got if r.doc_id is None)
