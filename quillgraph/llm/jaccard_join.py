@@ -189,25 +189,25 @@ def set_keys(docs: DataFrame) -> DataFrame:
 
 
 def _sign(n_buckets: int):
-    """Texts to blobs: kind 0 holds a slice's signatures of a bucket, kind 1 further members of signatures."""
-    names = ["bucket", "kind", "values", "docs"]
+    """Texts to blobs: kind 0 holds a slice's signatures of a bucket, kind 1 further members of signatures; members are set keys, so copies are one."""
+    names = ["bucket", "kind", "values", "sets"]
 
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for turn, (a, b) in enumerate(doc_slices(offsets, SLICE)):
-                seen, values, docs = set(), [], []
-                for i, s in enumerate(shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
+                seen, values, members = set(), [], []
+                for s in shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     if not differ(len(s), len(s) + 1) or (key := s.tobytes()) in seen:
                         continue  # sets of under 4 are similar to equal ones only, which are one class
                     seen.add(key)
                     v, p = signatures(s)
                     values.append(((v >> np.uint64(24)) % np.uint64(n_buckets)) << np.uint64(40) | (v & np.uint64(_VALUE)) << np.uint64(1) | p)
-                    docs.append(np.full(len(v), ids[a + i], np.int64))
+                    members.append(np.full(len(v), s.sum(), np.uint64))
                 if not values:
                     continue
-                v, d = np.concatenate(values), np.concatenate(docs)
+                v, d = np.concatenate(values), np.concatenate(members).view(np.int64)
                 order = np.lexsort((d, v >> np.uint64(1)))
                 v, d = v[order], d[order]
                 new = np.ones(len(v), bool)
@@ -231,10 +231,10 @@ def _sign(n_buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """A bucket's blobs to (gid, doc, probe) of the signatures that more than one document has."""
+    """A bucket's blobs to (gid, key, probe) of the signatures that more than one set has."""
     kinds, bucket = table.column("kind").to_pylist(), table.column("bucket")[0].as_py()
     values, docs, more_v, more_d = [], [], [], []
-    for kind, v, d in zip(kinds, table.column("values"), table.column("docs"), strict=True):
+    for kind, v, d in zip(kinds, table.column("values"), table.column("sets"), strict=True):
         ids = np.frombuffer(d.as_buffer(), np.int64)
         if kind:
             more_v.append(np.frombuffer(v.as_buffer(), np.uint64))
@@ -246,15 +246,18 @@ def _meet(table: pa.Table) -> pa.Table:
             docs.append(ids)
     if values:
         v, d = np.concatenate(values), np.concatenate(docs)
-        order = np.argsort(v >> np.uint64(1))
+        order = np.lexsort((v, d, v >> np.uint64(1)))
         v, d = v[order], d[order]
+        # of a set's entries the last one says whether it is probed
+        last = np.append((v[1:] >> np.uint64(1) != v[:-1] >> np.uint64(1)) | (d[1:] != d[:-1]), True)
+        v, d = v[last], d[last]
         key = v >> np.uint64(1)
         same = key[1:] == key[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
         more_v.append(v[shared] | np.uint64(bucket << 40))
         more_d.append(d[shared])
     v, d = np.concatenate(more_v), np.concatenate(more_d)
-    return pa.table({"gid": pa.array((v >> np.uint64(1)).astype(np.int64)), "doc": pa.array(d), "probe": pa.array((v & np.uint64(1)).astype(np.int32))})
+    return pa.table({"gid": pa.array((v >> np.uint64(1)).astype(np.int64)), "key": pa.array(d), "probe": pa.array((v & np.uint64(1)).astype(np.int32))})
 
 
 def _grams(text: str) -> frozenset:
@@ -500,12 +503,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     n_buckets = max(partitions(spark), text_bytes(docs) // BUCKET)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blobs = texts.mapInArrow(_sign(n_buckets), "bucket int, kind int, values binary, docs binary")
-    met = written(blobs.groupBy("bucket").applyInArrow(_meet, "gid long, doc long, probe int"), "jaccard-met")
+    blobs = texts.mapInArrow(_sign(n_buckets), "bucket int, kind int, values binary, sets binary")
+    met = written(blobs.groupBy("bucket").applyInArrow(_meet, "gid long, key long, probe int"), "jaccard-met")
 
-    # of rows that share a doc_id the largest set stands for the node
-    sized = classes.filter("rep IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max_by("rep", "n_shingles").alias("rep"), F.max("n_shingles").alias("n"))
-    members = written(met.join(sized, "doc").groupBy("gid", "rep").agg(F.max("probe").alias("probe"), F.max("n").alias("n")), "jaccard-members")
+    sized = keys.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("k1").alias("key")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    members = written(met.join(sized, "key").groupBy("gid", "rep").agg(F.max("probe").alias("probe"), F.max("n").alias("n")), "jaccard-members")
     members = written(_allocated(members), "jaccard-allocated")
     met = members.join(members.groupBy("gid").agg(F.count("*").alias("k")), "gid")
     pops = met.groupBy("rep").agg(F.sum("k").alias("pop"))
