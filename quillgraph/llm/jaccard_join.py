@@ -389,19 +389,60 @@ def _removed(table: pa.Table) -> pa.Table:
     return table.select(["label", "more", "less", "linked"]).append_column("keep", pa.array(keep))
 
 
-def _differences(batches):
-    """(label, rep, c) of each difference of (label, rep, c, added, removed), the new label made of the old one, shingle and kind."""
+def _differences(n_buckets: int):
+    """Blobs of the differences of (label, rep, added, removed), a new label made of the old one, shingle and kind.
+
+    Bucket -1 holds the (label, rep) of labels that a batch has twice or more; the
+    others hold one of each label of a batch, for the bucket to tell which
+    other batches have too.
+    """
+
+    def run(batches):
+        for batch in batches:
+            labels, sizes = [], np.zeros(len(batch), np.int64)
+            old = mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0x94D049BB133111EB))
+            for i, blobs in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                for kind, blob in enumerate(blobs):
+                    x = np.frombuffer(blob.as_buffer(), np.uint64)
+                    labels.append(mix((x ^ old[i]) + np.uint64(kind)))
+                    sizes[i] += len(x)
+            if not sizes.any():
+                continue
+            label, rep = np.concatenate(labels), np.repeat(batch.column(1).to_numpy(), sizes)
+            order = np.argsort(label)
+            label, rep = label[order], rep[order]
+            new = np.append(True, label[1:] != label[:-1])
+            twice = ~new | ~np.append(new[1:], True)
+            out = [(-1, label[twice].tobytes(), rep[twice].tobytes())] if twice.any() else []
+            bucket = (label[new] >> np.uint64(40)).astype(np.int64) % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            one, its = label[new][order], rep[new][order]
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            out += [(k, one[cuts[k] : cuts[k + 1]].tobytes(), its[cuts[k] : cuts[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "labels", "reps"])
+
+    return run
+
+
+def _pairs_of(labels: np.ndarray, reps: np.ndarray) -> pa.Table:
+    return pa.table({"label": pa.array(labels.view(np.int64)), "rep": pa.array(reps)})
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(label, rep) of the labels that a bucket has from more than one batch."""
+    label = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("labels")])
+    rep = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("reps")])
+    order = np.argsort(label)
+    label, rep = label[order], rep[order]
+    same = label[1:] == label[:-1]
+    both = np.append(same, False) | np.append(False, same)
+    return _pairs_of(label[both], rep[both])
+
+
+def _unpacked(batches):
     for batch in batches:
-        labels, sizes = [], np.zeros(len(batch), np.int64)
-        old = mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0x94D049BB133111EB))
-        for i, blobs in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-            for kind, blob in enumerate(blobs):
-                x = np.frombuffer(blob.as_buffer(), np.uint64)
-                labels.append(mix((x ^ old[i]) + np.uint64(kind)))
-                sizes[i] += len(x)
-        if labels:
-            rows = pa.array(np.repeat(np.arange(len(batch)), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels).view(np.int64)), *(batch.column(i).take(rows) for i in (1, 2))], names=["label", "rep", "c"])
+        for labels, reps in zip(batch.column(1), batch.column(2), strict=True):
+            yield from _pairs_of(np.frombuffer(labels.as_buffer(), np.uint64), np.frombuffer(reps.as_buffer(), np.int64)).to_batches()
 
 
 def _in_runs(rows: DataFrame) -> DataFrame:
@@ -448,7 +489,11 @@ def _left(done: DataFrame, placed: DataFrame) -> DataFrame:
     shapes = found.filter(f"{DEN - NUM} * n >= {NUM} * more").groupBy(*shape).agg(F.first("n_z").alias("n_z"))
     shapes = shapes.groupBy("label").applyInArrow(_removed, "label long, more int, less int, linked boolean, keep int")
     sent = found.join(shapes, shape, "left").withColumn("removed", F.expr("substring(removed, 1, 8 * coalesce(keep, 0))"))
-    return sent.select("label", "rep", "c", "added", "removed").mapInArrow(_differences, "label long, rep long, c long")
+    n_buckets = max(partitions(done.sparkSession), done.count() >> 14)
+    blobs = written(sent.select("label", "rep", "added", "removed").mapInArrow(_differences(n_buckets), "bucket int, labels binary, reps binary"), "jaccard-differences")
+    far = blobs.filter("bucket >= 0").groupBy("bucket").applyInArrow(_shared, "label long, rep long")
+    pairs = blobs.filter("bucket < 0").mapInArrow(_unpacked, "label long, rep long").unionByName(far).distinct()
+    return pairs.join(placed, F.col("rep") == F.col("node"), "left").select("label", "rep", F.coalesce("component", "rep").alias("c"))
 
 
 def _open(members: DataFrame) -> DataFrame:
