@@ -62,14 +62,14 @@ def prepared_patients(spark, d):
 
 
 @query("""WITH s AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rank, o_totalprice, o_orderpriority, o_orderstatus FROM orders),
-    c AS (SELECT id, string_agg('Case ' || rank || ' (distance ' || printf('%.3f', round(o_totalprice / 8, 3)) || '): ' || o_orderpriority || '; treated with ' || CASE WHEN o_orderstatus = 'F' THEN 'no adjuvant treatment' ELSE o_orderstatus END, chr(10) ORDER BY rank) AS c FROM s WHERE rank <= 3 GROUP BY id)
+    c AS (SELECT id, string_agg('Case ' || rank || ' (distance ' || printf('%.3f', round(o_totalprice / 10, 3)) || '): ' || o_orderpriority || '; treated with ' || CASE WHEN o_orderstatus = 'F' THEN 'no adjuvant treatment' ELSE o_orderstatus END, chr(10) ORDER BY rank) AS c FROM s WHERE rank <= 3 GROUP BY id)
     SELECT c_custkey AS id, 'Patient' || chr(10) || c_name || chr(10) || 'Predicted' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN '- a' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '- b' ELSE '' END WHEN c_custkey % 3 = 0 THEN '- b' ELSE '' END || chr(10) || 'Similar cases' || chr(10) || coalesce(c, 'none') AS prompt FROM customer LEFT JOIN c ON id = c_custkey""")
 def case_prompts(spark, d):
     k = F.col("c_custkey")
     patients = table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("line"), F.array((k % 2 == 0).cast("int"), (k % 3 == 0).cast("int")).alias("prediction"))
     line = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     similar = table(spark, d, "orders").withColumn("rank", F.row_number().over(line)).filter("rank <= 3")
-    similar = similar.select(F.col("o_custkey").alias("id"), "rank", (F.col("o_totalprice") / 8).cast("double").alias("distance"), F.col("o_orderpriority").alias("line"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("regimen"))
+    similar = similar.select(F.col("o_custkey").alias("id"), "rank", (F.col("o_totalprice") / 10).cast("double").alias("distance"), F.col("o_orderpriority").alias("line"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("regimen"))
     return P.prompts(patients, similar, ["a", "b"])
 
 
