@@ -92,16 +92,16 @@ def resolve(records: DataFrame) -> DataFrame:
     # a response is repeated once for every SPREAD revisits that refer to it, and they are dealt to its repeats
     met = written(found.filter("_ref IS NOT NULL").select(*asked[:4], F.col("_h").alias("_r"), F.col("_ref.ts").alias("_t"), F.col("_ref.record_id").alias("_id"), F.col("_ref._h").alias("_h")), "warc-met")
     key = ["_h", "_t", "_id"]
-    # written, so that its size is known: payloads are not shuffled for it as long as it can be broadcast
-    count = written(met.groupBy(*key).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_parts")), "warc-counts")
+    # only hot responses have more than one; written, so that Spark knows their size and shuffles no payload for a few
+    hot = written(met.groupBy(*key).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_parts")).filter("_parts > 1"), "warc-hot")
     full = rows.filter("type = 'response'").select(F.col("_h"), F.col("ts").alias("_t"), F.col("record_id").alias("_id"), F.col("headers").alias("_hs"), F.col("digest").alias("_d"), F.col("payload").alias("_p"))
     same = [F.col("l._h") == F.col("r._h"), F.col("l._t") == F.col("r._t"), F.col("l._id").eqNullSafe(F.col("r._id"))]
-    parts = count.alias("r")
-    full = full.alias("l").join(parts, same).select("l.*", "r._parts")
+    parts, n_parts = hot.alias("r"), F.coalesce("r._parts", F.lit(1))
+    full = full.alias("l").join(parts, same, "left").select("l.*", n_parts.alias("_parts"))
     if not full.groupBy(*key).count().filter("count > 1").isEmpty():  # responses that are the same in all that is read
         full = full.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("_hs", "_d", "_p", "_parts")])
     full = full.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = met.alias("l").join(parts, same).select("l.*", F.pmod(F.xxhash64("l._r", "l.record_id"), F.col("r._parts")).cast("int").alias("_part"))
+    dealt = met.alias("l").join(parts, same, "left").select("l.*", F.pmod(F.xxhash64("l._r", "l.record_id"), n_parts).cast("int").alias("_part"))
     both = dealt.alias("l").join(full.alias("r"), [*same, F.col("l._part") == F.col("r._part")], "left").select("l.record_id", "l.url_key", "l.headers", "l.digest", F.col("l._id").alias("_ref"), F.col("r._hs").alias("_h"), "r._d", "r._p")
     none = {c: F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("_ref", "_h", "_d", "_p")}
     both = both.unionByName(lost.select(*asked[:4], *none.values()))
