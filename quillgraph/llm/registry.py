@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import byte_bpe, centroids, html_extract, importance, jaccard_join, order_minhash, quality_rules, source_mix, substring_chains, suffix_dedup, suffix_tree_lm, warc_revisit
+from quillgraph.llm import byte_bpe, centroids, html_extract, importance, jaccard_join, order_minhash, quality_rules, sharding, source_mix, substring_chains, suffix_dedup, suffix_tree_lm, warc_revisit
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_centroids": centroids.op11_centroids,
     "op12_importance": importance.op12_importance,
+    "op13_shards": sharding.op13_shards,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
