@@ -91,7 +91,8 @@ def propagate(rows: DataFrame, n_shards: int, quota: int, rounds: int = ROUNDS)
     """(_row, _u, _hold, size, shard) of the linked rows after label propagation; rows that agree in _hold leave a shard together."""
     spark = rows.sparkSession
     members = rows.select("_row", "_u", "size", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    # written before the join, so that Spark can split the join of a key that very many rows share
+    shared = written(members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "shard-keys")
     members = written(members.join(shared, "key"), "shard-members")
     labels = members.select("_row", "_u", "size").distinct()
     labels = labels.withColumns({"shard": _bin("start", n_shards), "_hold": F.col("_u")})
