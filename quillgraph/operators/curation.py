@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +115,12 @@ def node2vec(edges: DataFrame, dim: int = 16, walks: int = 4, length: int = 8, s
     return model.getVectors().withColumnRenamed("word", "node")
 
 
+def _csv_rows(texts: pd.Series) -> pd.Series:
+    """Records of each CSV text but the header, all their fields but the first joined by commas; quoted line breaks belong to their field."""
+    return texts.map(lambda t: [",".join(r[1:]) for r in list(csv.reader(io.StringIO((t or "").strip())))[1:] if r])
+
+
 def contexts_of_csv(rows: DataFrame, column: str = "csv") -> DataFrame:
-    """(query_id, list_no, pos, content) of rows(query_id, list_no, csv): lines of CSV without their first field, in order, fields joined by a tab."""
-    lines = rows.select("query_id", "list_no", F.posexplode(F.split(strip(F.col(column)), "\n")).alias("pos", "_l"))
-    fields = F.from_csv("_l", "number STRING, a STRING, b STRING", {"mode": "PERMISSIVE"})
-    return lines.withColumn("_f", fields).select("query_id", "list_no", "pos", F.concat_ws("\t", "_f.a", "_f.b").alias("content"))
+    """(query_id, list_no, pos, content) of rows(query_id, list_no, csv): what each record of a CSV text says, in order; empty ones drop out."""
+    found = rows.select("query_id", "list_no", F.posexplode(F.pandas_udf(_csv_rows, "array<string>")(F.col(column))).alias("pos", "content"))
+    return found.filter("content <> ''")

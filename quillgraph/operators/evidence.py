@@ -96,16 +96,17 @@ def graph_stream(hits: DataFrame, incidence: DataFrame, belongs: DataFrame, scor
     hits(query_id, entity); entities that are not stored drop out. Entities keep
     ``cap`` hyperedges (all recommendations first), hyperedges as many papers.
     A paper's coverage is the sum of the positive scores(hyperedge, score) that
-    the query reaches; its tier is 3 with a recommendation, 2 with evidence.
+    the query reaches; tier (3 with a recommendation, 2 with evidence) and count
+    are those of all that it reaches, whatever their score.
     """
     wanted = hits.select("query_id", "entity").distinct()
     near = incidence.join(wanted.select("entity").distinct(), "entity", "left_semi")
     similar = similarities if similarities is not None else near.select("entity", "hyperedge", F.lit(0.0).alias("sim"))
     kept = graph.capped_neighbours(near, similar, cap).select("entity", "hyperedge", "role")
-    reached = wanted.join(kept, "entity").groupBy("query_id", "hyperedge").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("role")).alias("roles"))
-    rows = reached.join(scores.filter("score > 0"), "hyperedge").join(paper_neighbours(belongs, cap), "hyperedge")
-    has = lambda r: F.max(F.array_contains("roles", r).cast("int")) == 1
-    covered = rows.groupBy("query_id", "paper").agg(F.when(has("RECOMMENDATION"), 3).when(has("EVIDENCE"), 2).otherwise(1).alias("tier"), F.round(F.sum("score"), 4).alias("coverage"), F.count("*").alias("n_hyperedges"))
+    reached = wanted.join(kept, "entity").groupBy("query_id", "hyperedge").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("role")).alias("roles"), *graph.tier_flags())
+    rows = reached.join(scores, "hyperedge", "left").join(paper_neighbours(belongs, cap), "hyperedge")
+    covered = rows.groupBy("query_id", "paper").agg(*graph.covered(F.col("score"))).filter("coverage IS NOT NULL")
+    rows = rows.filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("coverage").desc(), F.col("n_hyperedges").desc(), "paper")
     top = covered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= parents)
     line = Window.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "hyperedge")

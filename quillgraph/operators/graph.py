@@ -51,10 +51,24 @@ def padded_tensor(incidence: DataFrame, vectors: DataFrame, cap: int = 40) -> Da
 
 
 def parent_coverage(belongs: DataFrame, scores: DataFrame, roles: DataFrame) -> DataFrame:
-    """(paper, coverage, tier, n_hyperedges): positive scores summed; tier 3 with a recommendation, 2 with evidence, else 1."""
-    rows = belongs.join(scores, "hyperedge").filter("score > 0").join(roles.groupBy("hyperedge").agg(F.collect_set("role").alias("roles")), "hyperedge", "left")
-    has = lambda r: F.max(F.array_contains("roles", r).cast("int")) == 1
-    return rows.groupBy("paper").agg(F.round(F.sum("score"), 4).alias("coverage"), F.when(has("RECOMMENDATION"), 3).when(has("EVIDENCE"), 2).otherwise(1).alias("tier"), F.count("*").alias("n_hyperedges"))
+    """(paper, coverage, tier, n_hyperedges) of papers with a positive score.
+
+    Only positive scores add up; tier (3 with a recommendation, 2 with evidence,
+    else 1) and count are those of all its hyperedges, scored or not.
+    """
+    rows = belongs.join(scores, "hyperedge", "left").join(roles.groupBy("hyperedge").agg(*tier_flags()), "hyperedge", "left")
+    return rows.groupBy("paper").agg(*covered(F.col("score"))).filter("coverage IS NOT NULL")
+
+
+def tier_flags(role: str = "role") -> list[Column]:
+    """Whether a group of incidences has a recommendation, and evidence."""
+    return [F.max((F.col(role) == r).cast("int")).alias(c) for r, c in (("RECOMMENDATION", "_rec"), ("EVIDENCE", "_ev"))]
+
+
+def covered(score: Column) -> list[Column]:
+    """coverage (null without a positive score), tier and n_hyperedges of a paper's rows with their tier flags."""
+    tier = F.when(F.max("_rec") == 1, 3).when(F.max("_ev") == 1, 2).otherwise(1)
+    return [F.round(F.sum(F.when(score > 0, score)), 4).alias("coverage"), tier.alias("tier"), F.count("*").alias("n_hyperedges")]
 
 
 def top_parents(covered: DataFrame, k: int = 5) -> DataFrame:

@@ -112,24 +112,25 @@ def prompts(patients: DataFrame, similar: DataFrame, labels: list[str]) -> DataF
 def random_negatives(rows: DataFrame, none: str = "无相关困难负样本") -> DataFrame:
     """(anchor_id, negative, hard) of rows(anchor_id, positive, hard_negatives): the hard ones, else another row's positive.
 
-    The other row is the next one in a hash order whose positive differs from
-    the row's own; positives are ranked once each, so each draw is an equi-join
-    on the rank and no row meets all others.
+    Distinct positives are ranked in hash order: within the 4,096 prefixes of
+    the hash by a window, before them by one count a prefix. An anchor draws the
+    rank that its own hash gives, or the next one where that is its own
+    positive, so each draw is an equi-join and each positive can be drawn. With
+    one positive only, anchors get that.
     """
-    hard = F.filter("hard_negatives", lambda x: x != none)
-    given = rows.withColumn("_h", hard)
+    given = rows.withColumn("_h", F.filter("hard_negatives", lambda x: x != none))
     strong = given.select("anchor_id", F.explode("_h").alias("negative"), F.lit(True).alias("hard"))
-    pool = rows.select("positive").distinct().withColumn("_o", F.md5("positive"))
-    buckets = 64
-    pool = pool.withColumn("_b", F.pmod(F.xxhash64("_o"), F.lit(buckets)).cast("int"))
-    # the least of each bucket of the hash order, and the second least in case that is the row's own: 2 * buckets rows at most
-    line = Window.partitionBy("_b").orderBy("_o")
-    heads = pool.withColumn("_r", F.row_number().over(line)).filter("_r <= 2").groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_o", "positive"))).alias("_c"))
-    one = heads.select(F.lit(1).alias("_j"), F.struct("_b", "_c").alias("_s")).groupBy("_j").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_c"])).alias("_all"))
-    weak = given.filter(F.coalesce(F.size("_h"), F.lit(0)) <= 0).select("anchor_id", "positive").crossJoin(F.broadcast(one.select("_all")))
-    others = F.filter("_all", lambda x: x["positive"] != F.col("positive"))
-    drawn = F.get(others, F.pmod(F.xxhash64("anchor_id"), F.greatest(F.size(others), F.lit(1))).cast("int"))["positive"]
-    return strong.unionByName(weak.select("anchor_id", F.coalesce(drawn, F.col("positive")).alias("negative"), F.lit(False).alias("hard")))
+    pool = rows.select("positive").filter("positive IS NOT NULL").distinct().withColumn("_o", F.md5("positive")).withColumn("_b", F.substring("_o", 1, 3))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pool.groupBy("_b").agg(F.count("*").alias("_n")).withColumns({"_start": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_m": F.sum("_n").over(Window.partitionBy())})
+    starts = F.broadcast(starts.drop("_n"))  # a row a prefix
+    line = Window.partitionBy("_b").orderBy("_o", "positive")
+    ranked = pool.withColumn("_r", F.row_number().over(line) - 1).join(starts, "_b").select((F.col("_r") + F.col("_start")).alias("_r"), F.col("positive").alias("_other"))
+    weak = given.filter(F.coalesce(F.size("_h"), F.lit(0)) <= 0).select("anchor_id", "positive").crossJoin(F.broadcast(starts.agg(F.max("_m").alias("_m"))))
+    mark = F.conv(F.substring(F.md5(F.col("anchor_id").cast("string")), 1, 8), 16, 10).cast("long")
+    drawn = weak.withColumn("_i", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_r", (mark + F.col("_i")) % F.col("_m"))
+    found = drawn.join(ranked, "_r").groupBy("anchor_id", "positive").agg(F.min_by("_other", F.struct(F.col("_other").eqNullSafe(F.col("positive")), "_i")).alias("negative"))
+    return strong.unionByName(found.select("anchor_id", "negative", F.lit(False).alias("hard")))
 
 
 def label_metrics(rows: DataFrame, n_labels: int) -> DataFrame:

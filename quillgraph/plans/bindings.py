@@ -40,6 +40,13 @@ def hyperedge_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("hyperedge"), F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
 
 
+def scorer_output(spark: SparkSession, d: str) -> DataFrame:
+    """What a scorer gives in practice: hyperedges of cheap orders score 0, those of pending orders have no score."""
+    priced = F.when(F.col("o_totalprice") >= 100000, F.round(F.col("o_totalprice") / 500000, 4)).otherwise(0.0)
+    return table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("hyperedge"), priced.cast("double").alias("score"))
+
+
+SCORED = "SELECT o_orderkey AS hyperedge, CASE WHEN o_totalprice >= 100000 THEN round(o_totalprice / 500000, 4) ELSE 0 END::DOUBLE AS score FROM orders WHERE o_orderstatus <> 'P'"
 SCORES = "SELECT o_orderkey AS hyperedge, round(o_totalprice / 500000, 4) AS score FROM orders"
 
 

@@ -118,14 +118,14 @@ def _hits(spark, d):
 @query(f"""WITH h AS ({_HITS}), n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n, sum((role = 'RECOMMENDATION')::INT) OVER (PARTITION BY entity) AS rec, row_number() OVER (PARTITION BY entity, role = 'RECOMMENDATION' ORDER BY hyperedge DESC) AS r FROM ({B.INCIDENCE})),
     i AS (SELECT * FROM n WHERE n <= 50 OR role = 'RECOMMENDATION' OR r <= 50 - rec),
     reached AS (SELECT query_id, hyperedge, list_sort(list(DISTINCT entity)) AS es, list_sort(list(DISTINCT role)) AS rs FROM h JOIN i USING (entity) GROUP BY ALL),
-    rows AS (SELECT * FROM reached JOIN ({B.SCORES}) USING (hyperedge) JOIN ({B.BELONGS}) USING (hyperedge) WHERE score > 0),
-    c AS (SELECT query_id, paper, CASE WHEN max(list_contains(rs, 'RECOMMENDATION')::INT) = 1 THEN 3 WHEN max(list_contains(rs, 'EVIDENCE')::INT) = 1 THEN 2 ELSE 1 END AS tier, round(sum(score), 4) AS coverage, count(*) AS n_hyperedges FROM rows GROUP BY ALL),
+    every AS (SELECT * FROM reached LEFT JOIN ({B.SCORED}) USING (hyperedge) JOIN ({B.BELONGS}) USING (hyperedge)), rows AS (SELECT * FROM every WHERE score > 0),
+    c AS (SELECT query_id, paper, CASE WHEN max(list_contains(rs, 'RECOMMENDATION')::INT) = 1 THEN 3 WHEN max(list_contains(rs, 'EVIDENCE')::INT) = 1 THEN 2 ELSE 1 END AS tier, round(sum(score) FILTER (score > 0), 4) AS coverage, count(*) AS n_hyperedges FROM every GROUP BY ALL HAVING max(score) > 0),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, coverage DESC, n_hyperedges DESC, paper) AS rank FROM c QUALIFY rank <= 5),
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper ORDER BY score DESC, hyperedge) AS r FROM rows QUALIFY r <= 4),
     t AS (SELECT query_id, paper, string_agg('  > 候选路径 ' || r || ' [' || array_to_string(rs, '/') || '] (神经推演推荐度: ' || printf('%.2f', score * 100) || '%)' || chr(10) || '    ├─ 方案内容: ' || hyperedge || chr(10) || '    └─ 触发该方案的局部特征: 【' || array_to_string(es, ', ') || '】' || chr(10), '' ORDER BY r) AS t FROM best GROUP BY ALL)
     SELECT query_id, paper, tier, coverage, n_hyperedges, rank, '【权威循证溯源：' || paper || '】(逻辑层级: Tier ' || tier || ', 推荐度: ' || printf('%.4f', coverage) || ')' || chr(10) || t AS text FROM top JOIN t USING (query_id, paper)""")
 def graph_context(spark, d):
-    return E.graph_stream(_hits(spark, d), B.incidence(spark, d), B.belongs(spark, d), B.hyperedge_scores(spark, d).withColumn("score", F.col("score").cast("double")))
+    return E.graph_stream(_hits(spark, d), B.incidence(spark, d), B.belongs(spark, d), B.scorer_output(spark, d))
 
 
 _FOUND = "SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos, o_orderkey AS hyperedge FROM orders WHERE o_custkey % 20 = 0"

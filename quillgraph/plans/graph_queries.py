@@ -55,18 +55,18 @@ def capped_neighbours(spark, d):
     return graph.capped_neighbours(inc, sims, 20).select("entity", "hyperedge", "role")
 
 
-_COVER = f"""SELECT paper, round(sum(score), 4) AS coverage, max(CASE WHEN rec THEN 3 WHEN ev THEN 2 ELSE 1 END)::INT AS tier, count(*) AS n_hyperedges FROM ({B.BELONGS}) JOIN ({B.SCORES}) USING (hyperedge)
-    LEFT JOIN (SELECT hyperedge, bool_or(role = 'RECOMMENDATION') AS rec, bool_or(role = 'EVIDENCE') AS ev FROM ({B.INCIDENCE}) GROUP BY hyperedge) USING (hyperedge) WHERE score > 0 GROUP BY paper"""
+_COVER = f"""SELECT paper, round(sum(score) FILTER (score > 0), 4) AS coverage, CASE WHEN bool_or(rec) THEN 3 WHEN bool_or(ev) THEN 2 ELSE 1 END::INT AS tier, count(*) AS n_hyperedges FROM ({B.BELONGS}) LEFT JOIN ({B.SCORED}) USING (hyperedge)
+    LEFT JOIN (SELECT hyperedge, bool_or(role = 'RECOMMENDATION') AS rec, bool_or(role = 'EVIDENCE') AS ev FROM ({B.INCIDENCE}) GROUP BY hyperedge) USING (hyperedge) GROUP BY paper HAVING max(score) > 0"""
 
 
 @query(_COVER)
 def parent_coverage(spark, d):
-    return graph.parent_coverage(B.belongs(spark, d), B.hyperedge_scores(spark, d), B.incidence(spark, d))
+    return graph.parent_coverage(B.belongs(spark, d), B.scorer_output(spark, d), B.incidence(spark, d))
 
 
 @query(f"SELECT * FROM ({_COVER}) ORDER BY tier DESC, coverage DESC, n_hyperedges DESC, paper LIMIT 5")
 def top_parents(spark, d):
-    return graph.top_parents(graph.parent_coverage(B.belongs(spark, d), B.hyperedge_scores(spark, d), B.incidence(spark, d)))
+    return graph.top_parents(graph.parent_coverage(B.belongs(spark, d), B.scorer_output(spark, d), B.incidence(spark, d)))
 
 
 @query(f"SELECT paper, hyperedge, score FROM ({B.BELONGS}) JOIN ({B.SCORES}) USING (hyperedge) QUALIFY row_number() OVER (PARTITION BY paper ORDER BY score DESC, hyperedge) <= 4")
@@ -74,12 +74,12 @@ def best_of_parent(spark, d):
     return graph.best_of_parent(B.belongs(spark, d), B.hyperedge_scores(spark, d)).select("paper", "hyperedge", "score")
 
 
-_DELETE = "SELECT l_orderkey AS hyperedge, l_partkey AS entity FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL"
+_DELETE = "SELECT l_orderkey AS hyperedge, l_partkey AS entity FROM lineitem GROUP BY ALL"
 
 
 @query(f"""SELECT entity, CASE WHEN bool_and(gone) THEN 'orphaned' ELSE 'shared' END AS status FROM (SELECT i.entity, g.hyperedge IS NOT NULL AS gone FROM ({_DELETE}) i LEFT JOIN (SELECT o_orderkey AS hyperedge FROM orders WHERE o_custkey % 5 = 0) g USING (hyperedge)) GROUP BY entity HAVING bool_or(gone)""")
 def cascade_delete(spark, d):
-    inc = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("hyperedge"), F.col("l_partkey").alias("entity")).distinct()
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hyperedge"), F.col("l_partkey").alias("entity")).distinct()
     return graph.cascade_delete(inc, B.belongs(spark, d).filter("paper % 5 = 0"))
 
 
@@ -108,11 +108,15 @@ def largest_component(spark, d):
     return graph.largest_component(inc)
 
 
-@query(f"SELECT hyperedge, count(*) AS n, max(array_length(embedding)) AS dim FROM ({B.INCIDENCE}) JOIN embeddings ON vec_id = entity GROUP BY hyperedge")
+@query(f"""WITH m AS (SELECT o_custkey AS hyperedge, vec_id::VARCHAR AS entity, max(role) AS role, any_value(embedding) AS v FROM ({B.INCIDENCE}) JOIN orders ON o_orderkey = hyperedge JOIN embeddings ON vec_id = entity GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY hyperedge ORDER BY entity) AS r FROM m QUALIFY r <= 5)
+    SELECT hyperedge, string_agg(entity || ':' || role || ':' || round(v[1], 5)::DECIMAL(9, 5) || ':' || len(v), ' ' ORDER BY r) AS members FROM r GROUP BY hyperedge""")
 def padded_tensor(spark, d):
+    """A customer's parts as members, the first five of them."""
     v = B.vectors(spark, d).select(F.col("id").cast("string").alias("name"), "vector")
-    inc = B.incidence(spark, d).withColumn("entity", F.col("entity").cast("string"))
-    return graph.padded_tensor(inc, v).select("hyperedge", F.size("members").cast("long").alias("n"), F.array_max(F.transform("members", lambda m: F.size(m["vector"]))).cast("long").alias("dim"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("hyperedge"), F.col("o_custkey").alias("c"))
+    inc = B.incidence(spark, d).join(orders, "hyperedge").groupBy(F.col("c").alias("hyperedge"), F.col("entity").cast("string").alias("entity")).agg(F.max("role").alias("role"))
+    text = F.transform("members", lambda m: F.concat_ws(":", m["entity"], m["role"], F.round(m["vector"][0], 5).cast("decimal(9,5)"), F.size(m["vector"])))
+    return graph.padded_tensor(inc, v, 5).select("hyperedge", F.array_join(text, " ").alias("members"))
 
 
 @query("""SELECT a.vec_id AS src, b.vec_id AS tgt, 'CONTEXT' AS role, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id

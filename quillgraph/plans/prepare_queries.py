@@ -73,13 +73,15 @@ def case_prompts(spark, d):
     return P.prompts(patients, similar, ["a", "b"])
 
 
-@query("SELECT c_custkey AS id, c_custkey % 2 = 0 AS hard, c_custkey % 2 = 0 AS same_kind FROM customer")
+@query("""WITH p AS (SELECT positive, row_number() OVER (ORDER BY md5(positive)) - 1 AS r, count(*) OVER () AS m FROM (SELECT DISTINCT c_mktsegment || ' ' || (c_custkey % 701) AS positive FROM customer)),
+    a AS (SELECT c_custkey AS id, c_mktsegment || ' ' || (c_custkey % 701) AS own, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT AS h FROM customer WHERE c_custkey % 2 = 1)
+    SELECT c_custkey AS id, true AS hard, 'not ' || c_name AS negative FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT a.id, false, CASE WHEN x.positive <> own THEN x.positive ELSE y.positive END FROM a JOIN p x ON x.r = h % x.m JOIN p y ON y.r = (h + 1) % y.m""")
 def random_negatives(spark, d):
     k, none = F.col("c_custkey"), "无相关困难负样本"
-    rows = table(spark, d, "customer").select(k.alias("anchor_id"), F.col("c_name").alias("positive"), F.array(F.when(k % 2 == 0, F.concat(F.lit("not "), "c_name")).otherwise(none)).alias("hard_negatives"))
-    drawn = P.random_negatives(rows).join(rows.select("anchor_id", "positive"), "anchor_id")
-    right = F.when(F.col("hard"), F.col("negative") == F.concat(F.lit("not "), "positive")).otherwise(F.col("negative") == F.col("positive"))
-    return drawn.select(F.col("anchor_id").alias("id"), "hard", right.alias("same_kind"))
+    positive = F.concat_ws(" ", "c_mktsegment", (k % 701).cast("string"))
+    rows = table(spark, d, "customer").select(k.alias("anchor_id"), positive.alias("positive"), F.array(F.when(k % 2 == 0, F.concat(F.lit("not "), "c_name")).otherwise(none)).alias("hard_negatives"))
+    return P.random_negatives(rows).select(F.col("anchor_id").alias("id"), "hard", "negative")
 
 
 _ROWS = "SELECT c_custkey % 5 AS fold, [(c_custkey % 2)::INT, (c_custkey % 3 = 0)::INT, 0] AS t, [(c_custkey % 4 = 1)::INT, (c_custkey % 6 < 2)::INT, 0] AS g FROM customer"
@@ -178,11 +180,11 @@ def gleaning(spark, d):
     return table(spark, d, "customer").select(k.alias("id"), out.alias("text"))
 
 
-@query("SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey * 2 + p)) AS number, content FROM (SELECT o_custkey, o_orderkey, p, CASE p WHEN 0 THEN o_orderpriority || chr(9) || 'a, b' ELSE 'same' END AS content FROM orders, (VALUES (0), (1)) v(p)) GROUP BY o_custkey, content")
+@query("SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey * 2 + p)) AS number, content FROM (SELECT o_custkey, o_orderkey, p, CASE p WHEN 0 THEN o_orderpriority || ',a, b' || chr(10) || 'second line,' || o_orderstatus || ',say \"x\"' ELSE 'same' END AS content FROM orders, (VALUES (0), (1)) v(p)) GROUP BY o_custkey, content")
 def csv_contexts(spark, d):
     from quillgraph.operators import curation
 
-    csv = F.concat(F.lit("1,"), "o_orderpriority", F.lit(',"a, b"\n2,same\n'))
+    csv = F.concat(F.lit('id,what,more\n1,'), "o_orderpriority", F.lit(',"a, b\nsecond line",'), "o_orderstatus", F.lit(',"say ""x"""\n\n2,same\n3\n'))
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("list_no"), csv.alias("csv"))
     return curation.combined_contexts(curation.contexts_of_csv(rows)).withColumn("number", F.col("number").cast("long"))
 

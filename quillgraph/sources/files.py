@@ -32,7 +32,7 @@ def docx_text(content: bytes) -> str:
         if e.tag == f"{w}p":
             out.append(words(e))
         elif e.tag == f"{w}tbl":
-            for row in e.iter(f"{w}tr"):
+            for row in e.findall(f"{w}tr"):  # rows of a table in a cell belong to that cell
                 cells = [words(c) for c in row.findall(f"{w}tc")]
                 out.append(" | ".join(c for k, c in enumerate(cells) if c and (k == 0 or c != cells[k - 1])))
     return "\n".join(x for x in out if x)

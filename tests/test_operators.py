@@ -337,3 +337,34 @@ def test_ingest_stream(spark, tmp_path):
     for _ in range(2):
         S.ingest_stream(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), store, "docs", str(tmp_path / "c")).awaitTermination(120)
     assert store.read("docs").count() == 2
+
+
+def test_parents_count_all_their_hyperedges(spark):
+    """Hyperedges without a positive score give no coverage, but their roles and number count."""
+    from quillgraph.operators import evidence, graph
+
+    belongs = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "d"), ("r", "b"), ("r", "e")], "paper string, hyperedge string")
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("d", 0.6), ("e", -0.2)], "hyperedge string, score double")
+    roles = spark.createDataFrame([("a", "x", "CONTEXT", 1.0), ("b", "x", "RECOMMENDATION", 1.0), ("c", "x", "CONTEXT", 1.0), ("d", "x", "EVIDENCE", 1.0), ("e", "x", "EVIDENCE", 1.0)], "hyperedge string, entity string, role string, weight double")
+    got = {tuple(r) for r in graph.parent_coverage(belongs, scores, roles).collect()}
+    assert got == {("p", 0.5, 3, 3), ("q", 0.6, 2, 1)}
+    hits = spark.createDataFrame([(1, "x")], "query_id long, entity string")
+    stream = {(r.paper, r.tier, r.coverage, r.n_hyperedges, r["rank"]) for r in evidence.graph_stream(hits, roles, belongs, scores).collect()}
+    assert stream == {("p", 3, 0.5, 3, 1), ("q", 2, 0.6, 1, 2)}
+
+
+def test_csv_contexts(spark):
+    from quillgraph.operators import curation
+
+    rows = spark.createDataFrame([(1, 0, 'id,text\n1,"a\nb",c,d\n\n2,x,y,z\n3\n'), (1, 1, ""), (1, 2, None), (1, 3, "only a header")], "query_id long, list_no int, csv string")
+    assert [(r.pos, r.content) for r in curation.contexts_of_csv(rows).orderBy("pos").collect()] == [(0, "a\nb,c,d"), (1, "x,y,z")]
+
+
+def test_any_positive_can_be_drawn(spark):
+    from quillgraph.operators import prepare
+
+    rows = spark.range(5000).selectExpr("id AS anchor_id", "concat('p', id) AS positive", "array('无相关困难负样本') AS hard_negatives")
+    got = prepare.random_negatives(rows).collect()
+    assert len(got) == 5000 and len({r.negative for r in got}) > 2500 and all(r.negative != f"p{r.anchor_id}" and not r.hard for r in got)
+    one = spark.createDataFrame([(1, "p", ["无相关困难负样本"]), (2, "p", [])], "anchor_id long, positive string, hard_negatives array<string>")
+    assert {tuple(r) for r in prepare.random_negatives(one).collect()} == {(1, "p", False), (2, "p", False)}
