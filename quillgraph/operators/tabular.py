@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators import vector
+
 
 def median_imputed(df: DataFrame, numeric: list[str], categorical: list[str], binary: list[str]) -> DataFrame:
     """Numbers to the exact median, categories to unknown, flags to 0."""
@@ -35,37 +37,9 @@ def soft_assignment(features: Column, centres: list[list[float]]) -> list[Column
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "manhattan") -> DataFrame:
-    """(query_id, id, distance, rank): exact; queries(query_id, features) go block by block, see operators.vector.top_k."""
-    from quillgraph.operators.vector import blocks_of
-
-    part = None
-    for found in blocks_of(queries):
-        now = _block_nearest(found, corpus, k, metric, dict(queries.dtypes)["query_id"])
-        part = now if part is None else part.unionByName(now)
-    line = Window.partitionBy("query_id").orderBy("distance", "id")
-    return part.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
-
-
-def _block_nearest(found, corpus: DataFrame, k: int, metric: str, kind: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    ids, q = found["query_id"].to_numpy(), np.array([np.asarray(v, float) for v in found["features"]])
-
-    def run(batches):
-        best = None
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            v = np.stack([np.asarray(x, float) for x in pdf["features"]])
-            d = np.stack([np.abs(v - x).sum(1) if metric == "manhattan" else np.sqrt(((v - x) ** 2).sum(1)) for x in q])
-            rows = pd.DataFrame({"query_id": np.repeat(ids, len(v)), "id": np.tile(pdf["id"].to_numpy(), len(ids)), "distance": d.ravel()})
-            best = rows if best is None else pd.concat([best, rows])
-            best = best.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return corpus.select("id", "features").mapInPandas(run, f"query_id {kind}, id {dict(corpus.dtypes)['id']}, distance double")
+    """(query_id, id, distance, rank) of queries(query_id, features) in corpus(id, features): exact, see operators.vector.nearest."""
+    found = vector.nearest(queries.withColumnRenamed("features", "vector"), corpus.withColumnRenamed("features", "vector"), k, metric)
+    return found.withColumnRenamed("cost", "distance")
 
 
 def folds(df: DataFrame, label: str, key: str, n: int = 5) -> DataFrame:

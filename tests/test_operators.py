@@ -274,17 +274,34 @@ def test_tables_are_shared_between_stores(spark, tmp_path):
     assert two.read("t").count() == 3 and len(two.versions("t")) == 2
 
 
-def test_more_queries_than_a_block(spark, monkeypatch):
-    from quillgraph.operators import tabular, vector
+def test_nearest_against_loop(spark, monkeypatch):
+    """Queries that travel with the plan and queries joined in blocks give what a loop over all pairs gives, ties by id."""
+    draw = np.random.default_rng(3)
+    points = [[float(x) for x in draw.integers(-2, 3, 4)] for _ in range(130)] + [[0.0] * 4] + [[1.0, 2.0, 0.0, 1.0]] * 60
+    rows = spark.createDataFrame([(f"n{i % 100}" if i % 7 else f"é{i}", p) for i, p in enumerate(points)] + [("none", None), (None, [1.0] * 4)], "id string, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"n{i}", p) for i, p in enumerate(points[::4])], "query_id string, vector array<float>")
+    ids = [(f"n{i % 100}" if i % 7 else f"é{i}", np.array(p)) for i, p in enumerate(points)]
+    cost = {"manhattan": lambda q, v: float(np.abs(v - q).sum()), "euclidean": lambda q, v: float(np.sqrt(((v - q) ** 2).sum())), "cosine": lambda q, v: -float(q @ v) / (np.linalg.norm(q) * np.linalg.norm(v)) if q.any() and v.any() else 0.0}
+    for metric, own, worst in (("manhattan", True, np.inf), ("cosine", False, -0.3), ("euclidean", False, np.inf)):
+        want = set()
+        for i, p in enumerate(points[::4]):
+            line = sorted((round(cost[metric](np.array(p), v), 9), n) for n, v in ids if not (own and n == f"n{i}"))
+            want |= {(f"n{i}", k + 1, c) for k, (c, n) in enumerate(line[:9]) if c <= worst}
+        for block, size in ((7, 40), (1000, 40)):
+            monkeypatch.setattr(vector, "QUERY_BLOCK", block)
+            monkeypatch.setattr(vector, "BLOCK", size)
+            monkeypatch.setattr(vector, "PAIRS", 100)
+            got = vector.nearest(asked, rows, 9, metric, worst, own).collect()
+            assert {(r.query_id, r["rank"], round(r.cost, 9) + 0.0) for r in got} == want
+            if metric != "cosine":  # sums without rounding: ties are exact
+                assert {(r.query_id, r["rank"], r.id) for r in got} == {(f"n{i}", k + 1, n) for i, p in enumerate(points[::4]) for k, (c, n) in enumerate(sorted((cost[metric](np.array(p), v), n) for n, v in ids if not (own and n == f"n{i}"))[:9])}
+
 
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+def test_more_queries_than_a_block(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 5), float(i), 1.0]) for i in range(60)], "id long, vector array<double>")
-    q = rows.withColumnRenamed("id", "query_id")
-    many = {(r.query_id, r.id, r.rank) for r in vector.top_k(q, rows, 3).collect()}
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 1000)
-    assert many == {(r.query_id, r.id, r.rank) for r in vector.top_k(q, rows, 3).collect()} and len(many) == 180
-    near = tabular.nearest(q.withColumnRenamed("vector", "features"), rows.withColumnRenamed("vector", "features"), 1)
+    near = tabular.nearest(rows.selectExpr("id AS query_id", "vector AS features"), rows.withColumnRenamed("vector", "features"), 1)
     assert all(r.id == r.query_id for r in near.collect())
+    assert vector.top_k(rows.limit(0).withColumnRenamed("id", "query_id"), rows, 3).count() == 0 == vector.top_k(rows.withColumnRenamed("id", "query_id"), rows.limit(0), 3).count()
 
 
 def test_matches_of_an_earlier_batch(spark):
