@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +112,49 @@ def stable_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).distinct().orderBy("src", "tgt")
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    """Nodes of the largest component (ties: the one with the smallest node)."""
-    both = materialise(undirected(edges.select("src", "tgt")).filter("src <> tgt").distinct(), "lcc-edges")
-    label = materialise(both.groupBy("src").agg(F.least(F.min("tgt"), F.first("src")).alias("c")).withColumnRenamed("src", "node"), "lcc")
+#: Edges of a graph that one task goes through; larger ones are labelled in rounds.
+ONE_TASK = 200_000
+
+
+def _connected(edges: pd.DataFrame) -> pd.DataFrame:
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(edges["src"], edges["tgt"], strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    return pd.DataFrame({"node": nodes, "c": [find(x) for x in nodes]})
+
+
+def component_labels(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, c) for the nodes of edges(src, tgt): c is the smallest node that can be reached.
+
+    Up to ``most`` edges go to one task; more are labelled in rounds that double their reach.
+    """
+    edges = materialise(edges.select("src", "tgt").filter("src <> tgt").distinct(), "component-edges")
+    if edges.count() <= (ONE_TASK if most is None else most):
+        kind = dict(edges.dtypes)["src"]
+        return materialise(edges.groupBy().applyInPandas(_connected, f"node {kind}, c {kind}"), "components")
+    both = undirected(edges).distinct()
+    label = materialise(both.groupBy("src").agg(F.least(F.min("tgt"), F.first("src")).alias("c")).withColumnRenamed("src", "node"), "components")
     while True:
         near = both.join(label, both["tgt"] == label["node"]).groupBy("src").agg(F.min("c").alias("m"))
         nxt = label.join(near, label["node"] == near["src"]).select("node", F.least("c", "m").alias("c"))
         jump = nxt.alias("a").join(nxt.alias("b"), F.col("a.c") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.c", "b.c").alias("c"))
-        jump = materialise(jump, "lcc")
+        jump = materialise(jump, "components")
         if jump.exceptAll(label).isEmpty():
-            break
+            return label
         label = jump
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """Nodes of the largest component (ties: the one with the smallest node)."""
+    label = component_labels(edges)
     top = label.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "c").limit(1)
     return label.join(F.broadcast(top), "c").select("node", F.col("c").alias("component"))
 

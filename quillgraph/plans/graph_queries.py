@@ -146,6 +146,14 @@ def resolution_pairs(spark, d):
     return out.select("a", "b", F.round("cosine", 4).alias("cosine"), F.round("jaccard", 4).alias("jaccard"), "shared")
 
 
+@query()
+def resolved_entities(spark, d):
+    """Parts with like vectors that are bought together, merged one after the other; no SQL has an order in which each step changes the next."""
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hyperedge"), F.col("l_partkey").cast("string").alias("entity"))
+    v = B.vectors(spark, d).select(F.col("id").cast("string").alias("entity"), "vector")
+    return ingest.closure(ingest.resolve(ingest.similar_pairs(inc, v, 0.3), inc, 0.01))
+
+
 @query("""WITH RECURSIVE p AS (SELECT vec_id AS variant, vec_id // 3 AS canonical FROM embeddings WHERE vec_id > 0), c AS (SELECT variant, canonical AS root FROM p UNION ALL SELECT c.variant, p.canonical FROM c JOIN p ON p.variant = c.root) SELECT variant, min(root) AS root FROM c GROUP BY variant""")
 def merge_closure(spark, d):
     e = table(spark, d, "embeddings").filter("vec_id > 0")

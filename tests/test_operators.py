@@ -68,8 +68,58 @@ def test_extraction_edges(spark):
     assert sorted(r.role for r in ingest.extraction(df, strict=True)[1].collect()) == ["CONDITION", "CONDITION"]
 
 
-def test_greedy_resolution():
-    assert ingest.resolve_greedy([("abc", "abcd"), ("abcd", "xy"), ("p", "q")]) == {"abc": "abcd", "xy": "abcd", "q": "p"}
+def one_after_the_other(pairs, sets, least):
+    """The plain loop: entities merge in the order of their pairs."""
+    sets, gone, out = {k: set(v) for k, v in sets.items()}, {}, {}
+    for a, b in sorted(pairs):
+        if a in gone or b in gone or not sets[a] & sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < least:
+            continue
+        keep, variant = (a, b) if len(a) >= len(b) else (b, a)
+        sets[keep], gone[variant] = sets[a] | sets[b], True
+        out[variant] = keep
+    return out
+
+
+def test_resolution_in_rounds_and_in_turn(spark):
+    """2,000 random pairs: linked groups in a task each and rounds over all of them give what the plain loop gives."""
+    draw = random.Random(8)
+    names = [f"{'x' * draw.randrange(1, 9)}{i}" for i in range(700)]
+    sets = {n: {f"h{draw.randrange(i // 10, i // 10 + 4)}" for _ in range(draw.randint(1, 5))} for i, n in enumerate(names)}
+    pairs = set()
+    while len(pairs) < 2000:
+        i = draw.randrange(699)
+        pairs.add(tuple(sorted((names[i], names[min(699, i + draw.randint(1, 8))]))))
+    pairs = {p for p in pairs if p[0] != p[1]}
+    inc = spark.createDataFrame([(h, n) for n, hs in sets.items() for h in hs], "hyperedge string, entity string")
+    df = spark.createDataFrame(sorted(pairs), "a string, b string")
+    want = one_after_the_other(pairs, sets, 0.25)
+    assert len(want) > 100 and {(r.variant, r.canonical) for r in ingest.resolve(df, inc).collect()} == set(want.items())
+    part = sorted(pairs)[:250]
+    rounds = {(r.variant, r.canonical) for r in ingest.resolve(spark.createDataFrame(part, "a string, b string"), inc, most=0).collect()}
+    assert rounds == set(one_after_the_other(part, sets, 0.25).items())
+    assert ingest.resolve(df.limit(0), inc).collect() == []
+
+
+def test_similar_pairs_follow_merges(spark):
+    """Names that only come to share a hyperedge through a third one are pairs as well; a large hyperedge is compared in parts."""
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(12, 6))
+    rows = [(f"n{i:03}", (base[i % 12] + draw.normal(size=6) * 0.15).tolist()) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "entity string, vector array<double>")
+    inc = [(f"h{i // 4}", n) for i, (n, _) in enumerate(rows)] + [(f"h{(i + 5) // 4}", n) for i, (n, _) in enumerate(rows) if i % 3 == 0] + [("big", n) for i, (n, _) in enumerate(rows) if i % 2]
+    v = {n: np.array(x) / np.linalg.norm(x) for n, x in rows}
+    alike = lambda a, b: float(v[a] @ v[b]) >= 0.8
+    groups = {}
+    for h, n in inc:
+        groups.setdefault(h, set()).add(n)
+    plain = {(a, b) for g in groups.values() for a in g for b in g if a < b and alike(a, b)}
+    df = spark.createDataFrame(inc, "hyperedge string, entity string")
+    for most in (7, 512):
+        assert {tuple(r) for r in ingest.alike_members(df, vectors, 0.8, most).collect()} == plain
+    chain = spark.createDataFrame([("h1", "a"), ("h1", "bb"), ("h2", "bb"), ("h2", "c"), ("h3", "d")], "hyperedge string, entity string")
+    same = spark.createDataFrame([(n, [1.0, x]) for n, x in (("a", 0.0), ("bb", 0.3), ("c", 0.6), ("d", 0.3))], "entity string, vector array<double>")
+    # a and c share nothing, but both are like bb (0.958, 0.954); they are alike at 0.857
+    assert {tuple(r) for r in ingest.similar_pairs(chain, same, 0.85).collect()} == {("a", "bb"), ("bb", "c"), ("a", "c")}
 
 
 def plain_stage(x):
@@ -246,10 +296,21 @@ def test_entities_merge_with_stored_ones(spark):
 
 def test_closure_of_circles(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "c"), ("p", "q"), ("q", "r"), ("s", "s")]
-    got = {r.variant: r.root for r in ingest.closure(spark.createDataFrame(pairs, "variant string, canonical string")).collect()}
-    assert got == {"b": "a", "c": "a", "x": "a", "p": "r", "q": "r"}
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "variant int, canonical int")
-    assert {r.root for r in ingest.closure(chain).collect()} == {40}
+    for most in (0, None):  # in rounds, and in one task
+        got = {r.variant: r.root for r in ingest.closure(spark.createDataFrame(pairs, "variant string, canonical string"), most).collect()}
+        assert got == {"b": "a", "c": "a", "x": "a", "p": "r", "q": "r"}
+        assert {r.root for r in ingest.closure(chain, most).collect()} == {40}
+
+
+def test_component_labels(spark):
+    from quillgraph.operators import graph
+
+    edges = spark.createDataFrame([(9, 4), (4, 7), (2, 3), (3, 2), (5, 5), (11, 10), (10, 7)], "src int, tgt int")
+    want = {9: 4, 4: 4, 7: 4, 10: 4, 11: 4, 2: 2, 3: 2}
+    for most in (0, None):
+        assert {r.node: r.c for r in graph.component_labels(edges, most).collect()} == want
+    assert graph.component_labels(edges.limit(0)).collect() == []
 
 
 def test_stages_with_classes(spark):
