@@ -71,8 +71,8 @@ class TableStore:
     fails changes nothing. The version before it stays for those who read it.
     """
 
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark, root: str, workspace: str | None = None):
+        self.spark, self.root = spark, root.rstrip("/") + (f"/workspace={workspace}" if workspace else "")
 
     def _folder(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

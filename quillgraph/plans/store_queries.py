@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.operators import store
@@ -77,6 +79,27 @@ def idf_write_back(spark, d):
     return store.write_back(base, new, "entity", "idf_weight")
 
 
+@query("""WITH a AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS value FROM supplier), b AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'changed ' || id ELSE name END AS name, CASE WHEN id % 3 = 0 THEN value * 2 ELSE value END AS value FROM a),
+    c AS (SELECT id, name, CASE WHEN id % 5 = 0 THEN -1 ELSE value END AS value FROM b UNION ALL SELECT id + 1000000, 'new', 0 FROM a WHERE id % 4 = 0)
+    SELECT 'one' AS workspace, id, name, value::DOUBLE AS value FROM c WHERE NOT (id < 1000000 AND id % 7 = 0) UNION ALL SELECT 'two', id, 'other', 5 FROM a WHERE id % 2 = 0""")
+def stored_workspaces(spark, d):
+    """Suppliers in a store of two workspaces: rows replaced, fields set, new ones added, some deleted and folded."""
+    from quillgraph.session import shared_folder
+    from quillgraph.sources.tables import DeltaStore
+
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    one, two = DeltaStore(spark, root, "one"), DeltaStore(spark, root, "two")
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("value"))
+    one.upsert("suppliers", a, "id")
+    two.upsert("suppliers", a.filter("id % 2 = 0").withColumns({"name": F.lit("other"), "value": F.lit(5.0)}), "id")
+    one.upsert("suppliers", a.filter("id % 3 = 0").withColumns({"name": F.concat(F.lit("changed "), "id"), "value": F.col("value") * 2}), "id", "rows")
+    one.upsert("suppliers", a.filter("id % 5 = 0").select("id", F.lit(None).cast("string").alias("name"), F.lit(-1.0).alias("value")), "id", "fields")
+    one.compact("suppliers")
+    one.upsert("suppliers", a.filter("id % 4 = 0").selectExpr("id + 1000000 AS id", "'new' AS name", "0D AS value").unionByName(a.withColumn("name", F.lit("known"))), "id")
+    one.delete("suppliers", a.filter("id % 7 = 0"))
+    return one.read("suppliers").withColumn("workspace", F.lit("one")).unionByName(two.read("suppliers").withColumn("workspace", F.lit("two")))
+
+
 @query("SELECT o_orderstatus = 'F' AS ok, count(*) AS n FROM orders GROUP BY 1")
 def result_split(spark, d):
     ok, bad = store.split_results(table(spark, d, "orders"), F.col("o_orderstatus") == "F")

@@ -446,3 +446,85 @@ def test_any_positive_can_be_drawn(spark):
     assert len(got) == 5000 and len({r.negative for r in got}) > 2500 and all(r.negative != f"p{r.anchor_id}" and not r.hard for r in got)
     one = spark.createDataFrame([(1, "p", ["无相关困难负样本"]), (2, "p", [])], "anchor_id long, positive string, hard_negatives array<string>")
     assert {tuple(r) for r in prepare.random_negatives(one).collect()} == {(1, "p", False), (2, "p", False)}
+
+
+def test_store_grows_by_deltas(spark, tmp_path):
+    """An upsert of 1 % writes about 1 % of the bytes; folding changes no row; old versions can be read until they are folded away."""
+    from quillgraph.sources import tables
+
+    store = tables.open_store("DeltaStore", spark, str(tmp_path), "w-1")
+    rows = spark.range(40_000).selectExpr("id", "sha2(cast(id AS string), 256) AS text", "id % 7 AS n").coalesce(1)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "t" / "rows").rglob("*.parquet"))
+    store.upsert("t", rows, "id")
+    whole = size()
+    store.upsert("t", rows.filter("id % 100 = 3").selectExpr("id", "concat('new ', text) AS text", "n"), "id", "rows")
+    assert size() - whole < 0.03 * whole
+    store.delete("t", rows.filter("id % 100 = 4").select("id"))
+    assert size() - whole < 0.04 * whole
+    want = {(i, ("new " if i % 100 == 3 else "")) for i in range(40_000) if i % 100 != 4}
+    seen = lambda df: {(r.id, "new " if r.text.startswith("new ") else "") for r in df.collect()}
+    assert seen(store.read("t")) == want and store.read("t", 1).count() == 40_000
+    store.upsert("t", rows.filter("id % 100 = 4"), "id")
+    store.compact("t")
+    assert seen(store.read("t")) == want | {(i, "") for i in range(4, 40_000, 100)} and store.versions("t") == [1, 2, 3, 4, 5]
+    store.compact("t")
+    assert store.versions("t") == [5, 6] and store.read("t").count() == 40_000
+    store.upsert("t", rows.limit(3), "id")
+    assert store.versions("t") == [5, 6]  # nothing new, nothing written
+    pairs = store.upsert("pairs", spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "p string, q string, v int"), ["p", "q"])
+    pairs = store.upsert("pairs", spark.createDataFrame([("a", "y", 9), ("b", "y", 3)], "p string, q string, v int"), ["p", "q"], "rows")
+    assert {tuple(r) for r in pairs.collect()} == {("a", "x", 1), ("a", "y", 9), ("b", "y", 3)}
+    for bad in (lambda: tables.open_store("none", spark, str(tmp_path)), lambda: tables.DeltaStore(spark, str(tmp_path), "a/b"), lambda: store.read("none")):
+        try:
+            bad()
+            raise AssertionError
+        except ValueError:
+            pass
+
+
+def test_workspaces_never_meet(spark, tmp_path):
+    from quillgraph.sources.tables import DeltaStore
+
+    one, two = DeltaStore(spark, str(tmp_path), "one"), DeltaStore(spark, str(tmp_path), "007")
+    one.upsert("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), "id")
+    two.upsert("t", spark.createDataFrame([(1, "x"), (3, "y")], "id int, v string"), "id")
+    one.delete("t", spark.createDataFrame([(1,), (3,)], "id int"))
+    assert [tuple(r) for r in one.read("t").collect()] == [(2, "b")]
+    assert {tuple(r) for r in two.read("t").collect()} == {(1, "x"), (3, "y")}
+    plan = two.read("t")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(workspace" in plan and "007" in plan
+    two.drop("t")
+    assert two.read("t").count() == 0 and one.read("t").count() == 1
+
+
+def test_two_writers(spark, tmp_path):
+    """Who comes second sees what the first has written and tries again; who never comes first is told."""
+    from quillgraph.sources.tables import ConcurrentWrite, DeltaStore
+
+    df = lambda *rows: spark.createDataFrame(rows, "id int, v string")
+    one, two = DeltaStore(spark, str(tmp_path)), DeltaStore(spark, str(tmp_path))
+    one.upsert("t", df((1, "a")), "id")
+    real, turns = one._write_rows, []
+
+    def late(name, rows):
+        commit = real(name, rows)
+        if not turns:
+            turns.append(two.upsert("t", df((2, "theirs")), "id"))  # between this writer's rows and its log file
+        return commit
+
+    one._write_rows = late
+    one.upsert("t", df((2, "mine"), (3, "mine")), "id")
+    assert {tuple(r) for r in one.read("t").collect()} == {(1, "a"), (2, "theirs"), (3, "mine")} and one.versions("t") == [1, 2, 3]
+
+    def always(name, rows):
+        commit = real(name, rows)
+        two.upsert("t", df((10 + len(turns), "theirs")), "id")
+        turns.append(None)
+        return commit
+
+    one._write_rows = always
+    try:
+        one.upsert("t", df((3, "late")), "id", "rows")
+        raise AssertionError
+    except ConcurrentWrite:
+        assert {r.v for r in one.read("t").filter("id = 3").collect()} == {"mine"}
