@@ -74,13 +74,18 @@ def coverage_summary(rows: DataFrame, group: str, status: str = "status") -> Dat
     return rows.groupBy(group).agg(F.count("*").alias("total"), count("covered"), count("partial"), count("uncovered"))
 
 
-def vector_stream(hits: DataFrame, nodes: DataFrame, k: int = 60) -> DataFrame:
+def vector_stream(hits: DataFrame, nodes: DataFrame, k: int = 60, rerank=None) -> DataFrame:
     """(query_id, item, weight, rank from 0) of hits(query_id, hyperedge) that are stored, in order of weight, marks stripped.
 
-    The order that stands where no reranker is given; nodes(hyperedge, weight).
+    rerank, a column function (text of the question, item), gives the weight
+    instead; hits then have ``text``, and only scores over the reranker's cut
+    stay. nodes(hyperedge, weight).
     """
     line = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "hyperedge")
-    ranked = hits.join(nodes.select("hyperedge", "weight"), "hyperedge").withColumn("rank", F.row_number().over(line) - 1).filter(F.col("rank") < k)
+    found = hits.join(nodes.select("hyperedge", "weight"), "hyperedge")
+    if rerank is not None:
+        found = above(found.withColumn("weight", rerank(F.col("text"), F.regexp_replace("hyperedge", "^<hyperedge>", ""))), "weight")
+    ranked = found.withColumn("rank", F.row_number().over(line) - 1).filter(F.col("rank") < k)
     return ranked.select("query_id", F.regexp_replace("hyperedge", "^<hyperedge>", "").alias("item"), "weight", "rank")
 
 
@@ -97,14 +102,15 @@ def graph_stream(hits: DataFrame, incidence: DataFrame, belongs: DataFrame, scor
     ``cap`` hyperedges (all recommendations first), hyperedges as many papers.
     A paper's coverage is the sum of the positive scores(hyperedge, score) that
     the query reaches; tier (3 with a recommendation, 2 with evidence) and count
-    are those of all that it reaches, whatever their score.
+    are those of all that it reaches, whatever their score. Scores may be those
+    of each query, scores(query_id, hyperedge, score).
     """
     wanted = hits.select("query_id", "entity").distinct()
     near = incidence.join(wanted.select("entity").distinct(), "entity", "left_semi")
     similar = similarities if similarities is not None else near.select("entity", "hyperedge", F.lit(0.0).alias("sim"))
     kept = graph.capped_neighbours(near, similar, cap).select("entity", "hyperedge", "role")
     reached = wanted.join(kept, "entity").groupBy("query_id", "hyperedge").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("role")).alias("roles"), *graph.tier_flags())
-    rows = reached.join(scores, "hyperedge", "left").join(paper_neighbours(belongs, cap), "hyperedge")
+    rows = reached.join(scores, [c for c in ("query_id", "hyperedge") if c in scores.columns], "left").join(paper_neighbours(belongs, cap), "hyperedge")
     covered = rows.groupBy("query_id", "paper").agg(*graph.covered(F.col("score"))).filter("coverage IS NOT NULL")
     rows = rows.filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("coverage").desc(), F.col("n_hyperedges").desc(), "paper")

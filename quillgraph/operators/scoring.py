@@ -63,6 +63,18 @@ def hyperedge_scores(tensors: DataFrame, query: np.ndarray, weights: dict) -> Da
     return tensors.mapInPandas(run, f"hyperedge {dict(tensors.dtypes)['hyperedge']}, score double")
 
 
+def asked_scores(pairs: DataFrame, weights: dict) -> DataFrame:
+    """(query_id, hyperedge, score) of pairs(query_id, hyperedge, vector, members): the question's vector against graph.padded_tensor's members."""
+
+    def run(batches):
+        for pdf in batches:
+            scores = [attention_score(np.asarray(q, float), np.array([m["vector"] for m in ms], float), np.array([ROLE_IDS.get(m["role"], 1) for m in ms]), weights) for q, ms in zip(pdf["vector"], pdf["members"], strict=True)]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "hyperedge": pdf["hyperedge"], "score": scores})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("query_id", "hyperedge", "vector", "members").mapInPandas(run, f"query_id {kinds['query_id']}, hyperedge {kinds['hyperedge']}, score double")
+
+
 def surrogate_score(query: Column, members: Column) -> Column:
     """A documented stand-in where no trained weights are given: sigmoid of the mean member cosine."""
     from quillgraph.operators.vector import cosine

@@ -102,13 +102,17 @@ class TableStore:
             files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v{version}"), True)
         return self.read(name)
 
-    def upsert(self, name: str, new: DataFrame, key: str, mode: str = "absent") -> DataFrame:
+    def upsert(self, name: str, new: DataFrame, key: str | list[str], mode: str = "absent") -> DataFrame:
         if not self.exists(name):
             return self.write(name, new)
-        old = self.read(name)
-        merged = {"absent": lambda: insert_absent(old, new, key), "fields": lambda: overwrite_fields(old, new, key), "rows": lambda: overwrite_rows(old, new, [key], [])}[mode]()
+        old, new = self.read(name), new.dropDuplicates([key] if isinstance(key, str) else key)
+        merged = {"absent": lambda: insert_absent(old, new, key), "fields": lambda: overwrite_fields(old, new, key), "rows": lambda: overwrite_rows(old, new, [key] if isinstance(key, str) else key, [])}[mode]()
         return self.write(name, merged)
 
+    def delete(self, name: str, gone: DataFrame) -> None:
+        """Rows that agree with one of gone in all of its columns go."""
+        self.write(name, self.read(name).join(gone, gone.columns, "left_anti"))
+
     def drop(self, name: str) -> None:
         if self.exists(name):
             self.write(name, self.read(name).limit(0))

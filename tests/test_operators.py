@@ -250,7 +250,7 @@ def test_engine_round_trip(spark, tmp_path):
     def complete(chunks: pd.Series) -> pd.Series:
         return chunks.map(lambda c: f'("hyper-relation"<|>{c}<|>8)##("entity"<|>{c.split(" ")[0]}<|>t<|>d<|>SOURCE<|>80)##("entity"<|>shared<|>t<|>d<|>ACTION<|>80)<|COMPLETE|>')
 
-    e = Engine(spark, str(tmp_path / "kg"), embed, 3, complete)
+    e = Engine(spark, str(tmp_path / "kg"), embed, 3, complete, resolve=None)
     e.insert(spark.createDataFrame([("alpha fact",), ("alpha fact",)], "text string"), "p1")
     e.insert(spark.createDataFrame([("beta other fact",), ("alpha fact",)], "text string"), "p2")
     assert e.store.read("full_docs").count() == 2 and e.store.read("hyperedges").count() == 2
@@ -270,6 +270,8 @@ def test_engine_round_trip(spark, tmp_path):
     assert e.store.read("vec_hyperedges").count() == 1 and {r.name for r in e.store.read("vec_entities").collect()} == {"ALPHA", "SHARED"}
     e.delete_entity("alpha")
     assert e.store.read("incidence").count() == 1
+    e.delete_hyperedge("alpha fact")
+    assert e.store.read("incidence").count() == 0 == e.store.read("hyperedges").count()
 
 
 def test_tags_are_quoted_and_names_cleaned(spark):
@@ -528,3 +530,57 @@ def test_two_writers(spark, tmp_path):
         raise AssertionError
     except ConcurrentWrite:
         assert {r.v for r in one.read("t").filter("id = 3").collect()} == {"mine"}
+
+
+def test_engine_resolves_gleans_summarises_and_scores(spark, tmp_path):
+    """Two batches and a given graph end to end; both streams against plain loops."""
+    import hashlib
+
+    like = {"VBT": "brachy", "VAGINAL BRACHYTHERAPY": "brachy", "<hyperedge>rule one": "rule", "<hyperedge>rule two": "rule"}
+
+    def embed(texts):
+        seeds = [int.from_bytes(hashlib.md5(like.get(t, t).encode()).digest()[:4], "big") for t in texts]
+        return [np.random.default_rng(x).normal(size=8).tolist() for x in seeds]
+
+    record = lambda name, role, about="d": f'("entity"<|>{name}<|>t<|>{about}<|>{role}<|>80)##'
+    said = {
+        "one": '("hyper-relation"<|>rule one<|>8)##' + record("vbt", "ACTION") + record("vaginal brachytherapy", "INPUT") + record("stage", "INPUT", "word " * 600),
+        "two": '("hyper-relation"<|>rule two<|>9)##' + record("vbt", "SOURCE") + record("other", "CONTEXT"),
+    }
+    weights = {"heads": 2, "scale": 0.1, "mlp": [(np.full((20, 1), 0.3), np.zeros(1))]}
+    draw = np.random.default_rng(7)
+    weights |= {"roles": draw.normal(size=(5, 8)), "g0": np.ones(8), "g1": np.ones(8), "b0": np.zeros(8), "b1": np.zeros(8)} | {m: draw.normal(size=(8, 8)) for m in ("wq", "wk", "wv", "wo", "q", "k")}
+    parts = {
+        "glean": (lambda h: h.map(lambda x: record("gleaned", "INPUT")), lambda h: h.map(lambda x: "no")),
+        "summarise": lambda t: t.map(lambda x: f"{len(x.split())} words"),
+        "rerank": lambda qs, ts: [len(t) % 5 / 10 for t in ts],
+        "scorer": weights,
+    }
+    e = Engine(spark, str(tmp_path / "kg"), embed, 8, lambda c: c.map(said.get), workspace="w", **parts)
+    e.insert(spark.createDataFrame([("one",)], "text string"), "p1")
+    e.insert(spark.createDataFrame([("two",)], "text string"), "p2")
+    incidence = {(r.hyperedge, r.entity): r.role for r in e.store.read("incidence").collect()}
+    assert set(incidence) == {(f"<hyperedge>rule {k}", n) for k, names in (("one", ("VAGINAL BRACHYTHERAPY", "STAGE", "GLEANED")), ("two", ("VAGINAL BRACHYTHERAPY", "OTHER", "GLEANED"))) for n in names}
+    assert {r.entity: r.description for r in e.store.read("entities").collect()}["STAGE"] == "600 words"
+    assert {(r.paper, r.role, r.weight) for r in e.store.read("belongs").collect()} == {("p1", "EVIDENCE", 1.0), ("p2", "EVIDENCE", 1.0)}
+    e.insert_graph(spark.createDataFrame([("s", " text of s ")], "source_id string, content string"), spark.createDataFrame([("uterus", "organ", "an organ", "s")], "entity_name string, entity_type string, description string, source_id string"), spark.createDataFrame([("uterus", "stage", "is staged", "staging", 2.0, "s")], "src_id string, tgt_id string, description string, keywords string, weight double, source_id string"))
+    custom = "staging UTERUS STAGE is staged"
+    asked = spark.createDataFrame([(1, "what stage"), (2, "which organ")], "query_id long, text string")
+    got = e.query(asked, QueryParam(top_k=20)).collect()
+    assert {(r.query_id, r.knowledge) for r in got} == {(q, k) for q in (1, 2) for k in ("rule one", "rule two", custom)}
+    # the vector stream: the reranker's order of what it scores over its cut
+    alone = e.query(asked.limit(1), QueryParam(top_k=20, ablation="vector_only")).orderBy("rank").collect()
+    want = [k for s, k in sorted((-(len(k) % 5 / 10), f"<hyperedge>{k}") for k in ("rule one", "rule two", custom)) if s < -0.01]
+    assert [r.knowledge for r in alone] == [k.removeprefix("<hyperedge>") for k in want]
+    # the graph stream: scores of question and members, summed by paper
+    members = {}
+    for r in e.store.read("incidence").collect():
+        members.setdefault(r.hyperedge, []).append((r.entity, r.role))
+    vectors = {r.name: np.array(r.vector, float) for r in e.store.read("vec_entities").collect()}
+    for r in e.context(asked, 20).collect():
+        rule = {"p1": "<hyperedge>rule one", "p2": "<hyperedge>rule two"}[r.paper]
+        own = sorted(members[rule])
+        q = np.array(np.float32(embed(["what stage", "which organ"][r.query_id - 1 : r.query_id])[0]), float)
+        score = scoring.attention_score(q, np.array([vectors[n] for n, _ in own]), np.array([scoring.ROLE_IDS[x] for _, x in own]), weights)
+        roles = {x for _, x in own}  # of names that merge in a hyperedge the role written last stays
+        assert (r.tier, r.n_hyperedges) == (3 if "RECOMMENDATION" in roles else 2 if "EVIDENCE" in roles else 1, 1) and abs(r.coverage - round(score, 4)) < 2e-4 and rule in r.text
