@@ -14,13 +14,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """
     sized = docs.withColumn("_len", F.size("tokens"))
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(stats))
-    raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
-    mean = raw.agg(F.avg("_idf").alias("_mean"))
-    weight = raw.crossJoin(F.broadcast(mean)).select("term", "_avg", F.when(F.col("_idf") < 0, epsilon * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
     asked = queries.select("query_id", F.explode("tokens").alias("term"))
     wanted = asked.select("term").distinct()
     tf = sized.select("doc_id", "_len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "_len", "term").agg(F.count("*").alias("_tf"))
+    return term_scores(asked, term_weights(df, stats, epsilon), tf, k1, b)
+
+
+def term_weights(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, _idf, _avg) of document frequencies df(term, _df) and one row of stats(_n documents, _avg length)."""
+    raw = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
+    mean = raw.agg(F.avg("_idf").alias("_mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "_avg", F.when(F.col("_idf") < 0, epsilon * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
+
+
+def term_scores(asked: DataFrame, weight: DataFrame, tf: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of asked(query_id, term), term weights and tf(doc_id, _len, term, _tf)."""
     hits = asked.join(weight, "term").join(tf, "term")
     part = F.col("_idf") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import fusion, graph, vector
+from quillgraph.operators import containment, fusion, graph, postings, vector
 from quillgraph.plans import bindings as B
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import shared_folder, table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 _TOP = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
@@ -98,6 +100,22 @@ def bm25_top(spark, d):
     return _bm25(spark, d).withColumn("_r", F.row_number().over(line)).filter("_r <= 50").select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+_KEPT = "(SELECT * FROM documents WHERE source IS NULL OR source <> 'src1')"
+
+
+@query(f"SELECT query_id, doc_id, round(score, 4) AS score FROM ({_BM25.replace('documents', _KEPT)})")
+def postings_scores(spark, d):
+    """BM25 from a stored index that is built in two batches and loses the documents of a source."""
+    index = postings.Postings(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", " ").alias("tokens"))
+    early = F.coalesce(F.col("source") < "src2", F.lit(False))
+    index.add(docs.filter(early))
+    index.add(docs.filter(~early))
+    index.remove(docs.filter("source = 'src1'"))
+    asked = table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("tokens"))
+    return index.scores(asked).withColumn("score", F.round("score", 4))
+
+
 @query("""WITH a AS (SELECT vec_id AS item, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 50), b AS (SELECT vec_id AS item, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS rank FROM embeddings WHERE vec_id % 3 = 0 QUALIFY rank < 50)
     SELECT item, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY item""")
 def rrf(spark, d):
@@ -154,10 +172,19 @@ def bibliography(spark, d):
 
 @query("SELECT b.item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def containment_join(spark, d):
-    """First document that contains each item; items are a bounded block of needles."""
-    items = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(items, F.col("text").contains(F.col("needle"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """First document that contains each item."""
+    found = containment.contained(table(spark, d, "benchmark").selectExpr("item_id AS needle_id", "text AS needle"), table(spark, d, "documents").selectExpr("doc_id AS text_id", "text"))
+    return found.groupBy(F.col("needle_id").alias("item_id")).agg(F.min("text_id").alias("doc_id"))
+
+
+@query("""WITH l AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)
+    SELECT item_id, count(*) AS n, min(doc_id) AS first FROM l JOIN documents d ON length(l.text) > 0 AND length(d.text) > 0 AND (contains(d.text, l.text) OR contains(l.text, d.text)) GROUP BY item_id""")
+def containment_both_ways(spark, d):
+    """Items and turns that stand in a document, or that have a whole document in them."""
+    turns = table(spark, d, "conversations").select((1000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("left_id"), F.col("text").alias("left"))
+    left = table(spark, d, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("left")).unionByName(turns)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right"))
+    return containment.either_way(left, docs).groupBy(F.col("left_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("right_id").alias("first"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS text_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderpriority LIKE '1%' AS contained, round(o_totalprice / 500000, 4) AS coherence, (o_orderkey % 100) / 100 AS sim FROM orders)

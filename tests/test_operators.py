@@ -584,3 +584,41 @@ def test_engine_resolves_gleans_summarises_and_scores(spark, tmp_path):
         score = scoring.attention_score(q, np.array([vectors[n] for n, _ in own]), np.array([scoring.ROLE_IDS[x] for _, x in own]), weights)
         roles = {x for _, x in own}  # of names that merge in a hyperedge the role written last stays
         assert (r.tier, r.n_hyperedges) == (3 if "RECOMMENDATION" in roles else 2 if "EVIDENCE" in roles else 1, 1) and abs(r.coverage - round(score, 4)) < 2e-4 and rule in r.text
+
+
+def test_containment_against_loop(spark):
+    """Needles of every length, repeated, null and empty ones, and texts with common grams."""
+    from quillgraph.operators import containment
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abé中") for _ in range(draw.randint(1, 4)))
+    texts = [(i, " ".join(word() for _ in range(draw.choice([0, 1, 3, 40])))) for i in range(150)] + [(150, None), (7, "again a b"), (151, "common " * 3000)]
+    needles = [(i, t[k : k + draw.randint(1, 14)]) for i, (_, t) in enumerate(texts[:120]) if t for k in (0, len(t) // 2)] + [(500, ""), (501, None), (502, "absent"), (503, "common common"), (3, "ab")]
+    a = spark.createDataFrame(needles, "needle_id int, needle string")
+    b = spark.createDataFrame(texts, "text_id int, text string").repartition(4)
+    want = {(i, j) for i, n in needles for j, t in texts if n and t is not None and n in t}
+    assert sorted(map(tuple, containment.contained(a, b).distinct().collect())) == sorted(want)
+    both = containment.either_way(a.selectExpr("needle_id AS left_id", "needle AS left"), b.selectExpr("text_id AS right_id", "text AS right"), 3)
+    assert {tuple(r) for r in both.collect()} == want | {(i, j) for i, n in needles for j, t in texts if n is not None and t and t in n}
+    assert containment.contained(a.limit(0), b).collect() == []
+
+
+def test_postings_follow_inserts_and_deletes(spark, tmp_path):
+    """Scores from the index are those of the texts, after each batch, replacement and delete; only the buckets asked for are read."""
+    from quillgraph.operators.postings import Postings
+
+    draw = random.Random(9)
+    docs = {i: [draw.choice("abcdefghij") + str(draw.randrange(4)) for _ in range(draw.randint(0, 30))] for i in range(60)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id int, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["a1", "b2", "b2", "zz"]), (2, ["c3"])], "query_id int, tokens array<string>")
+    index = Postings(spark, str(tmp_path), buckets=16)
+    same = lambda now: {(r.query_id, r.doc_id): round(r.score, 9) for r in index.scores(asked).collect()} == {(r.query_id, r.doc_id): round(r.score, 9) for r in fusion.bm25(frame(now), asked).collect()}
+    index.add(frame({i: t for i, t in docs.items() if i < 40}))
+    index.add(frame({i: t for i, t in docs.items() if i >= 40}))
+    assert same(docs)
+    docs |= {3: ["a1"] * 5, 50: ["c3", "b2"]}
+    index.add(frame({i: docs[i] for i in (3, 50)}))
+    index.remove(frame({i: docs.pop(i) for i in range(10, 30)}).select("doc_id"))
+    assert same(docs)
+    plan = index.scores(asked)._jdf.queryExecution().toString()
+    assert any(part.lstrip("[").split("]")[0].find("bucket") >= 0 for part in plan.split("PartitionFilters: ")[1:])
