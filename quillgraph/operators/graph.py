@@ -35,12 +35,14 @@ def idf(incidence: DataFrame) -> DataFrame:
 
 def capped_neighbours(incidence: DataFrame, scores: DataFrame, cap: int = 50) -> DataFrame:
     """Hyperedges kept for each entity: all recommendations, then the best others until ``cap``; scores(entity, hyperedge, sim)."""
+    # others by row number up to a constant: Spark cuts a hot entity's rows in each task before it shuffles them
+    strong = F.col("role").eqNullSafe(F.lit("RECOMMENDATION"))
     rows = incidence.join(scores, ["entity", "hyperedge"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    own = Window.partitionBy("entity")
-    line = Window.partitionBy("entity", F.col("role") == "RECOMMENDATION").orderBy(F.col("sim").desc(), F.col("hyperedge").desc())
-    rows = rows.withColumn("_n", F.count("*").over(own)).withColumn("_rec", F.sum((F.col("role") == "RECOMMENDATION").cast("int")).over(own)).withColumn("_r", F.row_number().over(line))
-    kept = (F.col("_n") <= cap) | (F.col("role") == "RECOMMENDATION") | (F.col("_r") <= cap - F.col("_rec"))
-    return rows.filter(kept).drop("_n", "_rec", "_r")
+    line = Window.partitionBy("entity").orderBy(F.col("sim").desc(), F.col("hyperedge").desc())
+    first = rows.filter(~strong).withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= cap)
+    taken = incidence.filter(strong).groupBy("entity").agg(F.count("*").alias("_n"))
+    others = first.join(taken, "entity", "left").filter(F.col("_r") <= cap - F.coalesce("_n", F.lit(0)))
+    return rows.filter(strong).unionByName(others.select(*rows.columns))
 
 
 def padded_tensor(incidence: DataFrame, vectors: DataFrame, cap: int = 40) -> DataFrame:
