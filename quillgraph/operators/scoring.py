@@ -94,19 +94,23 @@ def pair_scores(u: np.ndarray, v: np.ndarray, layers: list[tuple[np.ndarray, np.
     return sigmoid(dense(np.concatenate([u, v, np.abs(u - v), u * v], 1), layers)).ravel()
 
 
-def embed_udf(embed: Callable[[list[str]], list[list[float]]], dim: int):
-    """A column function around an embedder of string batches; checks lengths."""
+def checked_embedder(embed: Callable[[list[str]], list[list[float]]], dim: int) -> Callable[[pd.Series], list[list[float]]]:
+    """An embedder of string batches as a function of a series that checks lengths."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> list[list[float]]:
         out = embed(texts.fillna("").tolist())
         if len(out) != len(texts) or any(len(v) != dim for v in out):
             raise ValueError("the embedder must give one vector of the stated size a text")
-        return pd.Series(out)
+        return out
 
     return run
 
 
+def embed_udf(embed: Callable[[list[str]], list[list[float]]], dim: int):
+    """A column function around an embedder."""
+    return F.pandas_udf(lambda texts: pd.Series(checked_embedder(embed, dim)(texts)), T.ArrayType(T.FloatType()))
+
+
 def reranker_udf(score: Callable[[list[str], list[str]], list[float]]):
     """A column function (query, text) around a reranker of pairs; checks lengths."""
 

@@ -13,6 +13,7 @@ from quillgraph.functions.text import content_id
 from quillgraph.operators import evidence, fusion, graph, ingest, scoring, store, vector
 from quillgraph.session import materialise
 from quillgraph.sources import tables
+from quillgraph.streaming.metrics import Metrics, timed_udf
 
 
 @dataclass
@@ -23,6 +24,25 @@ class QueryParam:
     ablation: str = "full"
 
 
+class WatchedStore:
+    """A store whose writes are timed and counted, and whose lost attempts count as retries."""
+
+    def __init__(self, store, metrics: Metrics):
+        self._store, self._metrics = store, metrics
+        store.on_retry = lambda: metrics.count("retry_total", 1, "store")
+
+    def __getattr__(self, name: str):
+        found = getattr(self._store, name)
+        if name not in ("upsert", "write", "delete"):
+            return found
+
+        def run(*args, **more):
+            with self._metrics.timed("graph", name):
+                return found(*args, **more)
+
+        return run
+
+
 class Engine:
     """Documents in, ranked knowledge out.
 
@@ -40,19 +60,24 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable, dim: int, complete: Callable[[pd.Series], pd.Series], chunk: int = 1200, overlap: int = 100, *, workspace: str = "default", kind: str = "DeltaStore", glean: tuple[Callable, Callable] | None = None, summarise: Callable | None = None, rerank: Callable | None = None, scorer: dict | None = None, resolve: tuple[float, float, float] | None = (0.85, 0.25, 0.8)):
-        self.spark, self.store = spark, tables.open_store(kind, spark, root, workspace)
-        self.embed, self.complete = scoring.embed_udf(embed, dim), scoring.language_model_udf(complete)
+        self.spark, self.metrics = spark, Metrics()
+        self.store = WatchedStore(tables.open_store(kind, spark, root, workspace), self.metrics)
+        self.embed, self.complete = timed_udf(scoring.checked_embedder(embed, dim), "array<float>"), timed_udf(complete, "string")
         self.glean = glean and tuple(map(scoring.language_model_udf, glean))
         self.summarise, self.rerank = summarise and scoring.language_model_udf(summarise), rerank and scoring.reranker_udf(rerank)
         self.scorer, self.resolve, self.chunk, self.overlap = scorer, resolve, chunk, overlap
 
+    def _embedded(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the vector of a column, computed once."""
+        return self.metrics.called(df, "vector", self.embed, F.col(column), "embedding", lambda rows: materialise(rows, name))
+
     def _known(self, name: str, keys: DataFrame, on: str | list[str]) -> DataFrame | None:
         """Stored rows that new ones with these keys touch."""
         return self.store.read(name).join(keys, on, "left_semi") if self.store.exists(name) else None
 
     def _extracted(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(hyperedges, entities) of chunks, with what gleaning adds."""
-        done = materialise(chunks.withColumn("output", self.complete("content")), "extracted")
+        done = self.metrics.called(chunks, "output", self.complete, F.col("content"), "llm", lambda rows: materialise(rows, "extracted"))
         if self.glean:
             proceed, more = ((lambda out, f=f: f(F.concat_ws("\n", "content", out))) for f in self.glean)
             done = materialise(done.withColumn("output", ingest.gleaned(F.col("output"), proceed, more)), "gleaned")
@@ -62,13 +87,13 @@ class Engine:
     def _one_name(self, nodes: DataFrame) -> DataFrame:
         """nodes with the names that entities go by, in this batch and in the store."""
         least, jaccard, overlap = self.resolve
-        vectors = materialise(nodes.select("entity").distinct().withColumn("vector", self.embed("entity")), "names")
+        vectors = self._embedded(nodes.select("entity").distinct(), "entity", "names")
         stored = incidence = hyperedges = None
         if self.store.exists("vec_entities") and self.store.exists("incidence"):
             stored = self.store.read("vec_entities").select(F.col("name").alias("entity"), "vector")
             incidence = self.store.read("incidence").select("hyperedge", "entity")
             old = self.store.read("vec_hyperedges").select(F.col("name").alias("hyperedge"), "vector")
-            new = nodes.select("hyperedge").distinct().join(old, "hyperedge", "left_anti").withColumn("vector", self.embed("hyperedge"))
+            new = self._embedded(nodes.select("hyperedge").distinct().join(old, "hyperedge", "left_anti"), "hyperedge", "hyperedge-vectors")
             hyperedges = materialise(old.unionByName(new), "hyperedges")
         roots = ingest.resolved(nodes, vectors, stored, incidence, hyperedges, least, jaccard, overlap)
         renamed = nodes.join(roots, nodes["entity"] == roots["variant"], "left").withColumn("entity", F.coalesce("root", "entity"))
@@ -97,7 +122,7 @@ class Engine:
         rows = rows.dropDuplicates(["name"]).withColumn("id", content_id(prefix, F.col("name")))
         if self.store.exists(table):
             rows = rows.join(self.store.read(table).select("id"), "id", "left_anti")
-        self.store.upsert(table, rows.select("id", "name", self.embed("content").alias("vector")), "id")
+        self.store.upsert(table, self._embedded(rows, "content", "vectors").select("id", "name", "vector"), "id")
 
     def insert(self, texts: DataFrame, paper: str | None = None) -> None:
         """New documents (by content) are chunked, extracted, resolved, merged and stored; known ones cost nothing."""
@@ -119,7 +144,7 @@ class Engine:
         self.store.upsert("full_docs", docs, "doc_id")
 
     def _asked(self, questions: DataFrame) -> DataFrame:
-        return materialise(questions.select("query_id", "text", self.embed("text").alias("vector")), "questions")
+        return self._embedded(questions.select("query_id", "text"), "text", "questions")
 
     def _entities_near(self, asked: DataFrame, k: int) -> DataFrame:
         found = vector.top_k(asked, self.store.read("vec_entities").select(F.col("name").alias("id"), "vector"), k)
@@ -169,6 +194,11 @@ class Engine:
         out = fusion.weighted_fusion(by_vector, by_graph, param.gate, param.top_k)
         return out.select("query_id", F.col("item").alias("knowledge"), "coherence", "rank")
 
+    def answer(self, questions: DataFrame, param: QueryParam | None = None) -> DataFrame:
+        """What ``query`` gives, executed and kept, as one query of the metrics."""
+        with self.metrics.timed("aquery"):
+            return materialise(self.query(questions, param), "answers")
+
     def context(self, questions: DataFrame, top_k: int = 60) -> DataFrame:
         """(query_id, paper, tier, coverage, n_hyperedges, rank, text): the papers that a question's entities lead to, their best paths as text.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.plans.registry import query
 from quillgraph.session import table
+from quillgraph.streaming import metrics
 from quillgraph.streaming import operators as S
 
 
@@ -24,3 +25,10 @@ def metric_windows(spark, d):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, quantile_cont(value, 0.5) AS median FROM events GROUP BY event_type")
 def metric_summary(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.percentile("value", 0.5).alias("median"))
+
+
+@query("SELECT event_type AS label, le, count(*) FILTER (le IS NULL OR value / 20 <= le) AS n, round(sum(value / 20), 4) AS total FROM events, (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, NULL])::DOUBLE AS le) GROUP BY ALL")
+def latency_histogram(spark, d):
+    """Cumulative buckets of a duration by event type."""
+    e = table(spark, d, "events").select("event_type", (F.col("value") / 20).alias("seconds"))
+    return metrics.histogram(e, "event_type", "seconds").withColumn("total", F.round("total", 4))

@@ -59,6 +59,7 @@ class DeltaStore:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", workspace):
             raise ValueError(f"a workspace is named by letters, digits, dots, dashes and underscores: {workspace!r}")
         self.spark, self.root, self.workspace, self.fold, self.attempts = spark, root.rstrip("/"), workspace, fold, attempts
+        self.on_retry = lambda: None
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
@@ -144,6 +145,7 @@ class DeltaStore:
                     self.compact(name)
                 return
             self._discard(name, commit)
+            self.on_retry()
         raise ConcurrentWrite(f"{name} of workspace {self.workspace} was written by others {self.attempts} times")
 
     def write(self, name: str, df: DataFrame, keys: str | list[str] | None = None) -> DataFrame:

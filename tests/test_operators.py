@@ -2,6 +2,7 @@ import io
 import itertools
 import json
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -568,6 +569,12 @@ def test_engine_resolves_gleans_summarises_and_scores(spark, tmp_path):
     asked = spark.createDataFrame([(1, "what stage"), (2, "which organ")], "query_id long, text string")
     got = e.query(asked, QueryParam(top_k=20)).collect()
     assert {(r.query_id, r.knowledge) for r in got} == {(q, k) for q in (1, 2) for k in ("rule one", "rule two", custom)}
+    # each text, chunk and store operation is counted, whatever the plans look like
+    e.answer(asked, QueryParam(top_k=20)).collect()
+    seen = {(r.name, r.kind, r.label): r.value for r in e.metrics.rows(spark).filter("kind <> 'bucket' OR le IS NULL").collect()}
+    assert len({n for n, _, _ in seen}) == 17 and seen["llm_calls_total", "counter", "default"] == 2 == seen["llm_call_duration_seconds", "bucket", "default"]
+    assert seen["aquery_total", "counter", ""] == 1 == seen["aquery_duration_seconds", "bucket", ""] and seen["aquery_duration_seconds", "sum", ""] > 0 == seen["active_queries", "gauge", ""]
+    assert seen["embedding_calls_total", "counter", "default"] >= 12 and seen["graph_operations_total", "counter", "upsert"] >= 14 and seen["retry_total", "counter", ""] == 0
     # the vector stream: the reranker's order of what it scores over its cut
     alone = e.query(asked.limit(1), QueryParam(top_k=20, ablation="vector_only")).orderBy("rank").collect()
     want = [k for s, k in sorted((-(len(k) % 5 / 10), f"<hyperedge>{k}") for k in ("rule one", "rule two", custom)) if s < -0.01]
@@ -622,3 +629,54 @@ def test_postings_follow_inserts_and_deletes(spark, tmp_path):
     assert same(docs)
     plan = index.scores(asked)._jdf.queryExecution().toString()
     assert any(part.lstrip("[").split("]")[0].find("bucket") >= 0 for part in plan.split("PartitionFilters: ")[1:])
+
+
+def test_metrics(spark, tmp_path):
+    """Errors, cache lookups, buckets and the batches of a stream."""
+    from quillgraph.session import materialise
+    from quillgraph.streaming import metrics
+
+    m = metrics.Metrics()
+    run = lambda df: materialise(df, "m")
+    m.cached(spark.createDataFrame([(1, "a"), (2, None), (3, None)], "query_id int, hit string"), run, "hybrid")
+    texts = spark.createDataFrame([("x",), ("yy",)], "text string")
+    out = m.called(texts, "n", metrics.timed_udf(lambda t: t.str.len(), "int"), F.col("text"), "llm", run, "p")
+    assert {tuple(r) for r in out.collect()} == {("x", 1), ("yy", 2)}
+
+    def broken(t):
+        raise RuntimeError("no answer")
+
+    for call in (lambda: m.called(texts, "n", metrics.timed_udf(broken, "int"), F.col("text"), "embedding", run), lambda: m.count("unknown")):
+        try:
+            call()
+            raise AssertionError
+        except AssertionError:
+            raise
+        except Exception:
+            pass
+    try:
+        with m.timed("graph", "read"):
+            raise OSError
+    except OSError:
+        pass
+    for s in (0.004, 0.02, 3.0, 99.0):
+        m.observe("aquery_duration_seconds", s)
+    rows = {(r.name, r.kind, r.label, r.le): r.value for r in m.rows(spark).collect()}
+    assert rows["cache_hits_total", "counter", "hybrid", None] == 1 and rows["cache_misses_total", "counter", "hybrid", None] == 2
+    assert rows["llm_calls_total", "counter", "p", None] == 2 and rows["embedding_errors_total", "counter", "default", None] == 1 == rows["graph_errors_total", "counter", "read", None]
+    assert [rows["aquery_duration_seconds", "bucket", "", b] for b in (0.005, 0.01, 0.025, 2.5, 5.0, 10.0, None)] == [1, 1, 2, 2, 3, 3, 4]
+    spark.streams.addListener(seen := m.listener())
+    texts.write.parquet(str(tmp_path / "in"))
+    S.ingest_stream(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in")), open_store(spark, tmp_path), "docs", str(tmp_path / "c")).awaitTermination()
+    for _ in range(50):
+        if m.counters["aquery_total", ""]:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert m.counters["aquery_total", ""] >= 1 and m.histograms["aquery_duration_seconds", ""][-2] >= 5
+
+
+def open_store(spark, folder):
+    from quillgraph.sources.tables import DeltaStore
+
+    return DeltaStore(spark, str(folder / "kg"))
