@@ -10,7 +10,10 @@ from quillgraph.streaming import metrics
 from quillgraph.streaming import operators as S
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, floor(epoch(ts))::DOUBLE AS ts, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+    r AS (SELECT key, id, ts, n, true AS allowed, [ts] AS w FROM e WHERE n = 1
+        UNION ALL SELECT key, id, ts, n, len(f) < 10, CASE WHEN len(f) < 10 THEN list_append(f, ts) ELSE f END FROM (SELECT e.*, list_filter(r.w, lambda x: x >= e.ts - 86400) AS f FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+    SELECT key, id, ts, allowed FROM r""")
 def rate_limiter(spark, d):
     """Ten requests a user and day; rejected ones are not recorded, so no plain window counts them."""
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("event_id").alias("id"))

@@ -81,15 +81,36 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def rows(tag: str, attributes: list[str], keys: dict[str, str]) -> DataFrame:
         schema = ", ".join([*(f"_{a} string" for a in attributes), "data array<struct<_VALUE: string, _key: string>>"])
-        df = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        df = spark.read.format("xml").option("rowTag", tag).schema(schema).option("recursiveFileLookup", "true").option("ignoreSurroundingSpaces", "false").load(path)
         found = lambda k: F.try_element_at(F.transform(F.filter("data", lambda d: d["_key"] == k), lambda d: d["_VALUE"]), F.lit(1))
         return df.select(*[bare(f"_{a}").alias(a) for a in attributes], *[F.regexp_replace(found(k), '^"+|"+$', "").alias(n) for k, n in keys.items()])
 
-    nodes = rows("node", ["id"], {"d0": "entity_type", "d1": "description", "d2": "source_id"})
-    edges = rows("edge", ["source", "target"], {"d3": "weight", "d4": "description", "d5": "keywords", "d6": "source_id"})
+    nodes = rows("node", ["id"], NODE_KEYS)
+    edges = rows("edge", ["source", "target"], EDGE_KEYS)
     return nodes, edges.withColumn("weight", F.col("weight").try_cast("double"))
 
 
+#: Attributes of a node and an edge with the keys that GraphML files name them by.
+NODE_KEYS = {"d0": "entity_type", "d1": "description", "d2": "source_id"}
+EDGE_KEYS = {"d3": "weight", "d4": "description", "d5": "keywords", "d6": "source_id"}
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes(id, ...) and edges(source, target, ...) as GraphML, a file a part and table, by the built-in XML sink; attributes that are null are left out.
+
+    Each file has the elements of one part; ``read_graphml`` reads them all.
+    """
+
+    def write(df: DataFrame, tag: str, attributes: list[str], keys: dict[str, str], kind: str) -> None:
+        data = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(k).alias("_key"), F.col(n).cast("string").alias("_VALUE"))) for k, n in keys.items())))
+        rows = df.select(*(F.col(a).cast("string").alias(f"_{a}") for a in attributes), data.alias("data"))
+        declared = 'graphml xmlns="http://graphml.graphdrawing.org/xmlns"'
+        rows.write.format("xml").option("rootTag", declared).option("rowTag", tag).option("declaration", 'version="1.0" encoding="UTF-8"').mode("overwrite").save(f"{path}/{kind}")
+
+    write(nodes, "node", ["id"], NODE_KEYS, "nodes")
+    write(edges, "edge", ["source", "target"], EDGE_KEYS, "edges")
+
+
 def write_graphml_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")

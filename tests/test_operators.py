@@ -680,3 +680,35 @@ def open_store(spark, folder):
     from quillgraph.sources.tables import DeltaStore
 
     return DeltaStore(spark, str(folder / "kg"))
+
+
+def test_rate_limit_of_a_hot_key(spark):
+    """Batches of a key's rows carry the window on."""
+    rows = spark.range(60_000).selectExpr("if(id % 100 = 0, concat('k', id % 7), 'hot') AS key", "CAST(id DIV 3 AS double) AS ts", "id")
+    got = {}
+    for r in S.rate_limit(rows.repartition(6), 4, 9.0).orderBy("ts", "id").collect():
+        got.setdefault(r.key, []).append((r.ts, r.allowed))
+    assert sum(map(len, got.values())) == 60_000 and len(got) == 8
+    assert all(S.admitted([t for t, _ in v], 4, 9.0)[0] == [a for _, a in v] for v in got.values())
+
+
+def test_rate_limit_stream_forgets(spark, tmp_path):
+    """Keys that are silent for longer than the window leave no state."""
+    schema = "key string, ts double, id long"
+    for k, rows in enumerate([[(f"k{i}", float(i % 5), i) for i in range(20)], [("late", 1000.0, 100)], [("last", 5000.0, 101)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = S.rate_limit_stream(stream).writeStream.format("memory").queryName("forgets").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("forgets").count() == 22 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("A & <b>", "t", "a \"quoted\" line\nand another", "s1"), ("é中", None, "", None)], "id string, entity_type string, description string, source_id string").repartition(2)
+    edges = spark.createDataFrame([("A & <b>", "é中", 1.5, "d", None, "s"), ("é中", "é中", None, None, "k1, k2", None)], "source string, target string, weight double, description string, keywords string, source_id string")
+    files.write_graphml(nodes, edges, str(tmp_path / "g"))
+    back = files.read_graphml(spark, str(tmp_path / "g"))
+    empty = lambda r: tuple(x or None for x in r)
+    assert sorted(map(str, map(empty, back[0].collect()))) == sorted(map(str, map(empty, nodes.collect())))
+    assert sorted(map(str, map(empty, back[1].collect()))) == sorted(map(str, map(empty, edges.collect())))
