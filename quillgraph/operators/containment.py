@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.session import materialise
 
 #: Characters of a gram; shorter needles are filed whole.
 GRAM = 8
+#: Grams that a task gives at a time, and needles' grams that are sent to the tasks which read texts.
+SPAN, SENT = 1 << 18, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,8 +27,26 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(out).astype(np.int64)
 
 
-def _grams(column: str, n: int) -> Column:
-    return F.pandas_udf(lambda texts: texts.map(lambda t: gram_hashes(t, n)), "array<long>")(F.col(column))
+def _gram_rows(rows: DataFrame, text: str, n: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """rows without text, with ``gram``: a row for each distinct gram of the text (among wanted ones), some thousand texts at a time at most."""
+    rest = [c for c in rows.columns if c != text]
+
+    def run(batches):
+        for frame in batches:
+            held, size = [], 0
+            for i, t in enumerate(frame[text]):
+                found = gram_hashes(t, n)
+                if wanted is not None:
+                    found = found[np.isin(found, wanted, assume_unique=True)]
+                held.append((i, found))
+                size += len(found)
+                if size >= SPAN or i == len(frame) - 1:
+                    at = np.repeat([k for k, _ in held], [len(f) for _, f in held]).astype(int)
+                    yield frame[rest].iloc[at].assign(gram=np.concatenate([f for _, f in held]))
+                    held, size = [], 0
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", gram long")
 
 
 def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -34,19 +54,25 @@ def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFra
 
     A needle is filed under that one of its grams which the fewest texts have;
     texts give only grams that some needle has. They meet by an equi-join on the
-    gram, and what meets is compared exactly, so hashes decide nothing. Needles
+    gram, and what meets is compared exactly, so hashes decide nothing. Up to
+    SENT grams of needles go to the tasks that read texts; more are joined.
+    Needles longer than the longest text stand nowhere. Needles
     shorter than a gram are a class of their own for each length, filed whole.
     Needles with a gram that no text has meet nothing; null and empty ones
     stand nowhere. Rows that share an id are compared one by one.
     """
     needles = materialise(needles.select("needle_id", "needle", F.length("needle").alias("_len"), F.xxhash64("needle").alias("_h")).filter("_len > 0"), "needles")
     texts = texts.select("text_id", "text").filter("text IS NOT NULL")
+    longest = texts.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
+    needles = needles.filter(F.col("_len") <= longest)
     out = None
     for n in sorted(r["n"] for r in needles.select(F.least("_len", F.lit(gram)).alias("n")).distinct().collect()):  # as many classes as a gram has characters
         own = needles.filter(F.col("_len") >= n if n == gram else F.col("_len") == n)
-        theirs = own.select("needle_id", "_h", F.explode(_grams("needle", n)).alias("gram"))
+        theirs = _gram_rows(own.select("needle_id", "_h", "needle"), "needle", n)
         wanted = materialise(theirs.select("gram").distinct(), "needle-grams")
-        met = materialise(texts.select("text_id", F.explode(_grams("text", n)).alias("gram")).join(wanted, "gram", "left_semi"), "text-grams")
+        few = np.sort(wanted.toArrow().column("gram").to_numpy()) if wanted.count() <= SENT else None
+        met = _gram_rows(texts, "text", n, few)
+        met = materialise(met if few is not None else met.join(wanted, "gram", "left_semi"), "text-grams")
         counts = met.groupBy("gram").agg(F.count("*").alias("_n"))
         filed = theirs.join(counts, "gram", "left").groupBy("needle_id", "_h").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
         pairs = filed.join(met, "gram").select("needle_id", "_h", "text_id").distinct()
