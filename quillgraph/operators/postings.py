@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,22 @@ class Postings:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
     def add(self, docs: DataFrame) -> None:
-        """docs(doc_id, tokens); those that are there already are replaced."""
-        docs = materialise(docs.select("doc_id", "tokens").dropDuplicates(["doc_id"]), "documents")
+        """docs(doc_id, tokens), each id once; those that are there already are replaced."""
+        docs = docs.select("doc_id", "tokens")
         self.remove(docs.select("doc_id"))
-        batch = uuid.uuid4().hex
-        rows = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).withColumn("bucket", self._bucket())
+        batch, kind = uuid.uuid4().hex, dict(docs.dtypes)["doc_id"]
+
+        def counted(frames):  # a document's terms are counted where it is read, so only postings are shuffled
+            for frame in frames:
+                for i in range(0, len(frame), 256):
+                    part = frame.iloc[i : i + 256]
+                    rows = [(d, t, n) for d, ts in zip(part["doc_id"], part["tokens"], strict=True) if ts is not None for t, n in Counter(ts).items()]
+                    yield pd.DataFrame(rows, columns=["doc_id", "term", "tf"])
+
+        rows = docs.mapInPandas(counted, f"doc_id {kind}, term string, tf long").withColumn("bucket", self._bucket())
         # rows of a bucket go to few files, a hot term's to several
         rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.root}/batch={batch}")
-        new = self.spark.read.parquet(f"{self.root}/batch={batch}") if not docs.select(F.explode("tokens")).isEmpty() else rows
+        new = self._postings(kind).filter(F.col("batch") == batch)
         self.store.upsert("terms", new.groupBy("term").agg(F.count("*").alias("df")).withColumn("batch", F.lit(batch)), ["term", "batch"])
         self.store.upsert("lengths", docs.select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.lit(batch).alias("batch")), "doc_id", "rows")
 
@@ -48,12 +58,11 @@ class Postings:
         gone = materialise(self.store.read("lengths").join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "removed")
         if gone.isEmpty():
             return
-        lost = self._postings().join(gone, ["doc_id", "batch"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
+        lost = self._postings(dict(gone.dtypes)["doc_id"]).join(gone, ["doc_id", "batch"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
         self.store.upsert("terms", lost.withColumn("batch", F.lit(f"minus-{uuid.uuid4().hex}")), ["term", "batch"])
         self.store.delete("lengths", gone.select("doc_id"))
 
-    def _postings(self) -> DataFrame:
-        kind = dict(self.store.read("lengths").dtypes)["doc_id"]
+    def _postings(self, kind: str) -> DataFrame:
         return self.spark.read.schema(f"doc_id {kind}, term string, tf long, batch string, bucket int").parquet(self.root)
 
     def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -63,6 +72,6 @@ class Postings:
         lengths, terms = self.store.read("lengths"), self.store.read("terms").groupBy("term").agg(F.sum("df").alias("_df")).filter("_df > 0")
         stats = lengths.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
         weight = fusion.term_weights(terms, stats, epsilon).join(asked.select("term").distinct(), "term", "left_semi")
-        wanted = self._postings().filter(F.col("bucket").isin(buckets)).join(asked.select("term").distinct(), "term", "left_semi")
+        wanted = self._postings(dict(lengths.dtypes)["doc_id"]).filter(F.col("bucket").isin(buckets)).join(asked.select("term").distinct(), "term", "left_semi")
         tf = wanted.join(lengths, ["doc_id", "batch"]).select("doc_id", F.col("len").alias("_len"), "term", F.col("tf").alias("_tf"))
         return fusion.term_scores(asked.select("query_id", "term"), weight, tf, k1, b)
