@@ -208,12 +208,13 @@ def _sign(n_buckets: int):
                 if not values:
                     continue
                 v, d = np.concatenate(values), np.concatenate(members).view(np.int64)
-                order = np.lexsort((d, v >> np.uint64(1)))
+                # of a set's equal entries the probed one comes first; a head says of its own set alone whether it is probed
+                order = np.lexsort((~v, d, v >> np.uint64(1)))
                 v, d = v[order], d[order]
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] >> np.uint64(1)) != (v[:-1] >> np.uint64(1))
                 heads = np.flatnonzero(new)
-                head = v[heads] | np.maximum.reduceat(v & np.uint64(1), heads)
+                head = v[heads]
                 out = []
                 bucket = (head >> np.uint64(40)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))

@@ -118,3 +118,25 @@ def test_smallest_sets(spark):
 def test_no_count_of_links(spark):
     """links() spans the components only, so no count of links is offered."""
     assert J.joined(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_heads_probe_for_themselves():
+    """A slice's first member of a signature is not probed because another member is: segments without shingles would gather unrelated texts."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(r.randrange(170, 420))) for _ in range(120)]
+    sets = J.shingle_sets(*J.buffers(J.pa.array(texts)))
+    own = {}
+    for s in sets:
+        v, p = J.signatures(s)
+        own[int(np.array([s.sum()]).view(np.int64)[0])] = {int(x) for x in (v[p] & np.uint64(J._VALUE))}
+    batch = J.pa.RecordBatch.from_arrays([J.pa.array(range(len(texts)), J.pa.int64()), J.pa.array(texts)], names=["doc_id", "text"])
+    seen = 0
+    for out in J._sign(3)([batch]):
+        for kind, values, members in zip(*(out.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if kind == 0:
+                wide = np.zeros((len(members) // 8, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(values, np.uint8).reshape(-1, 5)
+                for x, key in zip(wide.view(np.uint64).ravel().tolist(), np.frombuffer(members, np.int64).tolist(), strict=True):
+                    assert bool(x & 1) == (x >> 1 in own[key])
+                    seen += 1
+    assert seen > 1000
