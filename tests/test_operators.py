@@ -5,6 +5,7 @@ import random
 import time
 import zipfile
 
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -712,3 +713,17 @@ def test_graphml_round_trip(spark, tmp_path):
     empty = lambda r: tuple(x or None for x in r)
     assert sorted(map(str, map(empty, back[0].collect()))) == sorted(map(str, map(empty, nodes.collect())))
     assert sorted(map(str, map(empty, back[1].collect()))) == sorted(map(str, map(empty, edges.collect())))
+
+
+def test_similar_patients_among_equal_ones(spark, tmp_path):
+    """Three others each, also where more than three are equal to the patient and have smaller ids; distances as the SQL adds them up."""
+    from quillgraph.plans import registry
+
+    rows = [(1560 * i, 100.25, "x") for i in range(7)] + [(1560 * 9 + i, 90.1 + i / 7, "x") for i in range(1, 40)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.QUERIES["similar_patients"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["similar_patients"]).fetchall()
+    assert sorted((r.query_id, r.id, r.distance) for r in got) == sorted(want)
+    assert all(sum(r.query_id == q for r in got) == 3 for q in {r.query_id for r in got})
