@@ -55,7 +55,8 @@ def keyword_reply(spark, d):
 @query("SELECT id, list(x ORDER BY i) AS vector FROM (SELECT label::BIGINT AS id, i, round(avg(embedding[i + 1]::DOUBLE), 5) AS x FROM embeddings, range(0, 64) r(i) GROUP BY ALL) GROUP BY id")
 def mean_pooling(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return curation.mean_pooled(e).withColumn("vector", F.transform("vector", lambda x: F.round(x, 5)))
+    # a small negative mean rounds to minus zero, as in the SQL
+    return curation.mean_pooled(e).withColumn("vector", F.transform("vector", lambda x: F.when(x < 0, -F.round(-x, 5)).otherwise(F.round(x, 5))))
 
 
 @query("SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min(CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END * 100000000 + o_orderkey)) AS number, o_orderpriority AS content FROM orders GROUP BY o_custkey, o_orderpriority")

@@ -727,3 +727,15 @@ def test_similar_patients_among_equal_ones(spark, tmp_path):
     want = con.sql(registry.ORACLES["similar_patients"]).fetchall()
     assert sorted((r.query_id, r.id, r.distance) for r in got) == sorted(want)
     assert all(sum(r.query_id == q for r in got) == 3 for q in {r.query_id for r in got})
+
+
+def test_mean_pooling_keeps_the_sign_of_zero(spark, tmp_path):
+    from quillgraph.plans import registry
+
+    rows = [(1, [-2e-6] * 32 + [2e-6] * 32, 0), (2, [-0.25] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["mean_pooling"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["mean_pooling"]).fetchall()
+    assert sorted((r.id, repr(list(r.vector))) for r in got) == sorted((i, repr(list(v))) for i, v in want)
