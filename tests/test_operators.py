@@ -739,3 +739,21 @@ def test_mean_pooling_keeps_the_sign_of_zero(spark, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.sql(registry.ORACLES["mean_pooling"]).fetchall()
     assert sorted((r.id, repr(list(r.vector))) for r in got) == sorted((i, repr(list(v))) for i, v in want)
+
+
+def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
+    """Pairs of large groups come from one comparison of all vectors in parts, the same pairs as by joins; groups that share no hyperedge stay apart."""
+    r = np.random.default_rng(6)
+    rows = [(f"e{i}", r.normal(size=6).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "entity string, vector array<double>")
+    inc = spark.createDataFrame([(int(h) + (100 if i >= 50 else 0), f"e{i}") for i in range(60) for h in r.choice(12, 2, replace=False)], "hyperedge long, entity string")
+    found, joined = [], ingest._alike
+    for cheaper in (0, 10**9):
+        calls = []
+        monkeypatch.setattr(ingest, "_alike", lambda *a: calls.append(1) or joined(*a))
+        monkeypatch.setattr(ingest, "CHEAPER", cheaper)
+        monkeypatch.setattr(ingest, "PART", 16)
+        found.append({tuple(x) for x in ingest.similar_pairs(inc, vectors, 0.4).collect()})
+        assert (len(calls) > 1) == (cheaper == 0)  # members of one hyperedge are joined in either case
+    assert found[0] == found[1] and len(found[0]) > 50
+    assert not any((int(a[1:]) >= 50) != (int(b[1:]) >= 50) for a, b in found[0])
