@@ -757,3 +757,14 @@ def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
         assert (len(calls) > 1) == (cheaper == 0)  # members of one hyperedge are joined in either case
     assert found[0] == found[1] and len(found[0]) > 50
     assert not any((int(a[1:]) >= 50) != (int(b[1:]) >= 50) for a, b in found[0])
+
+
+def test_shares_of_prices_round_as_sql(spark, tmp_path):
+    """Prices whose share of 500,000 is a tie of the fourth decimal fall as DuckDB's rounding lets them."""
+    from quillgraph.plans import bindings
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT i AS o_orderkey, (100025 + 50 * i)::DOUBLE AS o_totalprice, 'F' AS o_orderstatus FROM range(8000) r(i)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    for rows, sql in ((bindings.scorer_output(spark, str(tmp_path)), bindings.SCORED), (bindings.hyperedge_scores(spark, str(tmp_path)), bindings.SCORES)):
+        assert sorted(map(tuple, rows.collect())) == sorted(con.sql(sql).fetchall())
