@@ -3,7 +3,7 @@
 The tree's symbols are tokens (words, and an end after each text) and, behind
 tokens that are not known, the bytes that spell them. Its states are contexts:
 
-* two tokens before the next one (marks stand before a text's first token);
+* two tokens before the next one, and one (marks stand before a text's first token);
 * the empty context of tokens;
 * within a token, up to DEPTH bytes of it before the next byte or its end.
 
@@ -25,13 +25,14 @@ tokens, so a text's score is a true log-probability.
 
 The corpus is cut into blocks, each written once: its distinct words with their
 bytes and training counts, and its texts as numbers of these words. Words meet
-in buckets, which count them, spell them and answer the blocks; contexts of two
-tokens, with what follows them, meet in other buckets, which test them and
-answer with counts. A block sends a word or a (context, token) pair once
+in buckets, which count them, spell them and answer the blocks; contexts of one
+token, with what follows them, meet in other buckets, which test them and
+answer with counts, and then those of two, tested against these. A block sends a word or a (context, token) pair once
 however often it has it, so what is frequent costs its bucket one entry a block.
 Contexts of two frequent words (1/256 of all tokens or more each) are dealt to
-buckets by the next token too; there are 65,536 of these at most, so their
-totals go to every block. No task ever holds the whole model.
+buckets by the next token too, as are contexts of one word that is 1/4096 of all
+tokens or more; there are 65,536 and 4,096 of these at most, so their totals go
+to every block. No task ever holds the whole model.
 
 Defined results: a null or empty text is one end token. A null doc_id counts as
 an empty text for the split. Without training documents every count is 0 and
@@ -50,13 +51,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bound_batches, buffers, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
+from quillgraph.llm.common import bound_batches, buffers, discard, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
 
 DEPTH, BITS, ALPHABET = 5, 10, 257
 DISCOUNT, MARGIN = 0.75, 1.0
 BLOCK, SLICE, BUCKET = 8 << 20, 1 << 20, 16 << 20
 #: A word is frequent if it is this share of all tokens or more.
 FREQUENT = 256
+#: Alone before the next token it is so at this one.
+FREQUENT_ALONE = 4096
 _END = 257
 _END_WORD, _BEGIN = np.uint64(0x5DEECE66D1CE4E5B >> 1), np.uint64(0x2545F4914F6CDD1D)
 _LOW32 = np.uint64((1 << 32) - 1)
@@ -282,7 +285,8 @@ def tree(grams: DataFrame) -> DataFrame:
         own = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("_u") * F.col("q")) / F.col("_n")
         p = F.when((F.col("_n") > 0) & (F.col("_kl") >= MARGIN * F.col("_u")), own).otherwise(F.col("q"))
         known = now.withColumn("p", p).drop("q", "_n", "_u", "_kl")
-        known = written(known, f"tree-depth{depth}")
+        shorter, known = known, written(known.drop("up"), f"tree-depth{depth}")
+        discard(levels[depth], *([shorter] if depth > 1 else [levels[0]]))
     return known
 
 
@@ -338,29 +342,67 @@ def _reply(asked: pa.Table, root: pa.Table) -> pa.Table:
     return _table(rows, _REPLY)
 
 
-def _body(blocks: pa.Table, replies: pa.Table, n_buckets: int, total: int):
-    """A block's texts: what `_contexts` and `_score` both need, from its rows and the answers for its words."""
+def _body(blocks: pa.Table, replies: pa.Table, n_buckets: int, total: int, totals: list[dict[int, tuple[int, int]]]):
+    """A block's texts from its rows and the answers for its words: what `_contexts` and `_score` both need.
+
+    Contexts of one token and then of two, as far as ``totals`` (their wide
+    contexts) go, have their say in the logarithms; the places of the next
+    longer ones come with them.
+    """
     body = blocks.to_pylist()[0]
+    replies = replies.to_pylist()
     sizes = unsqueeze(body["counts"], body["n"], np.uint32).astype(np.int64)
     at = unsqueeze(body["keys"], int(sizes.sum()), np.uint32).astype(np.int64)
-    found = sorted((r for r in replies.to_pylist() if r["kind"] == 0), key=lambda r: r["bucket"])
+    found = sorted((r for r in replies if r["kind"] == 0), key=lambda r: r["bucket"])
     counts = np.concatenate([unsqueeze(r["counts"], r["n"], np.uint32).astype(np.int64) for r in found])
-    logs = np.concatenate([unsqueeze(r["logs"], r["n"], np.float32).astype(np.float64) for r in found])
+    logs = np.concatenate([unsqueeze(r["logs"], r["n"], np.float32).astype(np.float64) for r in found])[at]
     # a word's bucket and its place in it name it
     names = np.concatenate([unsqueeze(r["at"], r["n"], np.uint32, True).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in found])
     name = mix(names)[at]
-    ends = np.cumsum(sizes)
     place = _within(sizes)
-    before = lambda k: np.where(place >= k, np.roll(name, k), _BEGIN)
-    context = mix(before(1) * np.uint64(0x9E3779B97F4A7C15) + mix(before(2) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    often = np.append(counts * FREQUENT >= max(total, 1), False)
-    spread = lambda k: np.where(place >= k, often[np.roll(at, k)], False)
-    wide = spread(1) & spread(2)
     symbol = mix(name ^ np.uint64(0x94D049BB133111EB)) >> (np.uint64(64) - _SYMBOL)
-    bucket = (np.where(wide, mix(context ^ symbol), context) & _LOW32).astype(np.int64) % n_buckets
-    key = (context >> _SYMBOL << _SYMBOL) | symbol
+
+    def places(order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        before = lambda k: np.where(place >= k, np.roll(name, k), _BEGIN)
+        often = counts * (FREQUENT if order == 2 else FREQUENT_ALONE) >= max(total, 1)
+        spread = lambda k: np.where(place >= k, often[np.roll(at, k)], False)
+        if order == 1:
+            context, wide = mix(before(1) * np.uint64(0x9E3779B97F4A7C15)), spread(1)
+        else:
+            context, wide = mix(before(1) * np.uint64(0x9E3779B97F4A7C15) + mix(before(2) * np.uint64(0xC2B2AE3D27D4EB4F))), spread(1) & spread(2)
+        bucket = (np.where(wide, mix(context ^ symbol), context) & _LOW32).astype(np.int64) % n_buckets
+        return wide, bucket, (context >> _SYMBOL << _SYMBOL) | symbol
+
+    for order, some in enumerate(totals, 1):
+        logs = _inside([r for r in replies if r["kind"] == order], *places(order), some, logs)
     marks = np.frombuffer(body["text"], np.uint8)
-    return body, sizes, ends, counts[at], logs[at], context, wide, bucket, key, (marks & 1) > 0, (marks & 2) > 0
+    return body, sizes, counts[at], logs, (marks & 1) > 0, (marks & 2) > 0, places
+
+
+def _inside(found: list[dict], wide: np.ndarray, bucket: np.ndarray, key: np.ndarray, totals: dict[int, tuple[int, int]], logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the tokens' probabilities in contexts that are retained, by those in the shorter ones; totals: size and distinct next tokens of the wide contexts that are retained."""
+    some = np.array(sorted(totals), np.uint64)
+    figures = np.array([totals[int(k)] for k in some], np.int64).reshape(-1, 2)
+    first, number = _pairs(bucket, key)
+    found = sorted(found, key=lambda r: r["bucket"])
+    pairs = np.concatenate([unsqueeze(r["counts"], r["n"], np.int64) for r in found])
+    b, context = bucket[first], key[first] >> _SYMBOL
+    new = np.append(True, (b[1:] != b[:-1]) | (context[1:] != context[:-1]))[: len(b)]
+    group = np.cumsum(new) - 1
+    cuts = np.searchsorted(b, [r["bucket"] for r in found] + [1 << 40])
+    both = [unsqueeze(r["logs"], 2 * int(new[x:y].sum()), np.int64).reshape(2, -1) for r, x, y in zip(found, cuts[:-1], cuts[1:], strict=True)]
+    size, seen = np.concatenate(both, 1)[:, group]
+    if len(some):
+        of = np.minimum(np.searchsorted(some, context), len(some) - 1)
+        known = wide[first] & (some[of] == context)
+        size, seen = np.where(known, figures[of, 0], size), np.where(known, figures[of, 1], seen)
+        size = np.where(wide[first] & ~known, 0, size)
+    else:
+        size = np.where(wide[first], 0, size)
+    size, seen, own = size[number], seen[number], pairs[number]
+    inside = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * seen * np.exp(logs)) / np.maximum(size, 1)
+    with np.errstate(divide="ignore"):
+        return np.where(size > 0, np.log(inside), logs)
 
 
 def _pairs(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,11 +418,12 @@ def _pairs(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _PAIRS = "bucket int, block long, n long, contexts long, keys binary, counts binary, sums binary, wide binary"
 
 
-def _contexts(n_buckets: int, total: int):
-    """A block's (context, token) pairs with training counts, by bucket, and for each context the sum of what the empty one says of its next tokens."""
+def _contexts(n_buckets: int, total: int, totals: list[dict[int, tuple[int, int]]]):
+    """A block's (context, token) pairs with training counts, by bucket, and for each context the sum of what the shorter one says of its next tokens."""
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        body, sizes, _, _, logs, _, wide, bucket, key, train, _ = _body(blocks, replies, n_buckets, total)
+        body, sizes, _, logs, train, _, places = _body(blocks, replies, n_buckets, total, totals)
+        wide, bucket, key = places(len(totals) + 1)
         learn = np.repeat(train, sizes)
         first, number = _pairs(bucket, key)
         counts = np.bincount(number, weights=learn, minlength=len(first)).astype(np.uint32)
@@ -403,37 +446,41 @@ def _contexts(n_buckets: int, total: int):
 _TESTED = "block long, kind int, bucket int, n long, counts binary, logs binary, context long, seen long, size long, gain double"
 
 
-def _test(table: pa.Table) -> pa.Table:
-    """Counts of each block's pairs of a bucket (kind 1), with the size of the context and how many tokens it has seen where it is retained; parts of wide contexts (kind 2)."""
-    asked = []
-    for block, n, m, k, c, s, w in zip(*(table.column(x).to_pylist() for x in ("block", "n", "contexts", "keys", "counts", "sums", "wide")), strict=True):
-        asked.append((block, unsqueeze(k, n, np.uint64, True), unsqueeze(c, n, np.uint32).astype(np.int64), unsqueeze(s, m, np.int64) / -1024, np.unpackbits(np.frombuffer(w, np.uint8), count=m) > 0))
-    bucket = table.column("bucket")[0].as_py()
-    keys, counts = _merged([(k, c) for _, k, c, _, _ in asked])
-    context = keys >> _SYMBOL
-    heads = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    names = context[heads]
-    seen, size = np.add.reduceat((counts > 0).astype(np.int64), heads), np.add.reduceat(counts, heads)
-    sums, wide = np.zeros(len(names)), np.zeros(len(names), bool)
-    for _, k, _, s, w in asked:
-        own = np.unique(k >> _SYMBOL)
-        at = np.searchsorted(names, own)
-        sums[at] += s
-        wide[at] |= w
-    own = np.add.reduceat(np.where(counts > 0, counts * np.log(np.maximum(counts, 1)), 0.0), heads)
-    gain = own - sums
-    kept = (gain - size * np.log(np.maximum(size, 1)) >= MARGIN * seen) & (size > 0)
-    kinds = "block long, kind int, bucket int, n long, counts binary, logs binary".split(", ")
-    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in kinds]
-    rows = []
-    for block, k, _, _, _ in asked:
-        at = np.searchsorted(keys, k)
-        group = np.searchsorted(names, np.unique(k >> _SYMBOL))
-        both = np.stack((np.where(kept[group], size[group], 0), np.where(kept[group], seen[group], 0)))
-        rows.append((block, 1, bucket, len(k), squeeze(counts[at]), squeeze(both.ravel()), None, None, None, None))
-    rows += [(None, 2, bucket, 0, None, None, int(names[i].astype(np.int64)), int(seen[i]), int(size[i]), float(gain[i])) for i in np.flatnonzero(wide).tolist()]
-    names_ = [x.split()[0] for x in _TESTED.split(", ")]
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names_, [*types, *[pa.int64()] * 3, pa.float64()], strict=True))})
+def _test(order: int):
+    """Counts of each block's pairs of a bucket (kind ``order``, the tokens of a context), with the size of the context and how many tokens it has seen where it is retained; parts of wide contexts (kind -1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = []
+        for block, n, m, k, c, s, w in zip(*(table.column(x).to_pylist() for x in ("block", "n", "contexts", "keys", "counts", "sums", "wide")), strict=True):
+            asked.append((block, unsqueeze(k, n, np.uint64, True), unsqueeze(c, n, np.uint32).astype(np.int64), unsqueeze(s, m, np.int64) / -1024, np.unpackbits(np.frombuffer(w, np.uint8), count=m) > 0))
+        bucket = table.column("bucket")[0].as_py()
+        keys, counts = _merged([(k, c) for _, k, c, _, _ in asked])
+        context = keys >> _SYMBOL
+        heads = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        names = context[heads]
+        seen, size = np.add.reduceat((counts > 0).astype(np.int64), heads), np.add.reduceat(counts, heads)
+        sums, wide = np.zeros(len(names)), np.zeros(len(names), bool)
+        for _, k, _, s, w in asked:
+            own = np.unique(k >> _SYMBOL)
+            at = np.searchsorted(names, own)
+            sums[at] += s
+            wide[at] |= w
+        own = np.add.reduceat(np.where(counts > 0, counts * np.log(np.maximum(counts, 1)), 0.0), heads)
+        gain = own - sums
+        kept = (gain - size * np.log(np.maximum(size, 1)) >= MARGIN * seen) & (size > 0)
+        kinds = "block long, kind int, bucket int, n long, counts binary, logs binary".split(", ")
+        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in kinds]
+        rows = []
+        for block, k, _, _, _ in asked:
+            at = np.searchsorted(keys, k)
+            group = np.searchsorted(names, np.unique(k >> _SYMBOL))
+            both = np.stack((np.where(kept[group], size[group], 0), np.where(kept[group], seen[group], 0)))
+            rows.append((block, order, bucket, len(k), squeeze(counts[at]), squeeze(both.ravel()), None, None, None, None))
+        rows += [(None, -1, bucket, 0, None, None, int(names[i].astype(np.int64)), int(seen[i]), int(size[i]), float(gain[i])) for i in np.flatnonzero(wide).tolist()]
+        names_ = [x.split()[0] for x in _TESTED.split(", ")]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names_, [*types, *[pa.int64()] * 3, pa.float64()], strict=True))})
+
+    return run
 
 
 def discounts(met: list[int]) -> list[float]:
@@ -446,33 +493,13 @@ def discounts(met: list[int]) -> list[float]:
     return out
 
 
-def _score(n_buckets: int, total: int, totals: dict[int, tuple[int, int]]):
-    """Sums of a block's documents; totals: size and distinct next tokens of the wide contexts that are retained."""
+def _score(n_buckets: int, total: int, totals: list[dict[int, tuple[int, int]]]):
+    """Sums of a block's documents."""
     names = ("doc_id", "train", "n_tokens", "n_known", "log_counts", "score")
-    some = np.array(sorted(totals), np.uint64)
-    figures = np.array([totals[int(k)] for k in some], np.int64).reshape(-1, 2)
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        body, sizes, ends, counts, logs, _, wide, bucket, key, train, none = _body(blocks, replies, n_buckets, total)
-        first, number = _pairs(bucket, key)
-        found = sorted((r for r in replies.to_pylist() if r["kind"] == 1), key=lambda r: r["bucket"])
-        pairs = np.concatenate([unsqueeze(r["counts"], r["n"], np.int64) for r in found])
-        b, context = bucket[first], key[first] >> _SYMBOL
-        new = np.append(True, (b[1:] != b[:-1]) | (context[1:] != context[:-1]))[: len(b)]
-        group = np.cumsum(new) - 1
-        cuts = np.searchsorted(b, [r["bucket"] for r in found] + [1 << 40])
-        both = [unsqueeze(r["logs"], 2 * int(new[x:y].sum()), np.int64).reshape(2, -1) for r, x, y in zip(found, cuts[:-1], cuts[1:], strict=True)]
-        size, seen = np.concatenate(both, 1)[:, group]
-        if len(some):
-            of = np.minimum(np.searchsorted(some, context), len(some) - 1)
-            known = wide[first] & (some[of] == context)
-            size, seen = np.where(known, figures[of, 0], size), np.where(known, figures[of, 1], seen)
-            size = np.where(wide[first] & ~known, 0, size)
-        size, seen, own = size[number], seen[number], pairs[number]
-        inside = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * seen * np.exp(logs)) / np.maximum(size, 1)
-        with np.errstate(divide="ignore"):
-            logs = np.where(size > 0, np.log(inside), logs)
-        starts = ends - sizes
+        body, sizes, counts, logs, train, none, _ = _body(blocks, replies, n_buckets, total, totals)
+        starts = np.cumsum(sizes) - sizes
         by = lambda x: np.add.reduceat(x, starts)
         ids = pa.array(unsqueeze(body["lengths"], body["n"], np.int64), mask=none)
         return pa.table(dict(zip(names, (ids, pa.array(train), pa.array(sizes), pa.array(by((counts > 0).astype(np.int64))), pa.array(by(np.log10(counts + 1.0))), pa.array(by(logs) / np.log(10))), strict=True)))
@@ -480,6 +507,13 @@ def _score(n_buckets: int, total: int, totals: dict[int, tuple[int, int]]):
     return run
 
 
+def _wide(tested: DataFrame) -> dict[int, tuple[int, int]]:
+    """Size and distinct next tokens of the wide contexts that are retained: of two of at most FREQUENT words each, or of one of FREQUENT_ALONE."""
+    rows = tested.filter("kind = -1").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("size").alias("size"), F.sum("gain").alias("gain")).filter("size > 0")
+    rows = rows.filter(F.col("gain") - F.col("size") * F.log("size") >= MARGIN * F.col("seen")).collect()
+    return {r["context"]: (r["size"], r["seen"]) for r in rows}
+
+
 def scored(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; ``train`` picks those to learn from."""
     spark = docs.sparkSession
@@ -499,14 +533,13 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     answers = answers.withColumnRenamed("bucket", "from").select("asker", F.col("from").alias("bucket"), "n", "reply")
     root = lexicon.groupBy("bucket").cogroup(answers.groupBy("asker")).applyInArrow(_root(n_buckets, tokens, saved, less), _ROOT)
     replies = written(words.select("bucket", "block", "n", "keys").groupBy("bucket").cogroup(root.groupBy("bucket")).applyInArrow(_reply, _REPLY), "lm-replies")
-    parts = blocks.filter("bucket < 0")
-    pairs = parts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_contexts(n_buckets, tokens), _PAIRS)
-    tested = written(pairs.groupBy("bucket").applyInArrow(_test, _TESTED), "lm-tested")
-    # contexts of two of at most FREQUENT words each: no more than FREQUENT ** 2 rows
-    wide = tested.filter("kind = 2").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("size").alias("size"), F.sum("gain").alias("gain")).filter("size > 0")
-    wide = wide.filter(F.col("gain") - F.col("size") * F.log("size") >= MARGIN * F.col("seen")).collect()
-    totals = {r["context"]: (r["size"], r["seen"]) for r in wide}
-    found = replies.unionByName(tested.filter("kind = 1").select(*replies.columns[:-1]), allowMissingColumns=True)
+    discard(lexicon, asked, model)
+    parts, found, totals = blocks.filter("bucket < 0"), replies, []
+    for order in (1, 2):
+        pairs = parts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_contexts(n_buckets, tokens, list(totals)), _PAIRS)
+        tested = written(pairs.groupBy("bucket").applyInArrow(_test(order), _TESTED), "lm-tested")
+        totals.append(_wide(tested))
+        found = found.unionByName(tested.filter("kind > 0").select(*replies.columns[:-1]), allowMissingColumns=True)
     done = parts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score(n_buckets, tokens, totals), "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))
     return done.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -49,18 +49,27 @@ def brute(rows):
     def empty(w):
         return ((count[w] - less[min(count[w], 3)]) + saved * spelling(w)) / total if total else spelling(w)
 
-    after = defaultdict(Counter)
+    after, alone = defaultdict(Counter), defaultdict(Counter)
     contexts = lambda w: zip(["<", "<", *w], ["<", *w], w, strict=False)
     for k in train:
         for x, y, w in contexts([*words(rows[k][1]), None]):
             after[x, y][w] += 1
-    retained = {c for c, own in after.items() if sum(n * math.log(n / sum(own.values()) / empty(w)) for w, n in own.items()) >= L.MARGIN * len(own)}
+            alone[y][w] += 1
+    single = {c for c, own in alone.items() if sum(n * math.log(n / sum(own.values()) / empty(w)) for w, n in own.items()) >= L.MARGIN * len(own)}
+
+    def one(y, w):
+        if y not in single:
+            return empty(w)
+        own = alone[y]
+        return (max(own[w] - L.DISCOUNT, 0) + L.DISCOUNT * len(own) * empty(w)) / sum(own.values())
+
+    retained = {c for c, own in after.items() if sum(n * math.log(n / sum(own.values()) / one(c[1], w)) for w, n in own.items()) >= L.MARGIN * len(own)}
 
     def token(x, y, w):
         if (x, y) not in retained:
-            return empty(w)
+            return one(y, w)
         own = after[x, y]
-        return (max(own[w] - L.DISCOUNT, 0) + L.DISCOUNT * len(own) * empty(w)) / sum(own.values())
+        return (max(own[w] - L.DISCOUNT, 0) + L.DISCOUNT * len(own) * one(y, w)) / sum(own.values())
 
     out = {}
     for k, (_, t) in enumerate(rows):
@@ -80,6 +89,7 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 2000)
     monkeypatch.setattr(L, "SLICE", 300)
     monkeypatch.setattr(L, "FREQUENT", 40)
+    monkeypatch.setattr(L, "FREQUENT_ALONE", 40)
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(["the", "of", "Re", "tion", "é", "x" * r.randrange(1, 4)]) + r.choice(["", "ed", "ing"]) for _ in range(r.randrange(0, 40)))) for i in range(150)]
     rows += [(150, None), (151, ""), (152, " \t\n"), (None, "no id"), (3, rows[3][1]), (154, "\x00\x01 ÿ 🙂" * 30)]
