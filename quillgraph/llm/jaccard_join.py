@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bound_batches, buffers, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
+from quillgraph.llm.common import bound_batches, buffers, discard, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
 from quillgraph.llm.components import components
 
 #: Words of a shingle; similarity as a ratio of integers.
@@ -553,13 +553,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = written(blobs.groupBy("bucket").applyInArrow(_meet, "gid long, key long, probe int"), "jaccard-met")
 
     sized = keys.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("k1").alias("key")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    members = written(met.join(sized, "key").groupBy("gid", "rep").agg(F.max("probe").alias("probe"), F.max("n").alias("n")), "jaccard-members")
-    members = written(_allocated(members), "jaccard-allocated")
+    grouped = written(met.join(sized, "key").groupBy("gid", "rep").agg(F.max("probe").alias("probe"), F.max("n").alias("n")), "jaccard-members")
+    discard(met, keys)
+    members = written(_allocated(grouped), "jaccard-allocated")
+    discard(grouped)
     met = members.join(members.groupBy("gid").agg(F.count("*").alias("k")), "gid")
     pops = met.groupBy("rep").agg(F.sum("k").alias("pop"))
     rank = F.struct("pop", (-F.col("rep")).alias("r"))
     leaders = members.join(pops, "rep").groupBy("gid").agg(F.max_by("rep", rank).alias("label"), F.max("pop").alias("pop"))
     led = written(members.select("gid", "rep").join(leaders, "gid"), "jaccard-led")
+    discard(members)
     # a leader most of whose groups another one leads hands over its own: the groups of one text's copies become one
     shares = led.groupBy("rep", "label").agg(F.count("*").alias("n"), F.first("pop").alias("pop"))
     best = shares.groupBy("rep").agg(F.max_by("label", F.struct("n", "pop", (-F.col("label")).alias("r"))).alias("up"), F.max("n").alias("n"), F.sum("n").alias("all"))
@@ -569,12 +572,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         up = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.rep")).select(F.col("x.rep").alias("rep"), F.col("y.up").alias("up"))
     members = led.join(up.withColumnRenamed("rep", "label"), "label").select(F.col("up").alias("label"), "rep", F.col("rep").alias("c")).distinct()
     placed = spark.createDataFrame([], "node long, component long")
+    old = [led]
     while True:
         members = written(members, "jaccard-met")
-        found, done = _round(written(_open(members), "jaccard-open"), texts)
+        discard(*old)
+        now = written(_open(members), "jaccard-open")
+        discard(members)
+        found, done = _round(now, texts)
+        old = [now]
         if not found.isEmpty():
             placed = _merged(placed, found, "jaccard-placed")
         if done is None:
+            discard(now)
             return classes, placed
         members = _left(done, placed)
 

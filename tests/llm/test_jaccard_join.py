@@ -140,3 +140,21 @@ def test_heads_probe_for_themselves():
                     assert bool(x & 1) == (x >> 1 in own[key])
                     seen += 1
     assert seen > 1000
+
+
+def test_tables_that_are_used_up_go(spark):
+    """What a later step has taken in leaves neither its table in the shared folder nor its shuffle files."""
+    from pathlib import Path
+
+    from quillgraph.llm.common import shared_dir, written
+
+    folder = Path(shared_dir(spark))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i % 3}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    assert J.joined(docs).count() == 30
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"jaccard-keys", "jaccard-members", "jaccard-allocated", "jaccard-led", "jaccard-open"}, left
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    written(docs, "kept")
+    assert spark.conf.get(key, None) == was
