@@ -1,89 +1,145 @@
-"""Containment joins: which texts contain which others, through the rarest q-gram."""
+"""Containment joins: which texts contain which others, through the rarest sampled q-gram."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.session import materialise
 
 #: Characters of a gram; shorter needles are filed whole.
-GRAM = 8
-#: Grams that a task gives at a time, and needles' grams that are sent to the tasks which read texts.
-SPAN, SENT = 1 << 18, 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+GRAM = 16
+#: Doublings of GRAM that longer needles use.
+LEVELS = 3
+#: Texts that a task has as Python strings at a time, grams of a part of the filter, and bits of a part and of the whole, powers of two.
+SLICE, PART_GRAMS, PART_BITS, MOST_BITS = 256, 1 << 15, 1 << 19, 1 << 28
+_BASE, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def gram_hashes(text: str, n: int) -> np.ndarray:
-    """The distinct 64-bit hashes of all runs of n characters."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(points) < n:
-        return np.zeros(0, np.int64)
-    out = np.zeros(len(points) - n + 1, np.uint64)
-    for i in range(n):
-        out = (out ^ (out >> np.uint64(29))) * _BASE + points[i : i + len(out)] + np.uint64(1)
-    return np.unique(out).astype(np.int64)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a ^ (a >> np.uint64(29))) * _BASE + b * _SIDE
+    return out ^ (out >> np.uint64(32))
 
 
-def _gram_rows(rows: DataFrame, text: str, n: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """rows without text, with ``gram``: a row for each distinct gram of the text (among wanted ones), some thousand texts at a time at most."""
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours."""
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        x = np.minimum(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def gram_hashes(text: str, classes: list[int], gram: int = GRAM) -> np.ndarray:
+    """64-bit hashes by which needles of these classes are filed, of a needle or of a text; some more than once.
+
+    Up to ``gram`` these are the runs of n characters. Above, runs of half a
+    class (at least ``gram``) are sampled: the least hash of each n characters,
+    so all that a needle gives is given by each text that contains it.
+    """
+    points, out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), [np.zeros(0, np.uint64)]
+    runs, size = _mixed(points, points), 1  # of so many characters; longer ones from two that overlap
+    for n in sorted(n for n in classes if n <= len(points)):
+        own = n if n <= gram else max(gram, n // 2)
+        while size * 2 <= own:
+            runs, size = _mixed(runs[:-size], runs[size:]), size * 2
+        found = _least(runs if own == size else _mixed(runs[: size - own], runs[own - size :]), n - own + 1)
+        out.append(found[np.append(True, found[1:] != found[:-1])] if own < n else found)
+    return np.concatenate(out).astype(np.int64)
+
+
+def _class(length: int, gram: int) -> int:
+    """The class of a needle: its length up to gram, then the largest of LEVELS doublings that it reaches."""
+    return length if length <= gram else max(gram << i for i in range(LEVELS + 1) if gram << i <= length)
+
+
+def _bits(grams: np.ndarray, turn: int, parts: int = 1) -> np.ndarray:
+    """The place of one of three bits of a gram in a filter; the upper bits of sampled grams are small and not used."""
+    at = (grams >> (9 + 13 * turn)) & (PART_BITS - 1)
+    return at | ((grams & (parts - 1)) * PART_BITS) if parts > 1 else at
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of grams(gram), one row a part; at most MOST_BITS whatever their number, then it only lets more pass."""
+    parts = min(1 << (grams.count() // PART_GRAMS).bit_length(), MOST_BITS // PART_BITS)
+
+    def bits(key, rows):
+        own = np.zeros(PART_BITS, np.uint8)
+        for turn in range(3):
+            own[_bits(rows.column("gram").to_numpy(), turn)] = 1
+        return pa.table({"part": [key[0].as_py()], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    out = np.zeros((parts, PART_BITS // 8), np.uint8)
+    for r in grams.withColumn("part", F.col("gram").bitwiseAND(parts - 1)).groupBy("part").applyInArrow(bits, "part long, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _gram_rows(rows: DataFrame, text: str, gram: int, classes: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """rows without text, with ``gram``: a row for each gram of the text's own class, or of classes among wanted ones; a slice of texts at a time."""
     rest = [c for c in rows.columns if c != text]
 
     def run(batches):
-        for frame in batches:
-            held, size = [], 0
-            for i, t in enumerate(frame[text]):
-                found = gram_hashes(t, n)
-                if wanted is not None:
-                    found = found[np.isin(found, wanted, assume_unique=True)]
-                held.append((i, found))
-                size += len(found)
-                if size >= SPAN or i == len(frame) - 1:
-                    at = np.repeat([k for k, _ in held], [len(f) for _, f in held]).astype(int)
-                    yield frame[rest].iloc[at].assign(gram=np.concatenate([f for _, f in held]))
-                    held, size = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                held = []
+                for t in part.column(text).to_pylist():
+                    found = gram_hashes(t, classes or [_class(len(t), gram)], gram)
+                    for turn in range(3 if wanted is not None else 0):
+                        at = _bits(found, turn, len(wanted) * 8 // PART_BITS)
+                        found = found[(wanted[at >> 3] >> (at & 7)) & 1 > 0]
+                    held.append(np.unique(found))
+                at = pa.array(np.repeat(np.arange(len(held)), [len(f) for f in held]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(at) for c in rest], pa.array(np.concatenate(held))], [*rest, "gram"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", gram long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", gram long")
+
+
+def _pairs(needles: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
+    """What ``contained`` gives; rows that share an id can give a pair more than once."""
+    needles = materialise(needles.select("needle_id", "needle", F.length("needle").alias("_len"), F.xxhash64("needle").alias("_h")).filter("_len > 0"), "needles")
+    texts = texts.select("text_id", "text").filter("text IS NOT NULL")
+    longest = texts.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
+    needles = needles.filter(F.col("_len") <= longest)
+    top = gram << LEVELS
+    # lengths beyond the highest class are one class, so there are few
+    classes = sorted({_class(r["n"], gram) for r in needles.select(F.least("_len", F.lit(top)).alias("n")).distinct().collect()})
+    if not classes:
+        kinds = dict(needles.dtypes)["needle_id"], dict(texts.dtypes)["text_id"]
+        return needles.sparkSession.createDataFrame([], f"needle_id {kinds[0]}, text_id {kinds[1]}")
+    theirs = materialise(_gram_rows(needles.select("needle_id", "_h", "needle"), "needle", gram), "needle-grams")
+    met = materialise(_gram_rows(texts, "text", gram, classes, _filter(theirs.select("gram").distinct())), "text-grams")
+    counts = met.groupBy("gram").agg(F.count("*").alias("_n"))
+    filed = theirs.join(counts, "gram", "left").groupBy("needle_id", "_h").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    pairs = materialise(filed.join(met, "gram").select("needle_id", "_h", "text_id").distinct(), "containment-pairs")
+    own = needles.select("needle_id", "_h", "needle")
+    return pairs.join(own, ["needle_id", "_h"]).join(texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle_id", "text_id")
 
 
 def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
     """(needle_id, text_id) of needles(needle_id, needle) that stand in texts(text_id, text), each pair once.
 
-    A needle is filed under that one of its grams which the fewest texts have;
-    texts give only grams that some needle has. They meet by an equi-join on the
-    gram, and what meets is compared exactly, so hashes decide nothing. Up to
-    SENT grams of needles go to the tasks that read texts; more are joined.
+    A needle is filed under that one of its sampled grams which the fewest texts
+    have; texts give the grams that pass a filter of those that needles have.
+    They meet by an equi-join on the gram, and what meets is compared exactly,
+    so hashes decide nothing. Longer needles have longer and fewer grams: a row
+    for some 8 to 32 characters, so rows grow with the needles and with what
+    texts share with them, not with all characters of the texts.
     Needles longer than the longest text stand nowhere. Needles
     shorter than a gram are a class of their own for each length, filed whole.
     Needles with a gram that no text has meet nothing; null and empty ones
     stand nowhere. Rows that share an id are compared one by one.
     """
-    needles = materialise(needles.select("needle_id", "needle", F.length("needle").alias("_len"), F.xxhash64("needle").alias("_h")).filter("_len > 0"), "needles")
-    texts = texts.select("text_id", "text").filter("text IS NOT NULL")
-    longest = texts.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
-    needles = needles.filter(F.col("_len") <= longest)
-    out = None
-    for n in sorted(r["n"] for r in needles.select(F.least("_len", F.lit(gram)).alias("n")).distinct().collect()):  # as many classes as a gram has characters
-        own = needles.filter(F.col("_len") >= n if n == gram else F.col("_len") == n)
-        theirs = _gram_rows(own.select("needle_id", "_h", "needle"), "needle", n)
-        wanted = materialise(theirs.select("gram").distinct(), "needle-grams")
-        few = np.sort(wanted.toArrow().column("gram").to_numpy()) if wanted.count() <= SENT else None
-        met = _gram_rows(texts, "text", n, few)
-        met = materialise(met if few is not None else met.join(wanted, "gram", "left_semi"), "text-grams")
-        counts = met.groupBy("gram").agg(F.count("*").alias("_n"))
-        filed = theirs.join(counts, "gram", "left").groupBy("needle_id", "_h").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
-        pairs = filed.join(met, "gram").select("needle_id", "_h", "text_id").distinct()
-        found = pairs.join(own.select("needle_id", "_h", "needle"), ["needle_id", "_h"]).join(texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle_id", "text_id")
-        out = found if out is None else out.unionByName(found)
-    kinds = dict(needles.dtypes)["needle_id"], dict(texts.dtypes)["text_id"]
-    return out.distinct() if out is not None else needles.sparkSession.createDataFrame([], f"needle_id {kinds[0]}, text_id {kinds[1]}")
+    return _pairs(needles, texts, gram).distinct()
 
 
 def either_way(left: DataFrame, right: DataFrame, gram: int = GRAM) -> DataFrame:
     """(left_id, right_id) of left(left_id, left) and right(right_id, right) where one contains the other."""
-    there = contained(left.selectExpr("left_id AS needle_id", "left AS needle"), right.selectExpr("right_id AS text_id", "right AS text"), gram)
-    back = contained(right.selectExpr("right_id AS needle_id", "right AS needle"), left.selectExpr("left_id AS text_id", "left AS text"), gram)
+    there = _pairs(left.selectExpr("left_id AS needle_id", "left AS needle"), right.selectExpr("right_id AS text_id", "right AS text"), gram)
+    back = _pairs(right.selectExpr("right_id AS needle_id", "right AS needle"), left.selectExpr("left_id AS text_id", "left AS text"), gram)
     return there.selectExpr("needle_id AS left_id", "text_id AS right_id").unionByName(back.selectExpr("text_id AS left_id", "needle_id AS right_id")).distinct()

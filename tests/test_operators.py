@@ -611,6 +611,21 @@ def test_containment_against_loop(spark):
     assert containment.contained(a.limit(0), b).collect() == []
 
 
+def test_containment_rows_follow_what_is_shared(spark, monkeypatch):
+    """Long needles give a row for some 32 characters, texts hardly any for what no needle has; no pair is lost."""
+    from quillgraph.operators import containment
+
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    texts = [(i, text(3000)) for i in range(40)]
+    needles = [(i, t[5 : 5 + n]) for i, (_, t) in enumerate(texts[:12]) for n in (15, 16, 31, 32, 63, 64, 127, 128, 2900)] + [(99, text(2000))]
+    sizes, kept = {}, containment.materialise
+    monkeypatch.setattr(containment, "materialise", lambda df, name: sizes.update({name: (out := kept(df, name)).count()}) or out)
+    found = containment.contained(spark.createDataFrame(needles, "needle_id int, needle string"), spark.createDataFrame(texts, "text_id int, text string"))
+    assert {tuple(r) for r in found.collect()} == {(i, j) for i, n in needles for j, t in texts if n in t}
+    assert sizes["needle-grams"] < sum(len(n) for _, n in needles) / 8 and sizes["text-grams"] < sizes["needle-grams"] * 2
+
+
 def test_postings_follow_inserts_and_deletes(spark, tmp_path):
     """Scores from the index are those of the texts, after each batch, replacement and delete; only the buckets asked for are read."""
     from quillgraph.operators.postings import Postings
