@@ -136,22 +136,26 @@ def _connected(edges: pd.DataFrame) -> pd.DataFrame:
 def component_labels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, c) for the nodes of edges(src, tgt): c is the smallest node that can be reached.
 
-    Up to ``most`` edges go to one task; more are labelled in rounds that double their reach.
+    Up to ``most`` edges go to one task. Larger graphs shrink in rounds: each
+    node goes to the least neighbour of its least neighbour, edges are those
+    between what is left, and a node that others went to stays linked to where
+    it went. So only the first round sees all edges.
     """
     edges = materialise(edges.select("src", "tgt").filter("src <> tgt").distinct(), "component-edges")
-    if edges.count() <= (ONE_TASK if most is None else most):
-        kind = dict(edges.dtypes)["src"]
-        return materialise(edges.groupBy().applyInPandas(_connected, f"node {kind}, c {kind}"), "components")
-    both = undirected(edges).distinct()
-    label = materialise(both.groupBy("src").agg(F.least(F.min("tgt"), F.first("src")).alias("c")).withColumnRenamed("src", "node"), "components")
-    while True:
-        near = both.join(label, both["tgt"] == label["node"]).groupBy("src").agg(F.min("c").alias("m"))
-        nxt = label.join(near, label["node"] == near["src"]).select("node", F.least("c", "m").alias("c"))
-        jump = nxt.alias("a").join(nxt.alias("b"), F.col("a.c") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.c", "b.c").alias("c"))
-        jump = materialise(jump, "components")
-        if jump.exceptAll(label).isEmpty():
-            return label
-        label = jump
+    kind, rounds = dict(edges.dtypes)["src"], []
+    while (left := edges.count()) > (ONE_TASK if most is None else most):
+        near = undirected(edges).groupBy(F.col("src").alias("node")).agg(F.min("tgt").alias("up"))
+        near = materialise(near.select("node", F.least("node", "up").alias("up")), "component-near")
+        label = materialise(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("c")), "up").select("node", "c"), "components")
+        rounds.append(label)
+        ends = label.select(F.col("node").alias("src"), F.col("c").alias("a")), label.select(F.col("node").alias("tgt"), F.col("c").alias("b"))
+        moved = edges.join(ends[0], "src").join(ends[1], "tgt").select("a", "b").filter("a <> b")
+        links = label.filter("node <> c").join(label.select(F.col("c").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("c").alias("b"))
+        edges = materialise(moved.unionByName(links).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt")).distinct(), "component-edges")
+    out = materialise(edges.groupBy().applyInPandas(_connected, f"node {kind}, c {kind}"), "components") if left or not rounds else rounds.pop()
+    for label in reversed(rounds):  # from the small end, so that what all lead to meets few rows
+        out = materialise(label.join(out.select(F.col("node").alias("c"), F.col("c").alias("_c")), "c", "left").select("node", F.coalesce("_c", "c").alias("c")), "components")
+    return out
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -317,6 +317,23 @@ def test_component_labels(spark):
     assert graph.component_labels(edges.limit(0)).collect() == []
 
 
+def test_component_rounds_shrink(spark, monkeypatch):
+    """Against the plain loop, on paths, stars and random graphs in odd orders; after the first round few edges are left."""
+    from quillgraph.operators import graph
+
+    draw = random.Random(3)
+    name = list(range(900))
+    draw.shuffle(name)
+    pairs = [(name[i], name[i + 1]) for i in range(200)] + [(name[300], name[i]) for i in range(301, 400)] + [(name[draw.randrange(400, 700)], -name[draw.randrange(400, 900)] - 1) for _ in range(900)]
+    want = dict(graph._connected(pd.DataFrame(pairs, columns=["src", "tgt"])).itertuples(index=False))
+    sizes, kept = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, n: [out := kept(df, n), sizes.append(out.count()) if n == "component-edges" else None][0])
+    for most in (0, 40):
+        sizes.clear()
+        assert {r.node: r.c for r in graph.component_labels(spark.createDataFrame(pairs, "src int, tgt int"), most).collect()} == want
+        assert len(sizes) > 1 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[2] < sizes[0] / 4
+
+
 def test_stages_with_classes(spark):
     from pyspark.sql import functions as F
 
