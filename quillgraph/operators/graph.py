@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialise
+from quillgraph.session import dealt, materialise
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -92,15 +92,16 @@ def cascade_delete(incidence: DataFrame, doc_hyperedges: DataFrame) -> DataFrame
 
 def second_hop(incidence: DataFrame, starts: DataFrame, factor: float = 0.8, k: int = 3, roles: tuple[str, ...] = ("RECOMMENDATION", "CONTRAINDICATION")) -> DataFrame:
     """Other hyperedges that share an entity with starts(hyperedge, score) in one of roles; k a start, scores damped."""
-    left = starts.join(incidence.select("hyperedge", "entity"), "hyperedge")
+    incidence = materialise(incidence.select("hyperedge", "entity", "role"), "incidence")
+    left = dealt(starts.join(incidence.select("hyperedge", "entity"), "hyperedge"), "entity", n=incidence.count() * (k + 1))
     # of an entity's targets the first k and one, which may be the start itself, are all that can count
     first = Window.partitionBy("entity").orderBy("hyperedge")
     right = incidence.filter(F.col("role").isin(*roles)).select("hyperedge", "entity").distinct()
     right = right.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).select(F.col("hyperedge").alias("target"), "entity")
-    # dealt by start at once: of a start's pairs few are twice, so they are not grouped before they move
-    pairs = left.join(right, "entity").filter("hyperedge <> target").select("hyperedge", "score", "target").repartition("hyperedge").distinct()
-    line = Window.partitionBy("hyperedge").orderBy("target")
-    return pairs.withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= k).select("hyperedge", "target", (F.col("score") * factor).alias("score"))
+    pairs = left.join(right, "entity").filter("hyperedge <> target").select("hyperedge", "score", "target")
+    # a pair that is there twice has one rank: each task keeps the first k of a start before pairs move
+    line = Window.partitionBy("hyperedge").orderBy("target", "score")
+    return pairs.withColumn("_r", F.dense_rank().over(line)).filter(F.col("_r") <= k).distinct().select("hyperedge", "target", (F.col("score") * factor).alias("score"))
 
 
 def subgraph_features(incidence: DataFrame, weights: DataFrame) -> DataFrame:

@@ -334,6 +334,44 @@ def test_component_rounds_shrink(spark, monkeypatch):
         assert len(sizes) > 1 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[2] < sizes[0] / 4
 
 
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from quillgraph import session
+
+    rows = spark.range(100)
+    assert session.dealt(rows, "id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.dealt(rows, "id").rdd.getNumPartitions() == 10 and session.dealt(rows, "id", n=150).rdd.getNumPartitions() == 15
+
+
+def test_hard_negatives_where_anchors_are_read(spark):
+    """The first of other topics by hash, with a repeated anchor; anchors are not sent to the task that holds the few."""
+    import hashlib
+
+    from quillgraph.operators import curation
+
+    anchors = [(i % 45, i % 4 if i % 9 else None) for i in range(50)]
+    facts = [(i, i % 4, "RECOMMENDATION" if i % 3 else "EVIDENCE") for i in range(60)]
+    found = curation.hard_negatives(spark.createDataFrame(anchors, "anchor_id int, topic int"), spark.createDataFrame(facts, "hyperedge int, topic int, role string"), 2)
+    md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    few = [(h, t) for t in range(4) for h in sorted((h for h, u, r in facts if u == t and r == "RECOMMENDATION"), key=lambda h: (md5(h), h))[:2]]
+    met = {}
+    for a, t in anchors:
+        met.setdefault(a, []).extend((md5(f"{a}:{h}"), h) for h, u in few if t is not None and u != t)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, h) for a, x in met.items() for _, h in sorted(x)[:2])
+    assert "NOT (_t" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_second_hop_ranks_pairs_before_they_move(spark):
+    from quillgraph.operators import graph
+
+    inc = [(h, e, "RECOMMENDATION" if h % 2 else "EVIDENCE") for h in range(20) for e in {h % 3, h % 5 + 10, h % 7 + 20}]
+    starts = [(h, h / 10) for h in range(20)]
+    found = graph.second_hop(spark.createDataFrame(inc, "hyperedge int, entity int, role string"), spark.createDataFrame(starts, "hyperedge int, score double"), 0.5, 3)
+    at = lambda h: {e for g, e, _ in inc if g == h}
+    want = {(h, t, s / 2) for h, s in starts for t in sorted(t for t in range(1, 20, 2) if t != h and at(t) & at(h))[:3]}
+    assert {tuple(r) for r in found.collect()} == want and "dense_rank" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stages_with_classes(spark):
     from pyspark.sql import functions as F
 
