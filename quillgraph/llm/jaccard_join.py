@@ -59,6 +59,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import bound_batches, buffers, discard, doc_slices, lower_words, mix, partitions, span_hashes, text_bytes, written
 from quillgraph.llm.components import components
+from quillgraph.operators.containment import bloom, passing
 
 #: Words of a shingle; similarity as a ratio of integers.
 N, NUM, DEN = 5, 80, 100
@@ -450,13 +451,24 @@ def _in_runs(rows: DataFrame) -> DataFrame:
     return rows.select("label", "rep", "c", "text").repartition("label").sortWithinPartitions("label")
 
 
-def _round(members: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, differences) of the groups of members(label, rep, c, k) that have members of two components.
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, text) of the members' documents. A filter of their ids is asked where texts are read, so hardly any other text is shuffled; the join decides."""
+    reps = members.select("rep").distinct()
+    wanted = bloom(reps.select(F.xxhash64("rep").alias("gram")))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(pa.array(passing(batch.column(0).to_numpy(), wanted))).drop_columns(["h"])
+
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("rep"), "text")
+    return texts.mapInArrow(run, "rep long, text string").join(reps, "rep", "left_semi")
+
+
+def _round(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, differences) of the groups of members(label, rep, c, k) that have members of two components, with their texts(rep, text).
 
     links: a, b. differences: members of large groups with what they send on.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    texts = texts.join(members.select("rep").distinct(), "rep", "left_semi")
     few = F.col("k") <= GROUP
     near = written(_in_runs(members.filter(few).join(texts, "rep")).mapInArrow(_linked, "a long, b long"), "jaccard-links")
     if members.filter(~few).isEmpty():
@@ -572,18 +584,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         up = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.rep")).select(F.col("x.rep").alias("rep"), F.col("y.up").alias("up"))
     members = led.join(up.withColumnRenamed("rep", "label"), "label").select(F.col("up").alias("label"), "rep", F.col("rep").alias("c")).distinct()
     placed = spark.createDataFrame([], "node long, component long")
-    old = [led]
+    old, own = [led], None
     while True:
         members = written(members, "jaccard-met")
         discard(*old)
         now = written(_open(members), "jaccard-open")
         discard(members)
-        found, done = _round(now, texts)
+        if own is None:  # later rounds have members of the first one only
+            own = written(_texts(texts, now), "jaccard-texts")
+        found, done = _round(now, own)
         old = [now]
         if not found.isEmpty():
             placed = _merged(placed, found, "jaccard-placed")
         if done is None:
-            discard(now)
+            discard(now, own)
             return classes, placed
         members = _left(done, placed)
 

@@ -62,8 +62,8 @@ def _bits(grams: np.ndarray, turn: int, parts: int = 1) -> np.ndarray:
     return at | ((grams & (parts - 1)) * PART_BITS) if parts > 1 else at
 
 
-def _filter(grams: DataFrame) -> np.ndarray:
-    """A Bloom filter of grams(gram), one row a part; at most MOST_BITS whatever their number, then it only lets more pass."""
+def bloom(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of grams(gram), hashes, one row a part; at most MOST_BITS whatever their number, then it only lets more pass."""
     parts = min(1 << (grams.count() // PART_GRAMS).bit_length(), MOST_BITS // PART_BITS)
 
     def bits(key, rows):
@@ -78,6 +78,15 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def passing(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of the hashes that may be among those of a Bloom filter."""
+    found = np.arange(len(hashes))
+    for turn in range(3):
+        at = _bits(hashes[found], turn, len(wanted) * 8 // PART_BITS)
+        found = found[(wanted[at >> 3] >> (at & 7)) & 1 > 0]
+    return found
+
+
 def _gram_rows(rows: DataFrame, text: str, gram: int, classes: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """rows without text, with ``gram``: a row for each gram of the text's own class, or of classes among wanted ones; a slice of texts at a time."""
     rest = [c for c in rows.columns if c != text]
@@ -89,10 +98,7 @@ def _gram_rows(rows: DataFrame, text: str, gram: int, classes: list[int] | None
                 held = []
                 for t in part.column(text).to_pylist():
                     found = gram_hashes(t, classes or [_class(len(t), gram)], gram)
-                    for turn in range(3 if wanted is not None else 0):
-                        at = _bits(found, turn, len(wanted) * 8 // PART_BITS)
-                        found = found[(wanted[at >> 3] >> (at & 7)) & 1 > 0]
-                    held.append(np.unique(found))
+                    held.append(np.unique(found if wanted is None else found[passing(found, wanted)]))
                 at = pa.array(np.repeat(np.arange(len(held)), [len(f) for f in held]))
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(at) for c in rest], pa.array(np.concatenate(held))], [*rest, "gram"])
 
@@ -113,7 +119,7 @@ def _pairs(needles: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
         kinds = dict(needles.dtypes)["needle_id"], dict(texts.dtypes)["text_id"]
         return needles.sparkSession.createDataFrame([], f"needle_id {kinds[0]}, text_id {kinds[1]}")
     theirs = materialise(_gram_rows(needles.select("needle_id", "_h", "needle"), "needle", gram), "needle-grams")
-    met = materialise(_gram_rows(texts, "text", gram, classes, _filter(theirs.select("gram").distinct())), "text-grams")
+    met = materialise(_gram_rows(texts, "text", gram, classes, bloom(theirs.select("gram").distinct())), "text-grams")
     counts = met.groupBy("gram").agg(F.count("*").alias("_n"))
     filed = theirs.join(counts, "gram", "left").groupBy("needle_id", "_h").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
     pairs = materialise(filed.join(met, "gram").select("needle_id", "_h", "text_id").distinct(), "containment-pairs")

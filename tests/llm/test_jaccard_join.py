@@ -158,3 +158,13 @@ def test_tables_that_are_used_up_go(spark):
     was = spark.conf.get(key, None)
     written(docs, "kept")
     assert spark.conf.get(key, None) == was
+
+
+def test_texts_of_members_only_are_shuffled(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    members = spark.createDataFrame([(7, i) for i in (3, 3, 44, 4999, 6000)], "label long, rep long")
+    found = J._texts(docs, members)
+    assert sorted(map(tuple, found.collect())) == [(3, "text 3"), (44, "text 44"), (4999, "text 4999")]
+    hashes = np.array([r.h for r in spark.range(5000).selectExpr("xxhash64(id) AS h").collect()])
+    passed = J.passing(hashes, J.bloom(members.selectExpr("xxhash64(rep) AS gram").distinct()))
+    assert {3, 44, 4999} <= set(passed.tolist()) and len(passed) < 100
