@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialise
+from quillgraph.session import bound_batches, materialise
 
 #: Characters of a gram; shorter needles are filed whole.
 GRAM = 16
@@ -106,8 +106,20 @@ def _gram_rows(rows: DataFrame, text: str, gram: int, classes: list[int] | None
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", gram long")
 
 
+def _met(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """texts(text_id, text) that pass a filter of the pairs' ids where they are read, so hardly any other is shuffled."""
+    wanted, kind = bloom(pairs.select(F.xxhash64("text_id").alias("gram")).distinct()), dict(texts.dtypes)["text_id"]
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(pa.array(passing(batch.column(0).to_numpy(), wanted))).drop_columns(["h"])
+
+    return texts.select(F.xxhash64("text_id").alias("h"), "text_id", "text").mapInArrow(run, f"text_id {kind}, text string")
+
+
 def _pairs(needles: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
     """What ``contained`` gives; rows that share an id can give a pair more than once."""
+    bound_batches(texts.sparkSession)
     needles = materialise(needles.select("needle_id", "needle", F.length("needle").alias("_len"), F.xxhash64("needle").alias("_h")).filter("_len > 0"), "needles")
     texts = texts.select("text_id", "text").filter("text IS NOT NULL")
     longest = texts.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
@@ -124,7 +136,7 @@ def _pairs(needles: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
     filed = theirs.join(counts, "gram", "left").groupBy("needle_id", "_h").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
     pairs = materialise(filed.join(met, "gram").select("needle_id", "_h", "text_id").distinct(), "containment-pairs")
     own = needles.select("needle_id", "_h", "needle")
-    return pairs.join(own, ["needle_id", "_h"]).join(texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle_id", "text_id")
+    return pairs.join(own, ["needle_id", "_h"]).join(_met(texts, pairs), "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle_id", "text_id")
 
 
 def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:

@@ -838,3 +838,14 @@ def test_shares_of_prices_round_as_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     for rows, sql in ((bindings.scorer_output(spark, str(tmp_path)), bindings.SCORED), (bindings.hyperedge_scores(spark, str(tmp_path)), bindings.SCORES)):
         assert sorted(map(tuple, rows.collect())) == sorted(con.sql(sql).fetchall())
+
+
+def test_contained_shuffles_only_texts_that_meet(spark):
+    from quillgraph.operators import containment
+
+    texts = spark.range(5000).selectExpr("id AS text_id", "concat('some text ', id) AS text")
+    pairs = spark.createDataFrame([(1, 3), (1, 44), (2, 44)], "needle_id long, text_id long")
+    found = {r.text_id: r.text for r in containment._met(texts, pairs).collect()}
+    assert found[3] == "some text 3" and found[44] == "some text 44" and len(found) < 100
+    needles = spark.createDataFrame([(1, "text 44")], "needle_id long, needle string")
+    assert containment.contained(needles, texts).count() == 111
