@@ -849,3 +849,13 @@ def test_contained_shuffles_only_texts_that_meet(spark):
     assert found[3] == "some text 3" and found[44] == "some text 44" and len(found) < 100
     needles = spark.createDataFrame([(1, "text 44")], "needle_id long, needle string")
     assert containment.contained(needles, texts).count() == 111
+
+
+def test_postings_of_odd_token_lists(spark, tmp_path):
+    from quillgraph.operators.postings import Postings
+
+    rows = [(1, ["a", "b", "a"]), (2, None), (3, []), (4, ["b", None, None]), (5, ["c"])]
+    index = Postings(spark, str(tmp_path / "index"), 4)
+    index.add(spark.createDataFrame(rows, "doc_id long, tokens array<string>").coalesce(1))
+    got = {(r.doc_id, r.term): r.tf for r in index._postings("long").collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (4, "b"): 1, (4, None): 2, (5, "c"): 1}
