@@ -361,6 +361,25 @@ def test_hard_negatives_where_anchors_are_read(spark):
     assert "NOT (_t" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hard_negatives_of_all_candidates(spark, monkeypatch):
+    """The first of all recommendations for another topic, with and without a bound, in one block and in many; anchors that the bound leaves short are completed."""
+    import hashlib
+
+    from quillgraph.operators import curation
+
+    anchors = [(i % 45, i % 4 if i % 9 else None) for i in range(50)]
+    facts = [(i, i % 4, "RECOMMENDATION" if i % 3 else "EVIDENCE") for i in range(900)] + [(5, 1, "RECOMMENDATION")]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    met = {}
+    for a, t in anchors:
+        met.setdefault(a, []).extend((md5(f"{a}:{h}"), h) for h, u in {(h, u) for h, u, r in facts if r == "RECOMMENDATION"} if t is not None and u != t)
+    frames = spark.createDataFrame(anchors, "anchor_id int, topic int"), spark.createDataFrame(facts, "hyperedge int, topic int, role string")
+    for most, k in ((4096, 2), (16, 2), (64, 30), (4096, 700)):
+        monkeypatch.setattr(curation, "MET", most)
+        want = sorted((a, h) for a, x in met.items() for _, h in sorted(x)[:k])
+        assert sorted(tuple(r) for r in curation.hard_negatives_of_all(*frames, k).collect()) == want
+
+
 def test_second_hop_ranks_pairs_before_they_move(spark):
     from quillgraph.operators import graph
 
