@@ -102,6 +102,26 @@ def test_resolution_in_rounds_and_in_turn(spark):
     assert ingest.resolve(df.limit(0), inc).collect() == []
 
 
+def test_resolution_in_steps(spark, monkeypatch):
+    """Large groups in few and in many steps, also within the pairs of one entity, are what the plain loop gives; each step decides more than what is first at both its ends."""
+    draw = random.Random(9)
+    names = [f"{'x' * draw.randrange(1, 4)}{i}" for i in range(60)]
+    sets = {n: {f"h{draw.randrange(25)}" for _ in range(draw.randint(1, 5))} for n in names}
+    pairs = {tuple(sorted(draw.sample(names, 2))) for _ in range(500)} | {(a, f"y{a}") for a in names}
+    sets |= {f"y{a}": set(sets[a]) for a in names[::2]} | {f"y{a}": {"none"} for a in names[1::2]}
+    inc = spark.createDataFrame([(h, n) for n, hs in sets.items() for h in hs], "hyperedge string, entity string")
+    want = set(one_after_the_other(pairs, sets, 0.25).items())
+    written, kept = [], ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, n: [written.append(n), kept(df, n)][1])
+    for step, most in ((10**6, 1), (500, 12)):
+        written.clear()
+        monkeypatch.setattr(ingest, "STEP", step)
+        got = {(r.variant, r.canonical) for r in ingest.resolve(spark.createDataFrame(sorted(pairs), "a string, b string"), inc, most=0).collect()}
+        assert got == want and len(want) > 20
+        assert written.count("open-pairs") <= most
+    assert written.count("open-pairs") > 2
+
+
 def test_similar_pairs_follow_merges(spark):
     """Names that only come to share a hyperedge through a third one are pairs as well; a large hyperedge is compared in parts."""
     draw = np.random.default_rng(2)
