@@ -838,6 +838,27 @@ def test_similar_patients_among_equal_ones(spark, tmp_path):
     assert all(sum(r.query_id == q for r in got) == 3 for q in {r.query_id for r in got})
 
 
+def test_nearest_in_boxes(spark, monkeypatch):
+    """Many queries by units: the rows of the plain search, with equal vectors, ties between boxes and vectors without a number, and not by meeting every block."""
+    from quillgraph.operators import vector
+
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(draw.integers(6)), float(draw.integers(2)), float(draw.choice([0.5, draw.normal() * 3, 7.0]))]) for i in range(1500)]
+    rows += [(1500 + i, [1.0, 0.0, 0.1]) for i in range(200)] + [(1800, [1.0, float("nan"), 0.0]), (1801, [0.0, 0.0, -0.0])]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    asked = corpus.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    for own in (True, False):
+        found = []
+        for block, box in ((10**6, 4096), (50, 64), (50, 4096)):
+            monkeypatch.setattr(vector, "QUERY_BLOCK", block)
+            monkeypatch.setattr(vector, "BOX", box)
+            found.append(sorted(tuple(r) for r in vector.nearest(asked, corpus, 4, "manhattan", exclude_self=own, units=(10.0, 1.0, 0.3)).collect()))
+        assert found[0] == found[1] == found[2] and len(found[0]) == 4 * (asked.count() - 1)
+    boxes = vector._Boxes(np.array([v for _, v in rows[:1500]]), (10.0, 1.0, 0.3), 5)
+    row, _ = boxes.within(np.array([v for _, v in rows[:300]]), np.full(300, 0.05))
+    assert len(row) < 300 * 6
+
+
 def test_mean_pooling_keeps_the_sign_of_zero(spark, tmp_path):
     from quillgraph.plans import registry
 
