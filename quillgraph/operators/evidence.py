@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import strip
 from quillgraph.operators import fusion, graph
+from quillgraph.session import materialise
 
 # Edge labels that are no knowledge, the mark of a path's text, bodies whose guideline a title names, and the lines of a path's text.
 LABELS = ["RELATES_TO", "BELONG_TO", "EVIDENCE"]
@@ -95,6 +96,10 @@ def paper_neighbours(belongs: DataFrame, cap: int = 50) -> DataFrame:
     return belongs.select("paper", "hyperedge").distinct().withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= cap).drop("_r")
 
 
+#: Entities asked for up to which they are sent to where the incidence is read.
+FEW_ENTITIES = 1 << 20
+
+
 def graph_stream(hits: DataFrame, incidence: DataFrame, belongs: DataFrame, scores: DataFrame, similarities: DataFrame | None = None, cap: int = 50, parents: int = 5, paths: int = 4) -> DataFrame:
     """(query_id, paper, tier, coverage, n_hyperedges, rank, text): papers that the entities found for a query lead to, with their best paths as text.
 
@@ -102,25 +107,34 @@ def graph_stream(hits: DataFrame, incidence: DataFrame, belongs: DataFrame, scor
     ``cap`` hyperedges (all recommendations first), hyperedges as many papers.
     A paper's coverage is the sum of the positive scores(hyperedge, score) that
     the query reaches; tier (3 with a recommendation, 2 with evidence) and count
-    are those of all that it reaches, whatever their score. Scores may be those
-    of each query, scores(query_id, hyperedge, score).
+    are those of all that it reaches, whatever their score. Scores, one a
+    hyperedge, may be those of each query, scores(query_id, hyperedge, score).
     """
-    wanted = hits.select("query_id", "entity").distinct()
-    near = incidence.join(wanted.select("entity").distinct(), "entity", "left_semi")
-    similar = similarities if similarities is not None else near.select("entity", "hyperedge", F.lit(0.0).alias("sim"))
-    kept = graph.capped_neighbours(near, similar, cap).select("entity", "hyperedge", "role")
-    reached = wanted.join(kept, "entity").groupBy("query_id", "hyperedge").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("role")).alias("roles"), *graph.tier_flags())
-    rows = reached.join(scores, [c for c in ("query_id", "hyperedge") if c in scores.columns], "left").join(paper_neighbours(belongs, cap), "hyperedge")
-    covered = rows.groupBy("query_id", "paper").agg(*graph.covered(F.col("score"))).filter("coverage IS NOT NULL")
-    rows = rows.filter("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("coverage").desc(), F.col("n_hyperedges").desc(), "paper")
-    top = covered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= parents)
+    wanted = materialise(hits.select("query_id", "entity").distinct(), "wanted")
+    entities = wanted.select("entity").distinct()
+    # scores and papers join where a hyperedge's entities stand together, so what queries reach moves once, in narrow rows
+    papers = paper_neighbours(belongs, cap).groupBy("hyperedge").agg(F.collect_list("paper").alias("_papers"))
+    own = "query_id" in scores.columns
+    near = incidence.select("hyperedge", "entity", "role").join(papers if own else papers.join(scores.select("hyperedge", "score"), "hyperedge", "left"), "hyperedge", "left")
+    if entities.count() <= FEW_ENTITIES:
+        near = near.join(F.broadcast(entities), "entity", "left_semi")
+    near = materialise(near, "near")
+    kept = graph.capped_neighbours(near, similarities, cap).drop("sim").filter("_papers IS NOT NULL")
+    linked = wanted.join(kept, "entity")
+    if own:
+        linked = linked.join(scores, ["query_id", "hyperedge"], "left")
+    value = F.first("score").alias("score")
+    reached = linked.repartition("query_id").groupBy("query_id", "hyperedge").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("role")).alias("roles"), *graph.tier_flags(), value, F.first("_papers").alias("_papers"))
     line = Window.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "hyperedge")
-    best = rows.join(top.select("query_id", "paper"), ["query_id", "paper"], "left_semi").withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= paths)
+    rows = reached.withColumn("paper", F.explode("_papers")).drop("_papers").withColumn("_r", F.row_number().over(line))
     entry = F.format_string(PATH_LINES, "_r", F.array_join("roles", "/"), F.col("score") * 100, F.col("hyperedge").cast("string"), F.array_join(F.transform("entities", lambda e: e.cast("string")), ", "))
-    texts = best.groupBy("query_id", "paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", entry.alias("t")))), lambda x: x["t"]), "").alias("_t"))
+    best = F.collect_list(F.when((F.col("_r") <= paths) & (F.col("score") > 0), F.struct("_r", entry.alias("t")))).alias("_best")
+    covered = rows.groupBy("query_id", "paper").agg(*graph.covered(F.col("score")), best).filter("coverage IS NOT NULL")
+    order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("coverage").desc(), F.col("n_hyperedges").desc(), "paper")
+    top = covered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= parents)
     head = F.format_string(HEAD_LINE, F.col("paper").cast("string"), "tier", "coverage")
-    return top.join(texts, ["query_id", "paper"]).select("query_id", "paper", "tier", "coverage", "n_hyperedges", "rank", F.concat(head, "_t").alias("text"))
+    text = F.array_join(F.transform(F.array_sort("_best"), lambda x: x["t"]), "")
+    return top.select("query_id", "paper", "tier", "coverage", "n_hyperedges", "rank", F.concat(head, text).alias("text"))
 
 
 def bm25_and_vector(documents: DataFrame, asked: DataFrame, vector: DataFrame, k: int = 60, coherence: float = 0.8) -> DataFrame:

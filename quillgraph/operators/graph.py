@@ -33,11 +33,13 @@ def idf(incidence: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("entity", "df", F.round(F.log(F.col("_n") / (F.col("df") + 1)) + 1.0, 4).alias("idf_weight"))
 
 
-def capped_neighbours(incidence: DataFrame, scores: DataFrame, cap: int = 50) -> DataFrame:
-    """Hyperedges kept for each entity: all recommendations, then the best others until ``cap``; scores(entity, hyperedge, sim)."""
+def capped_neighbours(incidence: DataFrame, scores: DataFrame | None, cap: int = 50) -> DataFrame:
+    """Hyperedges kept for each entity: all recommendations, then the best others until ``cap``; scores(entity, hyperedge, sim), without them all are equal."""
     # others by row number up to a constant: Spark cuts a hot entity's rows in each task before it shuffles them
     strong = F.col("role").eqNullSafe(F.lit("RECOMMENDATION"))
-    rows = incidence.join(scores, ["entity", "hyperedge"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    rows = incidence.withColumn("sim", F.lit(0.0))
+    if scores is not None:
+        rows = incidence.join(scores, ["entity", "hyperedge"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     line = Window.partitionBy("entity").orderBy(F.col("sim").desc(), F.col("hyperedge").desc())
     first = rows.filter(~strong).withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= cap)
     taken = incidence.filter(strong).groupBy("entity").agg(F.count("*").alias("_n"))

@@ -529,6 +529,29 @@ def test_parents_count_all_their_hyperedges(spark):
     assert stream == {("p", 3, 0.5, 3, 1), ("q", 2, 0.6, 1, 2)}
 
 
+def test_what_queries_reach_moves_once(spark, monkeypatch):
+    """Scores by hyperedge or by query, few entities or many, give the same texts; what queries reach is shuffled to them and nowhere else."""
+    from quillgraph.operators import evidence
+
+    draw = random.Random(12)
+    roles = ("CONDITION", "RECOMMENDATION", "EVIDENCE")
+    inc = spark.createDataFrame(sorted({(h, e): (h, e, draw.choice(roles)) for h in range(80) for e in draw.sample(range(40), 4)}.values()), "hyperedge int, entity int, role string")
+    belongs = spark.createDataFrame([(p, h) for h in range(75) for p in draw.sample(range(9), draw.randint(1, 3))], "paper int, hyperedge int")
+    scores = spark.createDataFrame([(h, draw.choice([0.0, 0.25, 0.5, 0.75])) for h in range(70)], "hyperedge int, score double")
+    hits = spark.createDataFrame([(q, draw.randrange(45)) for q in range(12) for _ in range(3)], "query_id int, entity int")
+    each = scores.crossJoin(hits.select("query_id").distinct())
+    found = []
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(evidence, "FEW_ENTITIES", few)
+        for given in (scores, each):
+            out = evidence.graph_stream(hits, inc, belongs, given, cap=6, parents=4, paths=2)
+            found.append(sorted(tuple(r) for r in out.collect()))
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("RepartitionByExpression") == 1 and plan.count("Join") <= (3 if given is scores else 4)
+    assert all(f == found[0] for f in found) and len(found[0]) > 30
+    assert all(0 < r[6].count("候选路径") <= 2 and r[6].count("【权威循证溯源") == 1 for r in found[0])
+
+
 def test_csv_contexts(spark):
     from quillgraph.operators import curation
 
